@@ -1,0 +1,27 @@
+"""Broadcast hints behind a check of the side's size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame) -> int:
+    fixed = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.BooleanType: 1}
+    return sum(fixed.get(type(f.dataType), 64) for f in df.schema.fields) + 16
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the frame is counted to be small; else leave it as it is.
+
+    The count stops one row past the limit. Without the hint the join shuffles
+    both sides and adaptive execution splits hot keys of the larger one, so the
+    result is the same either way.
+    """
+    if df.isStreaming:
+        return df
+    most = max(1, max_bytes // _row_bytes(df))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
