@@ -200,14 +200,17 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("req"), F.col("o_orderkey").cast("string")).alias("request_id"),
         F.col("o_orderpriority").alias("priority"),
     )
-    pairs = F.array_compact(
-        F.array(
-            F.when(F.col("threshold_min").isNotNull(), F.struct(F.lit("threshold_min"), F.lit("-50.0"))),
-            F.when(F.col("threshold_max").isNotNull(), F.struct(F.lit("threshold_max"), F.lit("120.0"))),
-            F.when(F.col("obsrate_max").isNotNull(), F.struct(F.lit("obsRate_max"), F.col("obsrate_max"))),
-            F.when(F.col("obsrate_min").isNotNull(), F.struct(F.lit("obsRate_min"), F.col("obsrate_min"))),
-        )
+
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("key"), value.alias("value"))
+
+    wanted = (
+        pair("threshold_min", F.when(F.col("threshold_min").isNotNull(), F.lit("-50.0"))),
+        pair("threshold_max", F.when(F.col("threshold_max").isNotNull(), F.lit("120.0"))),
+        pair("obsRate_max", F.col("obsrate_max")),
+        pair("obsRate_min", F.col("obsrate_min")),
     )
+    pairs = F.filter(F.array(*wanted), lambda p: p["value"].isNotNull())
     states = request_states(spark, sf_dir).select("request_id", "states", "logs", "interested_in")
     joined = req.join(priority, "request_id").join(states, "request_id")
     return joined.select(
