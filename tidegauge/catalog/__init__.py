@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("observations", "requests")
+MODULES = ("observations", "requests", "registry", "rates")
 
 
 def load() -> None:

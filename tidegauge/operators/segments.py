@@ -188,10 +188,11 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
         starts = np.flatnonzero(groups.first)
         entered = heads["enter"].notna().to_numpy()
-        # LONG_MIN does not survive the float column of a left merge exactly,
-        # but any value at or below the first timestamp means the same.
-        enter = heads["enter"].fillna(0).to_numpy()
-        offset = np.maximum(enter - groups.ts[starts], 0).astype(np.int64)
+        # A chunk without entry is not walked. An entry before the first
+        # timestamp means that timestamp; it may lie too far back to subtract.
+        enter = heads["enter"].fillna(LONG_MIN).to_numpy()
+        head_ts = groups.ts[starts]
+        offset = np.maximum(enter, head_ts).astype(np.int64) - head_ts
         axis = np.arange(len(starts)) * groups.stride + offset
         at = np.searchsorted(groups.axis, axis)
         at = at[entered & (at < groups.end[starts])]
