@@ -190,7 +190,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entered = heads["enter"].notna().to_numpy()
         # A chunk without entry is not walked. An entry before the first
         # timestamp means that timestamp; it may lie too far back to subtract.
-        enter = heads["enter"].fillna(LONG_MIN).to_numpy()
+        enter = heads["enter"].astype("float64").fillna(LONG_MIN).to_numpy()
         head_ts = groups.ts[starts]
         offset = np.maximum(enter, head_ts).astype(np.int64) - head_ts
         axis = np.arange(len(starts)) * groups.stride + offset
