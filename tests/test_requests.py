@@ -265,8 +265,8 @@ def test_stage_settings(spark, small):
 
 def test_size_check(spark):
     small, large = spark.range(10), spark.range(1000)
-    assert "broadcast" in small_side(small, 10_000)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in small_side(large, 10_000)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in small_side(small, max_bytes=10_000)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in small_side(large, max_bytes=10_000)._jdf.queryExecution().logical().toString().lower()
 
 
 def test_as_of_is_an_argument(spark):

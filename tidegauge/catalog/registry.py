@@ -12,8 +12,13 @@ from tidegauge.sources import triples as nt
 from tidegauge.sources.vocabulary import expand, iri, prefixes, shorten
 
 
+def _triples(spark, d):
+    # Kept, as every pattern of a query reads them again; a lost part is computed anew.
+    return fx.registry_triples(spark, d).persist()
+
+
 def _registry(spark, d):
-    return registry.Registry(fx.registry_triples(spark, d))
+    return registry.Registry(_triples(spark, d))
 
 
 class _Pattern:
@@ -112,7 +117,7 @@ PARAM_OUT = {
 
 @query("src4_read_triples", with_ctes("select s, p, o from triples", "triples"))
 def _(spark, d):
-    return nt.parse_ntriples(nt.to_ntriples(fx.registry_triples(spark, d)))
+    return nt.parse_ntriples(nt.to_ntriples(_triples(spark, d)))
 
 
 @query(
@@ -128,7 +133,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    short = fx.registry_triples(spark, d).withColumn("short", shorten(F.col("p")))
+    short = _triples(spark, d).withColumn("short", shorten(F.col("p")))
     return short.select("s", expand(F.col("short")).alias("p"), "o", "short")
 
 
@@ -290,7 +295,7 @@ def _(spark, d):
         F.when(key % 7 == 0, F.lit("-INF")).otherwise(F.lit("-20.0")).alias("min_value"),
         F.when(key % 11 == 0, F.lit("+INF")).otherwise(high).alias("max_value"),
     )
-    return registry.register_sensors(fx.registry_triples(spark, d), forms.unionByName(late))
+    return registry.register_sensors(_triples(spark, d), forms.unionByName(late))
 
 
 @query(
@@ -303,7 +308,7 @@ def _(spark, d):
 )
 def _(spark, d):
     gone = fx.sensors(spark, d).where(F.col("area") == "EUROPE").select("sensor_id")
-    return registry.delete_sensors(fx.registry_triples(spark, d), gone)
+    return registry.delete_sensors(_triples(spark, d), gone)
 
 
 @query(

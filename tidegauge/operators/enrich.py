@@ -51,7 +51,7 @@ def with_sensor_context(obs: DataFrame, sensors: DataFrame, extra: Sequence[str]
         *[F.col(c).alias(f"_extra_{c}") for c in extra],
     )
     unknown = F.struct(*[F.lit(NOT_AVAILABLE).alias(f) for f in CONTEXT_SOURCES])
-    joined = obs.join(small_side(side), "producer", "left")
+    joined = obs.join(small_side(side, sensors), "producer", "left")
     return joined.select(
         *obs.columns,
         F.coalesce("_context", unknown).alias("sensorContext"),
@@ -70,7 +70,7 @@ def with_capability(
         parse_bound(F.col("min_value"), compat).alias("min_value"),
         parse_bound(F.col("max_value"), compat).alias("max_value"),
     )
-    return obs.join(small_side(side), "producer", "left").select(*obs.columns, "min_value", "max_value")
+    return obs.join(small_side(side, capabilities), "producer", "left").select(*obs.columns, "min_value", "max_value")
 
 
 @dataclass(frozen=True)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.naming import date_text
-from tidegauge.schema import NOT_AVAILABLE, WireNames
+from tidegauge.schema import ATTRIBUTES, NOT_AVAILABLE, WireNames
 from tidegauge.sources.vocabulary import iri
 
 # The keys of a node in output order, with the property each stands for.
@@ -46,27 +47,17 @@ ATTRIBUTE_UNITS = {"OBS_ACCURACY": ("accuracy", "Percent"), "OBS_FRESHNESS": ("f
 SENSOR_EXTRAS = ("relative_altitude", "quantity_kind", "unit", "feature")
 
 
-def _node(identity: Column, kind: Column | str, fields: Mapping[str, Column | str]) -> Column:
-    def text(v: Column | str) -> Column:
-        return v if isinstance(v, Column) else F.lit(v)
+@dataclass(frozen=True)
+class _Node:
+    """A node: its id, type, fields by key, and whether it is there at all."""
 
-    return F.struct(
-        identity.alias("@id"),
-        text(kind).alias("@type"),
-        *[text(fields.get(k, F.lit(None))).cast("string").alias(k) for k in NODE_KEYS],
-    )
+    identity: Column
+    kind: str
+    fields: Mapping[str, Column]
+    present: Column | None = None
 
 
-def knowledge_nodes(wire: WireNames | None = None, zone: str = "UTC") -> Column:
-    """ARRAY of nodes, sorted by id, of a row with the columns of an information row.
-
-    Reads ``date, value, producer, timestamps, qoOAttributeValues,
-    sensorContext`` and the sensor columns ``relative_altitude, quantity_kind,
-    unit, feature``; NULL there reads as ``N/A``. Keys absent from a node are
-    NULL, which JSON output drops.
-    """
-    wire = wire or WireNames()
-
+def _nodes(wire: WireNames, zone: str) -> list[_Node]:
     def own(name: str) -> Column:
         return F.lit(wire.base_iri + name)
 
@@ -76,28 +67,25 @@ def knowledge_nodes(wire: WireNames | None = None, zone: str = "UTC") -> Column:
     def known(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(NOT_AVAILABLE))
 
-    context = F.col("sensorContext")
+    context, values = F.col("sensorContext"), F.col("qoOAttributeValues")
     sensor = F.concat(F.lit(wire.base_iri), F.col("producer"))
-    values = F.coalesce(
-        F.col("qoOAttributeValues"), F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
-    )
-    names = F.map_keys(values)
-    intrinsic = F.transform(names, lambda k: F.concat(F.lit(wire.base_iri + "qooIntrinsic_"), k))
-    fixed = [
-        _node(
+    listed = F.map_keys(values)
+    topic = context["topic"]
+    nodes = [
+        _Node(
             own("obs"),
             term("ssn:Observation"),
             {
                 "featureOfInterest": known("feature"),
                 "observationResult": own("sensorOutput"),
                 "observedBy": sensor,
-                "observedProperty": F.when(context["topic"] == NOT_AVAILABLE, context["topic"]).otherwise(
-                    F.concat(F.lit(wire.base_iri), context["topic"])
+                "observedProperty": F.when(topic == NOT_AVAILABLE, topic).otherwise(
+                    F.concat(F.lit(wire.base_iri), topic)
                 ),
             },
         ),
-        _node(sensor, term("ssn:Sensor"), {"location": own("location")}),
-        _node(
+        _Node(sensor, term("ssn:Sensor"), {"location": own("location")}),
+        _Node(
             own("location"),
             term("geo:Point"),
             {
@@ -108,63 +96,61 @@ def knowledge_nodes(wire: WireNames | None = None, zone: str = "UTC") -> Column:
                 "relativeLocation": context["relativeLocation"],
             },
         ),
-        _node(own("sensorOutput"), term("ssn:SensorOutput"), {"hasValue": own("obsValue")}),
-        _node(
+        _Node(own("sensorOutput"), term("ssn:SensorOutput"), {"hasValue": own("obsValue")}),
+        _Node(
             own("obsValue"),
             term("ssn:ObservationValue"),
             {
-                "hasQoO": F.when(F.size(names) > 0, own("qooAttributesList")),
+                "hasQoO": F.when(F.size(listed) > 0, own("qooAttributesList")),
                 "hasQuantityKind": known("quantity_kind"),
                 "hasUnit": known("unit"),
                 "obsDateValue": date_text(F.col("date"), zone),
-                "obsLevelValue": "KNOWLEDGE",
+                "obsLevelValue": F.lit("KNOWLEDGE"),
                 "obsStrValue": F.col("value").cast("string"),
                 "obsTimestampsValue": F.col("timestamps"),
             },
         ),
-        _node(
+        _Node(
             own("qooAttributesList"),
             "rdf:Seq",
-            {f"_{i}": F.try_element_at(intrinsic, F.lit(i)) for i in (1, 2, 3)},
-        ),
-    ]
-
-    def unit_of(k: Column, suffix: str) -> Column:
-        expr = F.lit(None).cast("string")
-        for name, (stem, _) in ATTRIBUTE_UNITS.items():
-            expr = F.when(k == name, own(stem + suffix)).otherwise(expr)
-        return expr
-
-    about = F.transform(
-        names,
-        lambda k: _node(
-            F.concat(F.lit(wire.base_iri + "qooIntrinsic_"), k),
-            term("qoo:QoOIntrisicQuality"),
-            {"hasQoOValue": F.concat(F.lit(wire.base_iri + "qooValue_"), k), "isAbout": k},
-        ),
-    )
-    amounts = F.transform(
-        F.map_entries(values),
-        lambda e: _node(
-            F.concat(F.lit(wire.base_iri + "qooValue_"), e["key"]),
-            term("qoo:QoOValue"),
             {
-                "hasQuantityKind": unit_of(e["key"], "Kind"),
-                "hasUnit": unit_of(e["key"], "Unit"),
-                "qooStrValue": e["value"],
+                f"_{i}": F.concat(own("qooIntrinsic_"), F.try_element_at(listed, F.lit(i)))
+                for i in range(1, len(ATTRIBUTES) + 1)
             },
         ),
-    )
-    shared = [
-        F.when(F.array_contains(names, name), node)
-        for name, (stem, unit) in ATTRIBUTE_UNITS.items()
-        for node in (
-            _node(own(stem + "Kind"), term("m3-lite:Others"), {}),
-            _node(own(stem + "Unit"), term("m3-lite:" + unit), {}),
-        )
     ]
-    nodes = F.concat(F.array(*fixed), F.array_compact(F.array(*shared)), about, amounts)
-    return F.array_sort(nodes, lambda a, b: F.when(a["@id"] < b["@id"], -1).when(a["@id"] > b["@id"], 1).otherwise(0))
+    for name in ATTRIBUTES:
+        value = F.try_element_at(values, F.lit(name))
+        here = value.isNotNull()
+        about = {"hasQoOValue": own("qooValue_" + name), "isAbout": F.lit(name)}
+        amount = {"qooStrValue": value}
+        if name in ATTRIBUTE_UNITS:
+            stem, unit = ATTRIBUTE_UNITS[name]
+            amount |= {"hasQuantityKind": own(stem + "Kind"), "hasUnit": own(stem + "Unit")}
+            nodes.append(_Node(own(stem + "Kind"), term("m3-lite:Others"), {}, here))
+            nodes.append(_Node(own(stem + "Unit"), term("m3-lite:" + unit), {}, here))
+        nodes.append(_Node(own("qooIntrinsic_" + name), term("qoo:QoOIntrisicQuality"), about, here))
+        nodes.append(_Node(own("qooValue_" + name), term("qoo:QoOValue"), amount, here))
+    return nodes
+
+
+def knowledge_nodes(wire: WireNames | None = None, zone: str = "UTC") -> Column:
+    """ARRAY of nodes, sorted by id, of a row with the columns of an information row.
+
+    Reads ``date, value, producer, timestamps, qoOAttributeValues,
+    sensorContext`` and the sensor columns ``relative_altitude, quantity_kind,
+    unit, feature``; NULL there reads as ``N/A``. Keys absent from a node are
+    NULL, which JSON output drops.
+    """
+    none = F.lit(None).cast("string")
+
+    def struct(node: _Node) -> Column:
+        fields = [node.fields.get(k, none).alias(k) for k in NODE_KEYS]
+        whole = F.struct(node.identity.alias("@id"), F.lit(node.kind).alias("@type"), *fields)
+        return whole if node.present is None else F.when(node.present, whole)
+
+    nodes = F.array_compact(F.array(*[struct(n) for n in _nodes(wire or WireNames(), zone)]))
+    return F.array_sort(nodes)
 
 
 def knowledge_triples(
@@ -173,11 +159,10 @@ def knowledge_triples(
     """The same graph as (keep..., s, p, o) rows."""
     wire = wire or WireNames()
     columns = [c for c in keep if c in obs.columns]
-    nodes = obs.select(*columns, F.explode(knowledge_nodes(wire, zone)).alias("_node"))
-    node = F.col("_node")
-    pairs = [F.struct(F.lit(iri("rdf:type", wire)).alias("p"), node["@type"].alias("o"))]
-    pairs += [
-        F.struct(F.lit(iri(curie, wire)).alias("p"), node[key].alias("o")) for key, curie in NODE_KEYS.items()
-    ]
-    present = F.filter(F.array(*pairs), lambda pair: pair["o"].isNotNull())
-    return nodes.select(*columns, node["@id"].alias("s"), F.inline(present))
+    rows = []
+    for node in _nodes(wire, zone):
+        pairs = {"rdf:type": F.lit(node.kind), **{NODE_KEYS[k]: v for k, v in node.fields.items()}}
+        for curie, value in pairs.items():
+            target = value if node.present is None else F.when(node.present, value)
+            rows.append(F.struct(node.identity.alias("s"), F.lit(iri(curie, wire)).alias("p"), target.alias("o")))
+    return obs.select(*columns, F.inline(F.array(*rows))).where(F.col("o").isNotNull())

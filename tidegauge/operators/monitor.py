@@ -146,9 +146,14 @@ def heal_decisions(
     """
     by_time = Window.partitionBy("request_id").orderBy(ts)
     times = symptoms.groupBy("request_id", ts).agg(F.max("act").alias("act"))
-    acting = greedy_segments(times.where("act"), ts, observe_ms, ["request_id"])
-    attempts = acting.where(F.col(ts) == F.col("segment_ms")).select("request_id", ts, F.lit(True).alias("_attempt"))
-    marked = times.join(attempts, ["request_id", ts], "left")
+    cut = greedy_segments(
+        times.withColumn("_acting_ms", F.when(F.col("act"), F.col(ts))),
+        "_acting_ms",
+        observe_ms,
+        ["request_id"],
+        keep_untimed=True,
+    )
+    marked = cut.withColumn("_attempt", F.coalesce(F.col("_acting_ms") == F.col("segment_ms"), F.lit(False)))
     last_heal = F.last(F.when(F.col("_attempt"), F.col(ts)), ignorenulls=True).over(
         by_time.rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.clock import epoch_ms, floor_to
 from tidegauge.operators.ordering import with_next
-from tidegauge.operators.segments import greedy_segments, key_text
+from tidegauge.operators.segments import greedy_segments
 
 
 def rate_limit(
@@ -74,37 +74,22 @@ def rate_reports(
     report and counts that row. What follows the last report is not reported,
     unless ``flush_tail`` asks for it, one period after the last report.
     """
-    cut = greedy_segments(df, ts, period_ms, keys)
+    cut = greedy_segments(df, ts, period_ms, keys, with_next=True)
     order = F.struct(F.col(ts), *[F.col(t) for t in tie])
-    counts = cut.groupBy(*keys, "segment_ms", producer).agg(
+    counts = cut.groupBy(*keys, "segment_ms", "next_segment_ms", producer).agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("_first")
     )
-    heads = counts.groupBy(*keys, "segment_ms").agg(F.min_by(producer, "_first").alias("_head"))
-    heads = with_next(heads, "segment_ms", keys, chunk=period_ms * 4096, name="_next")
-    tail = F.col("segment_ms") + period_ms if flush_tail else F.lit(None).cast("bigint")
     # The row that opens a segment belongs to the report of that very moment,
     # all other rows of the segment to the report that ends it.
-    held = (
-        counts.withColumn("_k", key_text(keys))
-        .join(
-            heads.select(key_text(keys).alias("_k"), "segment_ms", "_head", "_next"),
-            ["_k", "segment_ms"],
-        )
-        .select(
-            *keys,
-            F.coalesce("_next", tail).alias("report_ms"),
-            producer,
-            (F.col("n") - F.col(producer).eqNullSafe(F.col("_head")).cast("int")).alias("n"),
-        )
-    )
-    opening = heads.select(
-        *keys,
-        F.col("segment_ms").alias("report_ms"),
-        F.col("_head").alias(producer),
-        F.lit(1).cast("bigint").alias("n"),
+    in_segment = Window.partitionBy(*keys, "segment_ms").orderBy("_first")
+    marked = counts.withColumn("_opens", (F.row_number().over(in_segment) == 1).cast("bigint"))
+    tail = F.col("segment_ms") + period_ms if flush_tail else F.lit(None).cast("bigint")
+    parts = F.array(
+        F.struct(F.coalesce("next_segment_ms", tail).alias("report_ms"), (F.col("n") - F.col("_opens")).alias("n")),
+        F.struct(F.col("segment_ms").alias("report_ms"), F.col("_opens").alias("n")),
     )
     return (
-        held.unionByName(opening)
+        marked.select(*keys, producer, F.inline(parts))
         .where(F.col("report_ms").isNotNull() & (F.col("n") > 0))
         .groupBy(*keys, "report_ms", producer)
         .agg(F.sum("n").alias("n"))

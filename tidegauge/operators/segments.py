@@ -34,7 +34,7 @@ from tidegauge.functions.clock import epoch_ms
 LONG_MIN = -(2**63)
 _STEPS = "_key string, _period long, _chunk long, upto long, leave long"
 _ENTRIES = "_key string, _period long, _chunk long, enter long"
-_ANCHORS = "_key string, _period long, anchor_ms long"
+_ANCHORS = "_key string, _period long, anchor_ms long, previous_ms long"
 
 
 def key_text(keys: Sequence[str]) -> Column:
@@ -195,19 +195,25 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         offset = np.maximum(enter, head_ts).astype(np.int64) - head_ts
         axis = np.arange(len(starts)) * groups.stride + offset
         at = np.searchsorted(groups.axis, axis)
-        at = at[entered & (at < groups.end[starts])]
+        walked = entered & (at < groups.end[starts])
+        at = at[walked]
+        # The entry is one period after the last anchor before the chunk, if there is one.
+        before = np.where(enter == LONG_MIN, np.nan, enter - groups.period[starts])[walked]
         nxt = groups.after_period()
-        found = []
+        rows, previous = [at], [before]
         while at.size:
-            found.append(at)
-            at = nxt[at]
-            at = at[at >= 0]
-        rows = np.sort(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+            onward = nxt[at]
+            moved = onward >= 0
+            previous.append(groups.ts[at[moved]].astype("float64"))
+            at = onward[moved]
+            rows.append(at)
+        found = np.concatenate(rows)
         yield pd.DataFrame(
             {
-                "_key": times["_key"].to_numpy()[rows],
-                "_period": groups.period[rows],
-                "anchor_ms": groups.ts[rows],
+                "_key": times["_key"].to_numpy()[found],
+                "_period": groups.period[found],
+                "anchor_ms": groups.ts[found],
+                "previous_ms": pd.array(np.concatenate(previous), dtype="Float64").astype("Int64"),
             }
         )
 
@@ -219,7 +225,7 @@ def _keyed(df: DataFrame, ts: str, period_ms: int | str, keys: Sequence[str]) ->
 
 
 def _anchors(keyed: DataFrame, chunk_periods: int | None) -> DataFrame:
-    """(_key, _period, anchor_ms) of a frame with _key, _period and _ts."""
+    """(_key, _period, anchor_ms, previous_ms) of a frame with _key, _period and _ts."""
     group = ["_key", "_period", "_chunk"]
     chunk = _chunk_ms(F.col("_period"), chunk_periods)
     times = (
@@ -256,28 +262,48 @@ def greedy_segments(
     keys: Sequence[str] = (),
     *,
     chunk_periods: int | None = None,
+    with_next: bool = False,
+    keep_untimed: bool = False,
 ) -> DataFrame:
     """Add ``segment_ms``, the greatest anchor not after the row's own time.
 
     ``period_ms`` is a number or the name of a column that is constant per key.
-    Rows without a time or a period are left out.
+    ``with_next`` adds ``next_segment_ms``, NULL in a key's last segment. Rows
+    without a time or a period are left out, or kept with NULL on
+    ``keep_untimed``.
     """
     keyed = _keyed(df, ts, period_ms, keys)
     anchors = _anchors(keyed, chunk_periods)
-    cell = _floor_div(F.col("anchor_ms"), F.col("_period"))
-    near = F.array(
-        F.struct(cell.alias("_cell"), F.col("anchor_ms").alias("own"), F.lit(None).cast("bigint").alias("before")),
-        F.struct((cell + 1).alias("_cell"), F.lit(None).cast("bigint").alias("own"), F.col("anchor_ms").alias("before")),
-    )
+    none = F.lit(None).cast("bigint")
+    anchor, previous = F.col("anchor_ms"), F.col("previous_ms")
+
+    def entry(cell: Column, own: Column, before: Column, own_next: Column, before_next: Column) -> Column:
+        return F.struct(
+            cell.alias("_cell"),
+            own.alias("own"),
+            before.alias("before"),
+            own_next.alias("own_next"),
+            before_next.alias("before_next"),
+        )
+
+    cell = _floor_div(anchor, F.col("_period"))
+    near = [entry(cell, anchor, none, none, none), entry(cell + 1, none, anchor, none, none)]
+    if with_next:
+        earlier = _floor_div(previous, F.col("_period"))
+        near += [entry(earlier, none, none, anchor, none), entry(earlier + 1, none, none, none, anchor)]
     lookup = (
-        anchors.select("_key", "_period", F.inline(near))
+        anchors.select("_key", "_period", F.inline(F.array(*near)))
+        .where(F.col("_cell").isNotNull())
         .groupBy("_key", "_period", "_cell")
-        .agg(F.max("own").alias("_own"), F.max("before").alias("_before"))
+        .agg(*[F.max(c).alias("_" + c) for c in ("own", "before", "own_next", "before_next")])
     )
     rows = keyed.withColumn("_cell", _floor_div(F.col("_ts"), F.col("_period")))
-    joined = rows.join(lookup, ["_key", "_period", "_cell"])
-    segment = F.when(F.col("_own") <= F.col("_ts"), F.col("_own")).otherwise(F.col("_before"))
-    return joined.select(*df.columns, segment.alias("segment_ms"))
+    joined = rows.join(lookup, ["_key", "_period", "_cell"], "left" if keep_untimed else "inner")
+    in_own = F.col("_own") <= F.col("_ts")
+    out = [*df.columns, F.when(in_own, F.col("_own")).otherwise(F.col("_before")).alias("segment_ms")]
+    if with_next:
+        out.append(F.when(in_own, F.col("_own_next")).otherwise(F.col("_before_next")).alias("next_segment_ms"))
+    return joined.select(*out)
 
 
 def greedy_anchors(

@@ -14,9 +14,10 @@ def _row_bytes(df: DataFrame) -> int:
     return sum(fixed.get(type(f.dataType), 64) for f in df.schema.fields) + 16
 
 
-def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def small_side(df: DataFrame, counted: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast if the frame is counted to be small; else leave it as it is.
 
+    ``counted`` is a frame with at least as many rows that is cheaper to count.
     The count stops one row past the limit. Without the hint the join shuffles
     both sides and adaptive execution splits hot keys of the larger one, so the
     result is the same either way.
@@ -24,4 +25,5 @@ def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     if df.isStreaming:
         return df
     most = max(1, max_bytes // _row_bytes(df))
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    rows = (df if counted is None else counted).select(F.lit(1)).limit(most + 1).count()
+    return F.broadcast(df) if rows <= most else df
