@@ -21,18 +21,30 @@ def with_next(
 ) -> DataFrame:
     """Add the ``order`` value (BIGINT) of the following row of the key, NULL for the last.
 
-    Rows are ordered within chunks of ``chunk`` units; the last row of a chunk
-    takes the first value of the key's next chunk, found in a table with one
-    row per (key, chunk).
+    Rows of equal value follow each other by ``tie``; without it they all take
+    the next greater value. Rows shrink to distinct values before they are
+    ordered, within chunks of ``chunk`` units, so that no ordered group exceeds
+    that many values; the last value of a chunk takes the first one of the
+    key's next chunk.
     """
     group = ["_key", "_chunk"]
-    value = F.col(order).cast("bigint")
-    cut = df.withColumn("_key", key_text(keys)).withColumn(
-        "_chunk", ((value - F.pmod(value, F.lit(chunk).cast("bigint"))) / chunk).cast("bigint")
+    rows = df.withColumns({"_key": key_text(keys), "_value": F.col(order).cast("bigint")})
+    last = F.max(F.struct(*tie)) if tie else F.lit(None)
+    width = F.lit(chunk).cast("bigint")
+    values = (
+        rows.where(F.col("_value").isNotNull())
+        .groupBy("_key", "_value")
+        .agg(last.alias("_last"))
+        .withColumn("_chunk", ((F.col("_value") - F.pmod("_value", width)) / width).cast("bigint"))
     )
-    heads = cut.groupBy(*group).agg(F.min(value).alias("_head"))
+    heads = values.groupBy(*group).agg(F.min("_value").alias("_head"))
     later = Window.partitionBy("_key").orderBy("_chunk")
     follow = heads.select(*group, F.lead("_head").over(later).alias("_following"))
-    inside = Window.partitionBy(*group).orderBy(order, *tie)
-    led = cut.withColumn("_lead", F.lead(value).over(inside)).join(follow, group)
-    return led.select(*df.columns, F.coalesce("_lead", "_following").alias(name))
+    inside = Window.partitionBy(*group).orderBy("_value")
+    led = values.withColumn("_lead", F.lead("_value").over(inside)).join(follow, group)
+    lookup = led.select("_key", "_value", "_last", F.coalesce("_lead", "_following").alias("_next"))
+    found = rows.join(lookup, ["_key", "_value"], "left")
+    following = F.col("_next")
+    if tie:
+        following = F.when(F.struct(*tie) < F.col("_last"), F.col("_value")).otherwise(following)
+    return found.select(*df.columns, following.alias(name))

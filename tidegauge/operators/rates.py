@@ -21,13 +21,15 @@ def rate_limit(
     keys: Sequence[str] = (),
     tie: Sequence[str] = ("obs_id",),
     anchor: str = "first",
+    most: int | None = None,
 ) -> DataFrame:
     """Let the first ``n`` rows of every window pass and drop the rest.
 
     ``anchor="first"``: a window opens at the first row after the previous one
     has ended. ``anchor="epoch"``: windows are aligned to the epoch. Without
-    keys the limit is global. With a literal ``n`` each task drops what cannot
-    be among the first ``n`` before rows are shuffled.
+    keys the limit is global. With a literal ``n``, or with ``most`` as a bound
+    on a column ``n``, each task drops what cannot be among the first ``n``
+    before rows are shuffled.
     """
     if isinstance(n, int) and n <= 0:
         return df.where(F.lit(False))
@@ -39,7 +41,8 @@ def rate_limit(
         raise ValueError(f"unsupported anchor {anchor!r} for period {period_ms!r}")
     window = Window.partitionBy(*keys, "segment_ms").orderBy(ts, *tie)
     ranked = cut.withColumn("_rank", F.row_number().over(window))
-    return ranked.where(F.col("_rank") <= n).select(*df.columns)
+    kept = ranked if most is None else ranked.where(F.col("_rank") <= most)
+    return kept.where(F.col("_rank") <= n).select(*df.columns)
 
 
 def sample_reports(

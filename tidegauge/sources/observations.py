@@ -56,15 +56,18 @@ def union_topics(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def _parsed(messages: DataFrame, column: str) -> DataFrame:
-    body = F.from_json(F.col(column), MESSAGE_TEXT)
-    date_ms = body["date"].try_cast("bigint")
-    keep = [c for c in messages.columns if c not in MESSAGE_TEXT.names]
-    return messages.select(
+    # json_tuple reads all four fields as text in one pass over the message;
+    # from_json would be pruned to one field per use and parse once for each.
+    names = MESSAGE_TEXT.names
+    keep = [c for c in messages.columns if c not in names]
+    texts = [f"_{n}" for n in names]
+    fields = messages.select(*keep, F.json_tuple(F.col(column), *names).alias(*texts))
+    return fields.select(
         *keep,
-        F.timestamp_millis(date_ms).alias("date"),
-        body["value"].try_cast("double").alias("value"),
-        body["producer"].alias("producer"),
-        body["timestamps"].alias("timestamps"),
+        F.timestamp_millis(F.col("_date").try_cast("bigint")).alias("date"),
+        F.col("_value").try_cast("double").alias("value"),
+        F.col("_producer").alias("producer"),
+        F.col("_timestamps").alias("timestamps"),
     )
 
 
