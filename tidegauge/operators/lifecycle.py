@@ -75,7 +75,8 @@ def stage_edges(requests: DataFrame, topics: DataFrame | None = None) -> DataFra
     )
     if topics is None:
         return edges
-    every = topics.select(F.lit("ALL").alias("parent"), F.col("topic").alias("_each")).distinct()
+    names = F.explode(F.array(F.col("topic"), F.lit("ALL"))).alias("parent")
+    every = topics.select("topic").distinct().select(F.col("topic").alias("_each"), names)
     fanned = edges.join(every, "parent", "left")
     parent = F.when(F.col("is_source"), F.coalesce("_each", "parent")).otherwise(F.col("parent"))
     return fanned.withColumn("parent", parent).select(*EDGE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def symptom_buffer(
 def heal_decisions(
     symptoms: DataFrame,
     requests: DataFrame,
-    remedy: DataFrame,
+    remedy: DataFrame | Mapping | None,
     *,
     ts: str = "symptom_ms",
     observe_ms: int = 60_000,
@@ -132,8 +134,8 @@ def heal_decisions(
     """Heal attempts and their end: request_id, decided_ms, attempt, decision, status, remedy, param, value.
 
     ``symptoms``: request_id, symptom time, ``act``. ``requests``: request_id,
-    sla_level. ``remedy``: at most one row of remedy, param, type, initial,
-    param_variation (the remedy is the same for all requests).
+    sla_level. ``remedy``: the one remedy for all requests with remedy, param,
+    type, initial and param_variation; of a frame the first row counts.
 
     A request is healed at the first acting symptom and then at the first one
     after each observation time: greedy segments of that length. Attempt 1
@@ -163,29 +165,25 @@ def heal_decisions(
     in_epoch = Window.partitionBy("request_id", "_epoch").orderBy(ts)
     numbered = epochs.where("_attempt").withColumn("attempt", F.row_number().over(in_epoch))
 
-    choice = remedy.limit(1).select(
-        F.lit(True).alias("_has"),
-        "remedy",
-        "param",
-        F.col("type").alias("_type"),
-        F.col("initial").alias("_initial"),
-        F.col("param_variation").alias("_direction"),
-    )
-    with_remedy = numbered.withColumn("_has", F.lit(True)).join(F.broadcast(choice), "_has", "left")
-    exhausted = F.col("remedy").isNull() | (F.col("attempt") > max_retries)
-    judged = with_remedy.withColumn("_end", exhausted)
+    chosen = remedy.first() if isinstance(remedy, DataFrame) else remedy
+
+    def of_remedy(name: str) -> Column:
+        return F.lit(None if chosen is None else chosen[name]).cast("string")
+
+    exhausted = F.lit(True) if chosen is None else F.col("attempt") > max_retries
+    judged = numbered.withColumn("_end", exhausted)
     so_far = by_time.rowsBetween(Window.unboundedPreceding, -1)
     open_still = judged.withColumn("_closed", F.coalesce(F.max("_end").over(so_far), F.lit(False))).where("not _closed")
 
-    step = F.when(F.col("_direction") == "HIGH", F.lit(1)).when(F.col("_direction") == "LOW", F.lit(-1)).otherwise(F.lit(0))
-    moved = (F.col("_initial").try_cast("bigint") + step * (F.col("attempt") - 1)).cast("string")
-    value = F.when(F.col("_type") == "Integer", F.coalesce(moved, F.col("_initial"))).otherwise(F.col("_initial"))
+    direction, initial = of_remedy("param_variation"), of_remedy("initial")
+    step = F.when(direction == "HIGH", F.lit(1)).when(direction == "LOW", F.lit(-1)).otherwise(F.lit(0))
+    moved = (initial.try_cast("bigint") + step * (F.col("attempt") - 1)).cast("string")
+    value = F.when(of_remedy("type") == "Integer", F.coalesce(moved, initial)).otherwise(initial)
     guaranteed = F.col("sla_level") == "GUARANTEED"
     final = F.when(guaranteed, F.lit("REMOVED")).otherwise(F.lit("ENFORCED"))
     decision = (
         F.when(~F.col("_end"), F.lit("HEAL"))
-        .when(F.col("remedy").isNull(), F.lit("NO_REMEDY"))
-        .otherwise(F.lit("GIVE_UP"))
+        .otherwise(F.lit("NO_REMEDY" if chosen is None else "GIVE_UP"))
     )
     joined = open_still.join(requests.select("request_id", "sla_level"), "request_id")
     return joined.select(
@@ -194,8 +192,8 @@ def heal_decisions(
         "attempt",
         decision.alias("decision"),
         F.when(~F.col("_end"), F.lit("HEALED")).otherwise(final).alias("status"),
-        F.when(~F.col("_end"), F.col("remedy")).alias("remedy"),
-        F.when(~F.col("_end"), F.col("param")).alias("param"),
+        F.when(~F.col("_end"), of_remedy("remedy")).alias("remedy"),
+        F.when(~F.col("_end"), of_remedy("param")).alias("param"),
         F.when(~F.col("_end"), value).alias("value"),
     )
 
