@@ -230,6 +230,18 @@ def test_one_request_equals_its_chain(spark, small):
         assert all(r["timestamps"].count(";") == 2 for r in alone)
 
 
+def test_attributes_without_capabilities(spark, small):
+    obs, sensors = fx.observations(spark, small), fx.sensors(spark, small)
+    nothing = fx.capabilities(spark, small).where("false")
+    request = {"topic": "view", "interested_in": ["OBS_FRESHNESS", "OBS_ACCURACY"]}
+    rows = chain.run_request(obs, request, sensors, nothing, fx.AS_OF_MS)
+    assert all(list(r["qoOAttributeValues"]) == request["interested_in"] for r in rows.collect())
+    assert {r["qoOAttributeValues"]["OBS_ACCURACY"] for r in rows.collect()} == {"0.0"}
+    compat = Compat(attributes_need_capabilities=True)
+    bare = chain.run_request(obs, request, sensors, nothing, fx.AS_OF_MS, compat=compat)
+    assert all(r["qoOAttributeValues"] == {} for r in bare.collect())
+
+
 def test_members_cover_every_request(spark, small):
     requests = fx.requests(spark, small)
     members = chain.chain_members(requests)

@@ -59,13 +59,12 @@ def finished(spark, frame, path, name):
     return spark.table(name).collect()
 
 
-@pytest.mark.parametrize("seed,delay", [(None, "1 second"), (7, "40 days")])
-def test_rate_limit(spark, obs, tmp_path, seed, delay):
+@pytest.mark.parametrize("seed,delay,anchor", [(None, "1 second", "first"), (7, "40 days", "epoch")])
+def test_rate_limit(spark, obs, tmp_path, seed, delay, anchor):
     stream = arriving(spark, obs, str(tmp_path), seed=seed)
-    got = finished(
-        spark, m.RATE_LIMIT(stream, n=2, period_ms=6 * HOUR, keys=["topic"], delay=delay), str(tmp_path), f"limit{seed}"
-    )
-    expected = rates.rate_limit(obs, 2, 6 * HOUR, keys=["topic"]).collect()
+    options = dict(n=2, period_ms=6 * HOUR, keys=["topic"], anchor=anchor)
+    got = finished(spark, m.RATE_LIMIT(stream, delay=delay, **options), str(tmp_path), f"limit_{anchor}")
+    expected = m.RATE_LIMIT(obs, **options).collect()
     assert Counter(got) == Counter(expected)
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import AS_OF, FIXED_ACCURACY, query, with_ctes
-from tidegauge.operators import lifecycle
+from tidegauge.functions.clock import epoch_ms
+from tidegauge.operators import enrich, lifecycle, ordering
 from tidegauge.operators import requests as rq
 from tidegauge.plans import chain, stages
 from tidegauge.sources import fixtures as fx
 from tidegauge.sources import requests as docs
 from tidegauge.sources import sinks
+from tidegauge.sources.observations import union_topics
+from tidegauge.streaming import mechanisms
 
 STATE_ROWS = """states as (select *, row_number() over (partition by request_id order by seq) as nr,
     lead(start_ms) over (partition by request_id order by seq) as next_ms from steps)"""
@@ -642,3 +645,64 @@ def _(spark, d):
     for settings in registry.chain({"threshold_min": "-50.0"}, [custom]):
         obs = settings.apply(obs)
     return obs.select("obs_id", "topic", "producer", F.unix_millis("date").alias("date_ms"), "value")
+
+
+@query(
+    "ud2_register_attribute",
+    with_ctes(
+        """select obs_id, case when min_value is null or isinf(max_value - min_value) then 0.0
+        else (value - min_value) / (max_value - min_value) end as obs_rate from obs left join bounds using (producer)""",
+        "obs", "bounds",
+    ),
+)
+def _(spark, d):
+    registry = enrich.AttributeRegistry()
+    width = F.col("max_value") - F.col("min_value")
+    registry.register(
+        "OBS_RATE",
+        lambda df: F.when(width.isNull() | (width == float("inf")), F.lit(0.0)).otherwise(
+            (F.col("value") - F.col("min_value")) / width
+        ),
+        ("value", "min_value", "max_value"),
+    )
+    obs = enrich.with_capability(fx.observations(spark, d), fx.capabilities(spark, d))
+    return enrich.score(obs, ["OBS_RATE"], registry).select("obs_id", "obs_rate")
+
+
+@query(
+    "ud3_register_mechanism",
+    with_ctes(
+        """select obs_id, producer, date_ms from obs qualify
+        lead(date_ms) over (partition by producer order by date_ms, obs_id) - date_ms > 43200000""",
+        "obs",
+    ),
+)
+def _(spark, d):
+    def before_silence(df, keys, silence_ms):
+        rows = df.withColumn("date_ms", epoch_ms(df, "date"))
+        led = ordering.with_next(rows, "date_ms", keys, tie=("obs_id",), name="next_ms")
+        return led.where(F.col("next_ms") - F.col("date_ms") > silence_ms)
+
+    mechanism = mechanisms.MechanismRegistry().register("before_silence", before_silence)
+    rows = mechanism(fx.observations(spark, d), keys=["producer"], silence_ms=43_200_000)
+    return rows.select("obs_id", "producer", "date_ms")
+
+
+@query(
+    "set1_topic_union",
+    with_ctes(
+        "select obs_id, topic, value from obs where (topic = 'view' and value > 0) or topic = 'error'", "obs"
+    ),
+)
+def _(spark, d):
+    obs = fx.observations(spark, d).select("obs_id", "topic", "value")
+    views = obs.where((F.col("topic") == "view") & (F.col("value") > 0)).drop("topic")
+    return union_topics({"view": views, "error": obs.where(F.col("topic") == "error").drop("topic")})
+
+
+@query(
+    "set2_distinct_sensor_places",
+    with_ctes("select distinct topic, relative_location, area, latitude, longitude from sens", "sens"),
+)
+def _(spark, d):
+    return fx.sensors(spark, d).select("topic", "relative_location", "area", "latitude", "longitude").distinct()

@@ -14,13 +14,13 @@ from tidegauge.plans.stages import Mechanism
 from tidegauge.streaming.ordered import ordered_stream
 
 
-def _limit_step(n: int, period_ms: int):
+def _limit_step(n: int, period_ms: int, aligned: bool):
     def step(memory, rows, known):
         start, count = (memory["start"], memory["count"]) if memory else (None, 0)
         kept = []
         for i, at in enumerate(rows["_ts"].tolist()):
             if start is None or at >= start + period_ms:
-                start, count = at, 0
+                start, count = at - at % period_ms if aligned else at, 0
             if count < n:
                 kept.append(i)
                 count += 1
@@ -37,12 +37,16 @@ def stream_rate_limit(
     ts: str = "date",
     keys: Sequence[str] = (),
     tie: Sequence[str] = ("obs_id",),
+    anchor: str = "first",
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Streaming form of ``rate_limit(anchor="first")``."""
+    """Streaming form of ``rate_limit``."""
     if n <= 0:
         return df.where(F.lit(False))
-    return ordered_stream(df, _limit_step(n, period_ms), df.schema, ts=ts, keys=keys, tie=tie, delay=delay)
+    if anchor not in ("first", "epoch"):
+        raise ValueError(f"unsupported anchor {anchor!r}")
+    step = _limit_step(n, period_ms, anchor == "epoch")
+    return ordered_stream(df, step, df.schema, ts=ts, keys=keys, tie=tie, delay=delay)
 
 
 def stream_sample_reports(df: DataFrame, period_ms: int = 1000, **options) -> DataFrame:
