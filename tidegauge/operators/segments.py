@@ -69,28 +69,24 @@ def _floor_div(ms: Column, width: Column) -> Column:
     return ((ms - F.pmod(ms, width)) / width).cast("bigint")
 
 
+GROUP = ("_key", "_period", "_chunk")
+
+
 class _Groups:
-    """Group boundaries and next pointers of rows sorted by (key, period, chunk, ts)."""
-
-    def __init__(self, frame: pd.DataFrame):
-        self.frame = frame
-        self.ts = frame["ts"].to_numpy(dtype=np.int64)
-        self.period = frame["_period"].to_numpy(dtype=np.int64)
-        n = len(frame)
-        same = np.ones(n, dtype=bool)
-        same[0] = False
-        for name in ("_key", "_period", "_chunk"):
-            values = frame[name].to_numpy()
-            same[1:] &= values[1:] == values[:-1]
-        self.first = ~same
-        self.group = np.cumsum(self.first) - 1
-        starts = np.flatnonzero(self.first)
-        self.end = np.append(starts[1:], n)[self.group]
-        self.relative = self.ts - self.ts[starts][self.group]
+    """Next pointers of times sorted within groups; ``first`` marks where a group starts."""
+
+    def __init__(self, ts: np.ndarray, period: np.ndarray, first: np.ndarray):
+        self.ts = ts
+        self.period = period
+        self.first = first
+        group = np.cumsum(first) - 1
+        self.starts = np.flatnonzero(first)
+        self.end = np.append(self.starts[1:], len(ts))[group]
+        relative = ts - ts[self.starts][group]
         # Groups are laid side by side on one axis, far enough apart that the
         # search for "own time plus period" cannot run past the next group.
-        self.stride = int(self.relative.max()) + int(self.period.max()) + 1
-        self.axis = self.group * self.stride + self.relative
+        self.stride = int(relative.max()) + int(period.max()) + 1
+        self.axis = group * self.stride + relative
 
     def after_period(self) -> np.ndarray:
         """Row of the first timestamp at least one period later, -1 if outside the group."""
@@ -98,36 +94,51 @@ class _Groups:
         return np.where(nxt < self.end, nxt, -1)
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _group_starts(frame: pd.DataFrame) -> np.ndarray:
+    """Marks the rows that differ from the one before in key, period or chunk."""
+    first = np.zeros(len(frame), dtype=bool)
+    first[0] = True
+    for name in GROUP:
+        values = frame[name].to_numpy()
+        first[1:] |= values[1:] != values[:-1]
+    return first
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Re-cut sorted batches so that no (key, period, chunk) spans two of them."""
+
+    def head(frame: pd.DataFrame, at: int) -> tuple:
+        return tuple(frame[name].iat[at] for name in GROUP)
+
+    def joined(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        whole = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        return whole, _group_starts(whole)
+
     held: list[pd.DataFrame] = []
-    names = ["_key", "_period", "_chunk"]
     for batch in batches:
         if len(batch) == 0:
             continue
-        if held and not (batch[names].iloc[-1] == held[-1][names].iloc[-1]).all():
-            last = batch[names].iloc[-1]
-            tail = (batch[names] == last).all(axis=1).to_numpy()
-            cut = int(np.argmax(tail))
-            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
-            held = [batch.iloc[cut:]]
-        elif held:
-            held.append(batch)
+        last = head(batch, -1)
+        if head(batch, 0) == last:
+            cut = 0
+            fresh = bool(held) and head(held[-1], -1) != last
         else:
-            last = batch[names].iloc[-1]
-            tail = (batch[names] == last).all(axis=1).to_numpy()
-            cut = int(np.argmax(tail))
-            if cut:
-                yield batch.iloc[:cut].reset_index(drop=True)
-            held = [batch.iloc[cut:]]
+            cut = int(np.flatnonzero(_group_starts(batch))[-1])
+            fresh = True
+        if fresh:
+            ready = [*held, batch.iloc[:cut]] if cut else held
+            if ready:
+                yield joined(ready)
+            held = []
+        held.append(batch.iloc[cut:])
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield joined(held)
 
 
 def _chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per chunk: for a chain that may start at ``upto`` at the latest, its last anchor."""
-    for frame in _whole_groups(batches):
-        groups = _Groups(frame)
+    for frame, first in _whole_groups(batches):
+        groups = _Groups(frame["ts"].to_numpy(np.int64), frame["_period"].to_numpy(np.int64), first)
         nxt = groups.after_period()
         own = np.arange(len(frame))
         leave = np.where(nxt >= 0, nxt, own)
@@ -175,45 +186,53 @@ def _chunk_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Anchors of every chunk; each group starts with its entry row, if it has one."""
-    for frame in _whole_groups(batches):
+    for frame, first in _whole_groups(batches):
         is_entry = frame["is_entry"].to_numpy(dtype=bool)
         if not is_entry.any():
             continue
-        times = frame.loc[~is_entry].reset_index(drop=True)
-        entries = frame.loc[is_entry, ["_key", "_period", "_chunk", "ts"]]
-        groups = _Groups(times)
-        heads = times.loc[groups.first, ["_key", "_period", "_chunk"]]
-        heads = heads.merge(
-            entries.rename(columns={"ts": "enter"}), on=["_key", "_period", "_chunk"], how="left"
+        time_rows = np.flatnonzero(~is_entry)
+        # A group that is entered begins with its entry row, so the times after
+        # that row begin the group; a chunk without entry row is not walked.
+        after_entry = np.append(False, is_entry[:-1])
+        groups = _Groups(
+            frame["ts"].to_numpy(np.int64)[time_rows],
+            frame["_period"].to_numpy(np.int64)[time_rows],
+            (first | after_entry)[time_rows],
         )
-        starts = np.flatnonzero(groups.first)
-        entered = heads["enter"].notna().to_numpy()
-        # A chunk without entry is not walked. An entry before the first
-        # timestamp means that timestamp; it may lie too far back to subtract.
-        enter = heads["enter"].astype("float64").fillna(LONG_MIN).to_numpy()
+        starts = groups.starts
+        entered = after_entry[time_rows[starts]]
+        enter = np.full(len(starts), LONG_MIN)
+        enter[entered] = frame["ts"].to_numpy(np.int64)[time_rows[starts[entered]] - 1]
+        # An entry before the first timestamp means that timestamp; it may lie
+        # too far back to subtract.
         head_ts = groups.ts[starts]
-        offset = np.maximum(enter, head_ts).astype(np.int64) - head_ts
+        offset = np.maximum(enter, head_ts) - head_ts
         axis = np.arange(len(starts)) * groups.stride + offset
         at = np.searchsorted(groups.axis, axis)
         walked = entered & (at < groups.end[starts])
         at = at[walked]
         # The entry is one period after the last anchor before the chunk, if there is one.
-        before = np.where(enter == LONG_MIN, np.nan, enter - groups.period[starts])[walked]
+        known = enter[walked] != LONG_MIN
+        before = np.where(known, enter[walked], 0) - groups.period[starts[walked]]
         nxt = groups.after_period()
-        rows, previous = [at], [before]
+        rows, previous, chained = [at], [before], [known]
         while at.size:
             onward = nxt[at]
             moved = onward >= 0
-            previous.append(groups.ts[at[moved]].astype("float64"))
+            previous.append(groups.ts[at[moved]])
             at = onward[moved]
             rows.append(at)
+            chained.append(np.ones(len(at), dtype=bool))
         found = np.concatenate(rows)
+        source = time_rows[found]
         yield pd.DataFrame(
             {
-                "_key": times["_key"].to_numpy()[found],
+                "_key": frame["_key"].to_numpy()[source],
                 "_period": groups.period[found],
                 "anchor_ms": groups.ts[found],
-                "previous_ms": pd.array(np.concatenate(previous), dtype="Float64").astype("Int64"),
+                "previous_ms": pd.arrays.IntegerArray(
+                    np.concatenate(previous), ~np.concatenate(chained)
+                ),
             }
         )
 
