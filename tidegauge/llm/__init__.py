@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidegauge.llm.common import ORACLES, QUERIES
 
-MODULES = ("mixing", "packing")
+MODULES = ("mixing", "packing", "rules")
 
 
 def load() -> tuple[dict, dict]:
