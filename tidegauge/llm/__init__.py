@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidegauge.llm.common import ORACLES, QUERIES
 
-MODULES = ("mixing", "packing", "rules")
+MODULES = ("mixing", "packing", "rules", "toxicity")
 
 
 def load() -> tuple[dict, dict]:
