@@ -74,8 +74,8 @@ def _per_text(marked: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(marked)])[borders])
 
 
-def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every whole text."""
+def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stratum, the counts of every whole text, and a struct ``carried`` with the columns in ``carry``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +112,22 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: st
                 )
             columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * len(COUNTS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "stratum", *COUNTS]
+                [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], *batch.columns[3:]],
+                names=["doc_id", "stratum", *COUNTS, *inner],
             )
 
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
-    return chosen.mapInArrow(measure, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    inner = [f"carry_{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"),
+        F.col(stratum).cast("string").alias("stratum"),
+        F.col(text).alias("text"),
+        *[F.col(c).alias(i) for c, i in zip(carry, inner)],
+    )
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[3:])
+    out = rows.mapInArrow(measure, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + more)
+    if not carry:
+        return out
+    return out.select("doc_id", "stratum", *COUNTS, F.struct(*[F.col(i).alias(c) for c, i in zip(carry, inner)]).alias("carried"))
 
 
 def base_failed() -> Column:
@@ -181,10 +192,15 @@ def good_texts(measured: DataFrame, labels: DataFrame) -> DataFrame:
     return measured.filter(~base_failed()).join(marked.select("doc_id"), "doc_id")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: float = RISK) -> DataFrame:
-    """Every document with its counts, base_failed, kept and rejected_by."""
+def quality_rules(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: float = RISK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with its counts, base_failed, kept, rejected_by and, if columns are carried, the struct ``carried``.
+
+    The counts are written once. With carried columns they are counted again on
+    the way of the whole rows, which costs less than joining these.
+    """
     measured = cut(counts(docs))
-    return judge(measured, choose_cutoffs(good_texts(measured, labels), limit, risk))
+    cutoffs = choose_cutoffs(good_texts(measured, labels), limit, risk)
+    return judge(counts(docs, carry=carry) if carry else measured, cutoffs)
 
 
 def _sql() -> str:

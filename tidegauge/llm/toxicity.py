@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, fold, query, table
+from tidegauge.llm.common import fold, query, table
 from tidegauge.llm.labelled import fit_sample
 from tidegauge.llm.spans import Texts, slices
 
@@ -248,70 +248,84 @@ def odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, k: int = 15, per_class: int = 6000, label: str = "toxic", carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """doc_id, score, evidence (ids of the nearest examples), similarity of the nearest, and the columns in ``carry``.
-
-    ``per_class`` bounds the labelled examples of each class; see ``fit_sample``.
-    """
-    spark = docs.sparkSession
+@dataclass
+class ToxicityModel:
+    """What every task needs to score texts; its size is bounded by the labelled sample."""
+
+    terms: np.ndarray
+    index: BlockMaxIndex
+    k: int
+    prior: float
+    bare_score: float
+    slope: float
+    offset: float
+
+    def score(self, terms: list[int], times: list[int]) -> tuple[float, list[int], float]:
+        if not terms:
+            return self.bare_score, [], 0.0
+        own = np.array(terms)
+        near, similar = self.index.nearest(own, unit(own, np.array(times), self.index.idf), self.k)
+        raw = vote(self.index.labels[near], similar, self.prior)
+        value = 1 / (1 + np.exp(-(self.slope * odds(np.array(raw)) + self.offset)))
+        return float(value), self.index.ids[near].tolist(), float(similar[0]) if len(similar) else 0.0
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, k: int = 15, per_class: int = 6000, label: str = "toxic") -> ToxicityModel:
+    """The model of at most ``per_class`` labelled examples of each class, with idf counted over all of ``docs``."""
     sample = fit_sample(docs, labels, label, per_class)
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     terms = toxic_terms(sample, n.get(1, 0), n.get(0, 0))
-    vectors = cut(term_vectors(docs, terms, *carry))
-    share = np.zeros(len(terms))
-    for term, times in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        share[term] = times
-    idf = np.log((1 + vectors.count()) / (1 + share)) + 1.0
+    in_corpus = np.zeros(len(terms))
+    for term, times in term_counts(docs, terms).collect():
+        in_corpus[np.searchsorted(terms, np.uint64(term))] = times
+    idf = np.log((1 + docs.count()) / (1 + in_corpus)) + 1.0
     # the examples are bounded by the sample, so that their vectors may be gathered
-    examples = [tuple(r) for r in term_vectors(sample, terms, "label").orderBy("doc_id", "terms", "times").collect()]
+    examples = [tuple(r) for r in term_vectors(sample, terms, "label").orderBy("doc_id", "terms", "times", "label").collect()]
     bare = [r for r in examples if not r[1]]
     index, placed = BlockMaxIndex.build(idf, [r for r in examples if r[1]])
     prior = sum(r[3] for r in examples) / max(1, len(examples))
-    bare_score = (sum(r[3] for r in bare) + prior) / (len(bare) + 1) if examples else 0.0
+    bare_score = (sum(r[3] for r in bare) + prior) / (len(bare) + 1)
     votes = []
     for place, (t, weights) in enumerate(placed):
         near, similar = index.nearest(t, weights, k, place)
         votes.append(vote(index.labels[near], similar, prior))
     slope, offset = logistic(np.array(votes), index.labels) if votes else (1.0, 0.0)
+    return ToxicityModel(terms, index, k, prior, bare_score, slope, offset)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, evidence (ids of the nearest examples), similarity of the nearest, and the columns in ``carry``, row by row."""
+    inner = [f"carry_{i}" for i in range(len(carry))]
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(i) for c, i in zip(carry, inner)])
+    vectors = term_vectors(rows, model.terms, *inner)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple[float, list[int], float]] = {}
         for batch in batches:
-            rows = []
+            out = []
             for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not t:
-                    rows.append((bare_score, [], 0.0))
-                    continue
                 key = (tuple(t), tuple(m))
                 if key not in known:
-                    if len(known) > 100_000:
+                    if len(known) > 100_000:  # bounds memory, not results
                         known.clear()
-                    near, similar = index.nearest(np.array(t), unit(np.array(t), np.array(m), idf), k)
-                    raw = vote(index.labels[near], similar, prior)
-                    value = 1 / (1 + np.exp(-(slope * odds(np.array(raw)) + offset)))
-                    known[key] = (float(value), index.ids[near].tolist(), float(similar[0]) if len(similar) else 0.0)
-                rows.append(known[key])
-            columns = list(zip(*rows)) or [(), (), ()]
+                    known[key] = model.score(t, m)
+                out.append(known[key])
+            columns = list(zip(*out)) or [(), (), ()]
+            kinds = (pa.float64(), pa.list_(pa.int64()), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(columns[0], pa.float64()),
-                    pa.array(columns[1], pa.list_(pa.int64())),
-                    pa.array(columns[2], pa.float64()),
-                    *batch.columns[3:],
-                ],
-                names=["doc_id", "score", "evidence", "similarity", *carry],
+                [batch.column(0), *[pa.array(c, kind) for c, kind in zip(columns, kinds)], *batch.columns[3:]],
+                names=["doc_id", "score", "evidence", "similarity", *inner],
             )
 
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in vectors.schema[3:])
-    return vectors.mapInArrow(score, f"doc_id long, score double, evidence array<long>, similarity double{more}")
+    scored = vectors.mapInArrow(score, f"doc_id long, score double, evidence array<long>, similarity double{more}")
+    return scored.select("doc_id", "score", "evidence", "similarity", *[F.col(i).alias(c) for c, i in zip(carry, inner) if c != "doc_id"])
 
 
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
