@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidegauge.llm.common import ORACLES, QUERIES
 
-MODULES = ("mixing", "packing", "rules", "toxicity", "neardup", "quality")
+MODULES = ("mixing", "packing", "rules", "toxicity", "neardup", "quality", "wrappers")
 
 
 def load() -> tuple[dict, dict]:
