@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidegauge.llm.common import ORACLES, QUERIES
 
-MODULES = ("topk", "packing", "quality", "rules", "wrappers", "toxicity", "neardup", "mixing")
+MODULES = ("topk", "packing", "sharding", "quality", "rules", "wrappers", "toxicity", "neardup", "mixing")
 
 
 def load() -> tuple[dict, dict]:
