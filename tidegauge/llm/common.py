@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Rows of a batch that Python gets; with texts of a few kB a batch has some MB.
+BATCH_ROWS = 1000
+
 #: Words of a text are runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +54,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_ROWS rows, for columns of long texts.
+
+    The limit is a setting of the session, which is lowered where it is higher.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """A value that one Python worker makes once and keeps for all tasks that it runs."""
     module = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, query, table
+from tidegauge.llm.common import cut, map_arrow, query, table
 from tidegauge.llm.tokenize import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, PIECES)
+    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), pieces, PIECES)
 
 
 class OpenBins:
@@ -110,7 +110,7 @@ def best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, seq
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
     dealt = pieces.repartition(tasks, F.xxhash64(*names)).sortWithinPartitions(F.desc("length"), *[n for n in names if n != "length"])
-    return dealt.mapInArrow(pack, f"{schema}, sequence_id long, offset long")
+    return map_arrow(dealt, pack, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int = 4096) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import fold, query, table
+from tidegauge.llm.common import fold, map_arrow, query, table
 from tidegauge.llm.labelled import fit_sample
 from tidegauge.llm.spans import Texts, slices, windows
 
@@ -171,7 +171,7 @@ def fit_quality(
             )
 
     sample = fit_sample(docs, labels, label, per_class)
-    found = sample.mapInArrow(read, "doc_id long, label int, columns binary").orderBy("doc_id", "columns").collect()
+    found = map_arrow(sample, read, "doc_id long, label int, columns binary").orderBy("doc_id", "columns").collect()
     rows = [np.frombuffer(r[2], np.int32) for r in found]
     good = np.array([r[1] for r in found], np.int64)
     if not len(good) or good.min() == good.max():
@@ -200,7 +200,7 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
             scores = [model.score(texts) for _, _, texts in slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["doc_id", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, score double")
+    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), score, "doc_id long, score double")
 
 
 @query("op4_quality")

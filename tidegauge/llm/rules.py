@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, query, table
+from tidegauge.llm.common import cut, map_arrow, query, table
 from tidegauge.llm.spans import mix, slices, windows
 
 #: Rule: measured per hundred of; cutoffs, loosest first.
@@ -124,7 +124,7 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: st
         *[F.col(c).alias(i) for c, i in zip(carry, inner)],
     )
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[3:])
-    out = rows.mapInArrow(measure, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + more)
+    out = map_arrow(rows, measure, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + more)
     if not carry:
         return out
     return out.select("doc_id", "stratum", *COUNTS, F.struct(*[F.col(i).alias(c) for c, i in zip(carry, inner)]).alias("carried"))

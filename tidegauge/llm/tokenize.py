@@ -54,7 +54,7 @@ class _Chunks(dict):
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers. The limits bound memory, not results."""
 
-    def __init__(self, path: str, pieces: int = 400_000, chunks: int = 200_000):
+    def __init__(self, path: str, pieces: int = 250_000, chunks: int = 120_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         whole = Tokenizer.from_file(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import fold, query, table
+from tidegauge.llm.common import fold, map_arrow, query, table
 from tidegauge.llm.labelled import fit_sample
 from tidegauge.llm.spans import Texts, slices
 
@@ -86,7 +86,7 @@ def term_counts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 
     if wanted is not None and not len(wanted):
         return docs.sparkSession.createDataFrame([], "term long, n long")
-    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def toxic_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -113,41 +113,45 @@ def toxic_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     return wanted[(ratio >= np.log(LEAST_RATIO)) & (2 * sum(part(x, y) for x, y in cells) >= LEAST_G2)]
 
 
+class TermFinder:
+    """Finds the terms of texts among known ones (sorted)."""
+
+    BITS, SPREAD = 20, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[(terms * self.SPREAD) >> np.uint64(64 - self.BITS)] = True
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Borders of each text, and number in ``terms`` and times of each of its terms."""
+        keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        width = len(self.terms) + 1
+        for begin, _, texts in slices(column):
+            owner, value = grams(texts)
+            hit = self.seen[(value * self.SPREAD) >> np.uint64(64 - self.BITS)]
+            owner, value = owner[hit], value[hit]
+            if len(value):
+                spot = np.minimum(np.searchsorted(self.terms, value), width - 2)
+                hit = self.terms[spot] == value
+                keys.append((owner[hit] + begin) * width + spot[hit])
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
+        return np.searchsorted(key, np.arange(len(column) + 1) * width), key % width, times
+
+
 def term_vectors(docs: DataFrame, terms: np.ndarray, *also: str) -> DataFrame:
     """doc_id, terms (numbers in ``terms``, rising), times, and the columns in ``also``, one row per document."""
-    table_bits = 20
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    seen = np.zeros(1 << table_bits, bool)
-    seen[(terms * spread) >> np.uint64(64 - table_bits)] = True
+    finder = TermFinder(terms)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys: list[np.ndarray] = []
-            begun = 0
-            for begin, end, texts in slices(batch.column(1)):
-                owner, value = grams(texts)
-                hit = seen[(value * spread) >> np.uint64(64 - table_bits)]
-                owner, value = owner[hit], value[hit]
-                spot = np.minimum(np.searchsorted(terms, value), max(len(terms) - 1, 0))
-                hit = terms[spot] == value if len(terms) else np.zeros(0, bool)
-                keys.append((owner[hit] + begin) * (len(terms) + 1) + spot[hit])
-                begun = end
-            key, times = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-            borders = np.searchsorted(key, np.arange(begun + 1) * (len(terms) + 1)).astype(np.int32)
-            term = (key % (len(terms) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.ListArray.from_arrays(pa.array(borders), pa.array(term)),
-                    pa.ListArray.from_arrays(pa.array(borders), pa.array(times.astype(np.int32))),
-                    *batch.columns[2:],
-                ],
-                names=["doc_id", "terms", "times", *also],
-            )
+            borders, term, times = finder(batch.column(1))
+            lists = [pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (term, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *batch.columns[2:]], names=["doc_id", "terms", "times", *also])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
-    return rows.mapInArrow(find, f"doc_id long, terms array<int>, times array<int>{more}")
+    return map_arrow(rows, find, f"doc_id long, terms array<int>, times array<int>{more}")
 
 
 @dataclass
@@ -260,7 +264,7 @@ class ToxicityModel:
     slope: float
     offset: float
 
-    def score(self, terms: list[int], times: list[int]) -> tuple[float, list[int], float]:
+    def score(self, terms: tuple[int, ...], times: tuple[int, ...]) -> tuple[float, list[int], float]:
         if not terms:
             return self.bare_score, [], 0.0
         own = np.array(terms)
@@ -296,29 +300,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, k: int = 15, per_class: int
 def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples), similarity of the nearest, and the columns in ``carry``, row by row."""
     inner = [f"carry_{i}" for i in range(len(carry))]
-    rows = docs.select("doc_id", "text", *[F.col(c).alias(i) for c, i in zip(carry, inner)])
-    vectors = term_vectors(rows, model.terms, *inner)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(i) for c, i in zip(carry, inner)])
+    finder = TermFinder(model.terms)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple[float, list[int], float]] = {}
         for batch in batches:
+            borders, term, times = finder(batch.column(1))
             out = []
-            for t, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (tuple(t), tuple(m))
+            for a, b in zip(borders[:-1], borders[1:]):
+                key = (tuple(term[a:b].tolist()), tuple(times[a:b].tolist()))
                 if key not in known:
-                    if len(known) > 100_000:  # bounds memory, not results
+                    if len(known) > 20_000:  # bounds memory, not results
                         known.clear()
-                    known[key] = model.score(t, m)
+                    known[key] = model.score(*key)
                 out.append(known[key])
             columns = list(zip(*out)) or [(), (), ()]
             kinds = (pa.float64(), pa.list_(pa.int64()), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, kind) for c, kind in zip(columns, kinds)], *batch.columns[3:]],
+                [batch.column(0), *[pa.array(c, kind) for c, kind in zip(columns, kinds)], *batch.columns[2:]],
                 names=["doc_id", "score", "evidence", "similarity", *inner],
             )
 
-    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in vectors.schema[3:])
-    scored = vectors.mapInArrow(score, f"doc_id long, score double, evidence array<long>, similarity double{more}")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
+    scored = map_arrow(rows, score, f"doc_id long, score double, evidence array<long>, similarity double{more}")
     return scored.select("doc_id", "score", "evidence", "similarity", *[F.col(i).alias(c) for c, i in zip(carry, inner) if c != "doc_id"])
 
 
