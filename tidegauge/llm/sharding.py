@@ -3,7 +3,8 @@
 Items are linked through hubs: a hub is a set of items that should stand together
 (here the documents with equal texts). All linked items begin in a shard drawn by
 hash. In each round every hub counts by join what of it lies in which shard and
-names the fullest one that still has room; its other items ask to move there. The
+names the fullest one, or, where one is too small for it, the fullest that have
+room; its other items ask to move there. The
 requests between each two shards are summed, and quotas are derived from the sums:
 what two shards swap may always move, beyond that only what the room allows.
 Whether an item is within a quota is decided by hash, alike for all of a small
@@ -77,31 +78,31 @@ def propagate(links: DataFrame, capacity: float, shards: int = SHARDS, rounds: i
         own = state.groupBy("row").agg(F.any_value("size").alias("size"), F.any_value("shard").alias("shard"))
         held = {r[0]: float(r[1]) for r in own.groupBy("shard").agg(F.sum("size")).collect()}
         room = [capacity - held.get(j, 0.0) for j in range(shards)]
-        # the fullest shard of the hub that can take what lies elsewhere, else the fullest at all
+        # a small hub gathers in its fullest shard; a larger one in as many as it needs, the fullest that have room
         open_ = F.get(F.array(*[F.lit(r > 0) for r in room]), F.col("shard"))
-        place = F.struct(open_.alias("open"), F.col("held"), (-F.col("shard")).alias("order"))
-        full = F.struct(F.col("held"), (-F.col("shard")).alias("order"))
-        wish = cut(
-            lying.groupBy("hub").agg(F.max(place).alias("first"), F.max(full).alias("fullest"), F.sum("held").alias("whole"))
-        ).select(
-            "hub",
-            "whole",
-            F.when(F.col("whole") <= SMALL_HUB * capacity, -F.col("fullest.order")).otherwise(-F.col("first.order")).alias("wish"),
-            F.col("first.held").alias("weight"),
-        )
-        asks = state.join(wish, "hub")
-        strongest = asks.groupBy("row").agg(
+        small = F.col("whole") <= SMALL_HUB * capacity
+        by_room = F.sort_array(F.collect_list(F.struct(open_.alias("open"), F.col("held"), (-F.col("shard")).alias("place"))), asc=False)
+        by_fill = F.sort_array(F.collect_list(F.struct(F.col("held"), (-F.col("shard")).alias("place"))), asc=False)
+        hubs = lying.groupBy("hub").agg(by_room.alias("by_room"), by_fill.alias("by_fill"), F.sum("held").alias("whole"))
+        needed = F.ceil(F.col("whole") / F.lit(max(capacity, 1.0))).cast("int")
+        best = F.when(small, F.slice(F.col("by_fill.place"), 1, 1)).otherwise(F.slice(F.col("by_room.place"), F.lit(1), needed))
+        targets = F.transform(best, lambda x: (-x).cast("int"))
+        wish = cut(hubs.select("hub", "whole", targets.alias("targets"), F.element_at("by_fill.held", 1).alias("weight")))
+        strongest = state.join(wish, "hub").groupBy("row").agg(
             F.any_value("size").alias("size"),
             F.any_value("shard").alias("shard"),
-            F.max_by(F.struct("wish", "hub", "whole"), F.struct("weight", "hub")).alias("to"),
+            F.max_by(F.struct("targets", "hub", "whole"), F.struct("weight", "hub")).alias("to"),
         )
-        asks = cut(strongest.select("row", "size", "shard", "to.*"))
+        asks = strongest.select("row", "size", "shard", "to.*")
+        drawn_target = F.get("targets", F.pmod(F.xxhash64("row", F.lit(f"to {number}")), F.size("targets").cast("long")).cast("int"))
+        asks = asks.withColumn("wish", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(drawn_target))
+        asks = cut(asks.drop("targets"))
         wanted = asks.filter("wish <> shard").groupBy("shard", "wish").agg(F.sum("size"))
         asked = {(r[0], r[1]): float(r[2]) for r in wanted.collect()}
         if not asked:
             break
         share = F.get(F.array(*[F.lit(q) for q in quotas(asked, room, shards)]), F.col("shard") * shards + F.col("wish"))
-        drawn = F.when(F.col("whole") <= SMALL_HUB * capacity, even("hub", F.lit(number))).otherwise(even("row", F.lit(number)))
+        drawn = F.when(small, even("hub", F.lit(number))).otherwise(even("row", F.lit(number)))
         moved = asks.select("row", F.when((F.col("wish") != F.col("shard")) & (drawn < share), F.col("wish")).otherwise(F.col("shard")).alias("shard"))
         state = cut(state.drop("shard").join(moved, "row"))
     return state
