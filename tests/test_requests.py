@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from tidegauge.functions.trail import first_trail_time
 from tidegauge.operators import aggregates, lifecycle, registry, remedies
 from tidegauge.operators import requests as rq
-from tidegauge.operators.sizes import small_side
 from tidegauge.plans import chain, stages
 from tidegauge.schema import Compat
 from tidegauge.sources import fixtures as fx
@@ -275,12 +274,6 @@ def test_stage_settings(spark, small):
         reg.register("a_b", lambda df, p: df)
 
 
-def test_size_check(spark):
-    small, large = spark.range(10), spark.range(1000)
-    assert "broadcast" in small_side(small, max_bytes=10_000)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in small_side(large, max_bytes=10_000)._jdf.queryExecution().logical().toString().lower()
-
-
 def test_as_of_is_an_argument(spark):
     frame = spark.createDataFrame([("produced:5",)], "timestamps string")
     assert frame.select(first_trail_time(F.col("timestamps"))).first()[0] == 5

@@ -131,7 +131,17 @@ def test_rate_limit_never_admits_more_than_n(spark, hot):
 def test_rate_limit_drops_rows_before_the_shuffle(spark, hot):
     kept = rates.rate_limit(events(spark, hot), 3, 100, ts="t", keys=["k"], tie=["id"], anchor="epoch")
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4
+
+
+def test_a_large_limit_sorts_no_window_whole(spark):
+    """Beyond the limit up to which the engine itself prunes, parts of a window are ranked first."""
+    rows = spark.range(60_000).select(F.col("id"), (F.col("id") % 977).alias("t"))
+    kept = rates.rate_limit(rows, 5000, 1_000_000, ts="t", tie=["id"], anchor="epoch")
+    want = sorted((t, i) for i, t in ((i, i % 977) for i in range(60_000)))[:5000]
+    assert sorted((r["t"], r["id"]) for r in kept.collect()) == want
+    parted = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert parted.count("Window [row_number()") == 2 and "_part" in parted
 
 
 def reports_by_scan(rows, period):

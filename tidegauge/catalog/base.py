@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.schema import WireNames
-from tidegauge.sources.fixtures import AS_OF_MS
+from tidegauge.sources.fixtures import AS_OF_MS, SPREADS
 from tidegauge.sources.vocabulary import iri
+from tidegauge.streaming.runs import checkpoint_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's checkpoint folder, or a temporary one where none is set."""
+    return checkpoint_root(spark, tempfile.gettempdir())
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Timestamps as ``<name>_ms``, so that both engines compare plain numbers."""
     columns = [
@@ -50,6 +57,10 @@ def _pick(position: str, *words: str) -> str:
     return f"([{listed}])[cast(({position}) % {len(words)} as int) + 1]"
 
 
+def _spread(field: int) -> str:
+    return f"(((cast(o_orderkey as bigint) * {SPREADS[field]}) % 4294967296) // 65536)"
+
+
 CTES = {
     "obs": f"""select event_id as obs_id, event_type as topic,
         concat('sensor', cast(user_id as varchar)) as producer, {MS} as date_ms, value - 100.0 as value,
@@ -77,14 +88,14 @@ CTES = {
         from caps""",
     "req": f"""select concat('req', cast(o_orderkey as varchar)) as request_id,
         concat('app', cast(o_custkey % 5 as varchar)) as application_id,
-        {_pick('o_orderkey', 'click', 'purchase', 'error', 'signup', 'view', 'ALL')} as topic,
-        {_pick('o_orderkey', 'ALL', 'ASIA', 'EUROPE', 'ATLANTIS')} as area,
-        {_pick('o_orderkey', 'RAW_DATA', 'INFORMATION', 'KNOWLEDGE')} as obs_level,
-        case when o_orderkey % 2 = 0 then cast(-50.0 as double) end as threshold_min,
-        case when o_orderkey % 3 = 0 then cast(120.0 as double) end as threshold_max,
-        case when o_orderkey % 4 = 1 then '2/hour' end as obsrate_max,
-        case when o_orderkey % 4 = 2 then '1/min' end as obsrate_min,
-        case when o_orderkey % 5 = 0 then '72 hours' else 'unset' end as age_max,
+        {_pick(_spread(0), 'click', 'purchase', 'error', 'signup', 'view', 'ALL')} as topic,
+        {_pick(_spread(1), 'ALL', 'ASIA', 'EUROPE', 'ATLANTIS')} as area,
+        {_pick(_spread(2), 'RAW_DATA', 'INFORMATION', 'KNOWLEDGE')} as obs_level,
+        case when {_spread(3)} % 2 = 0 then cast(-50.0 as double) end as threshold_min,
+        case when {_spread(4)} % 3 = 0 then cast(120.0 as double) end as threshold_max,
+        case when {_spread(5)} % 4 = 1 then '2/hour' end as obsrate_max,
+        case when {_spread(5)} % 4 = 2 then {_pick(_spread(6), '1/hour', '3/hour', '8/hour')} end as obsrate_min,
+        case when {_spread(7)} % 5 = 0 then '72 hours' else 'unset' end as age_max,
         case when o_orderkey % 2 = 0 then 'GUARANTEED' else 'BEST_EFFORT' end as sla_level,
         {ORDER_MS} as created_ms, o_orderstatus as order_status, o_orderpriority as priority,
         case o_orderstatus when 'O' then 'ENFORCED' when 'P' then 'SUBMITTED' else 'REMOVED' end as status

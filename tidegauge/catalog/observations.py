@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidegauge.catalog.base import AS_OF, BASE, FIXED_ACCURACY, flat, query, with_ctes
+from tidegauge.catalog.base import AS_OF, BASE, FIXED_ACCURACY, flat, query, scratch, with_ctes
 from tidegauge.functions import naming, params, quality, trail
 from tidegauge.functions.clock import epoch_ms
 from tidegauge.operators import enrich, filters, knowledge
@@ -124,34 +126,31 @@ def _knowledge_rows(spark, d):
 
 
 @query(
-    "snk2_encode_knowledge",
+    "snk3_delivery_topics",
     with_ctes(
-        f"""select obs_id, 14 as nodes, '{BASE}accuracyKind' as first_id, '{BASE}sensorOutput' as last_id
-        from obs""",
-        "obs",
+        """select request_id, obs_level, concat(application_id, '_', request_id) as delivery_topic from req""", "req"
     ),
 )
 def _(spark, d):
-    nodes = "array<struct<`@id`:string,`@type`:string>>"
-    rows = _knowledge_rows(spark, d)
-    text = rows.select("obs_id", sinks.encode_knowledge().alias("text"))
-    parsed = text.select("obs_id", F.from_json("text", f"obs {nodes}").alias("doc")).select("obs_id", "doc.obs")
-    return parsed.select(
-        "obs_id",
-        F.size("obs").alias("nodes"),
-        F.col("obs")[0]["@id"].alias("first_id"),
-        F.element_at("obs", -1)["@id"].alias("last_id"),
-    )
+    return sinks.with_delivery_topic(fx.requests(spark, d)).select("request_id", "obs_level", "delivery_topic")
 
 
 @query(
-    "snk3_delivery_topics",
+    "snk3_write_delivery",
     with_ctes(
-        """select request_id, obs_level, concat(application_id, '_', request_id) as delivery_topic from req""", "req"
+        "select concat('app', obs_id % 5, '_', topic) as delivery_topic, obs_id, producer, date_ms, value from obs", "obs"
     ),
 )
 def _(spark, d):
-    return sinks.with_delivery_topic(fx.requests(spark, d)).select("request_id", "obs_level", "delivery_topic")
+    """Rows written to one folder per delivery topic, and read back."""
+    path = f"{scratch(spark)}/delivery-{uuid.uuid4().hex}"
+    obs = fx.observations(spark, d)
+    rows = obs.select(
+        F.concat(F.lit("app"), (F.col("obs_id") % 5).cast("string")).alias("application_id"),
+        F.col("topic").alias("request_id"), "obs_id", "producer", F.unix_millis("date").alias("date_ms"), "value",
+    )
+    sinks.write_delivery(sinks.with_delivery_topic(rows), path)
+    return spark.read.parquet(path).select("delivery_topic", "obs_id", "producer", "date_ms", "value")
 
 
 @query(
@@ -678,13 +677,13 @@ def _gr2_sql() -> str:
         using (producer)) """ + " union all ".join(selects)
 
 
-@query(
-    "gr2_knowledge_triples",
-    with_ctes(_gr2_sql(), "obs", "bounds", "sens").replace(
-        f"coalesce(concat_ws('', '{BASE}', nullif(s_topic, '')), 'N/A')",
-        f"case when s_topic is null then 'N/A' else concat('{BASE}', s_topic) end",
-    ),
+GR2 = with_ctes(_gr2_sql(), "obs", "bounds", "sens").replace(
+    f"coalesce(concat_ws('', '{BASE}', nullif(s_topic, '')), 'N/A')",
+    f"case when s_topic is null then 'N/A' else concat('{BASE}', s_topic) end",
 )
+
+
+@query("gr2_knowledge_triples", GR2)
 def _(spark, d):
     triples = knowledge.knowledge_triples(_knowledge_rows(spark, d))
     numeric = F.col("p").isin(iri("qoo:obsStrValue"), iri("qoo:qooStrValue"))
@@ -695,26 +694,50 @@ def _(spark, d):
     )
 
 
-@query(
-    "gr1_knowledge_nodes",
-    with_ctes(
-        f"""with {SCORED} select obs_id, concat('{BASE}', producer) as sensor, 2 as listed,
-          coalesce(relative_location, 'N/A') as place, obs_accuracy as accuracy
-        from scored left join (select sensor_id as producer, relative_location from sens) using (producer)""",
-        "obs", "bounds", "sens",
-    ),
-)
+def _node_statements(rows, column: str):
+    """Every key of every node as a statement, in the form of the triples."""
+    keys = knowledge.NODE_KEYS
+    named = F.col(column).getField
+
+    def pair(predicate: str, value):
+        return F.struct(F.lit(predicate).alias("p"), value.alias("o"))
+
+    exploded = rows.select("obs_id", F.explode(column).alias("node"))
+    node = F.col("node")
+    pairs = F.array(pair(iri("rdf:type"), node["@type"]), *[pair(iri(c), node[k]) for k, c in keys.items()])
+    flat_rows = exploded.select("obs_id", node["@id"].alias("s"), F.inline(pairs)).where("o is not null")
+    numeric = F.col("p").isin(iri("qoo:obsStrValue"), iri("qoo:qooStrValue"))
+    return flat_rows.select(
+        "obs_id", "s", "p", F.when(~numeric, F.col("o")).alias("o"), F.when(numeric, F.col("o").cast("double")).alias("number")
+    )
+
+
+@query("gr1_knowledge_nodes", GR2)
 def _(spark, d):
     rows = _knowledge_rows(spark, d).select("obs_id", knowledge.knowledge_nodes(WireNames()).alias("nodes"))
+    return _node_statements(rows, "nodes")
 
-    def node(name):
-        return F.filter("nodes", lambda n: n["@id"] == BASE + name)[0]
 
-    listed = node("qooAttributesList")
-    return rows.select(
-        "obs_id",
-        node("obs")["observedBy"].alias("sensor"),
-        (listed["_1"].isNotNull().cast("int") + listed["_2"].isNotNull().cast("int")).alias("listed"),
-        node("location")["relativeLocation"].alias("place"),
-        node("qooValue_OBS_ACCURACY")["qooStrValue"].cast("double").alias("accuracy"),
-    )
+@query("snk2_encode_knowledge", GR2)
+def _(spark, d):
+    """All nodes of the written text, read back."""
+    fields = ",".join(f"`{k}`:string" for k in ("@id", "@type", *knowledge.NODE_KEYS))
+    text = _knowledge_rows(spark, d).select("obs_id", sinks.encode_knowledge().alias("text"))
+    parsed = text.select("obs_id", F.from_json("text", f"obs array<struct<{fields}>>").alias("doc"))
+    return _node_statements(parsed.select("obs_id", F.col("doc.obs").alias("nodes")), "nodes")
+
+
+DATE_TEXT = "regexp_replace(strftime(make_timestamp(date_ms * 1000), '%Y-%m-%d %H:%M:%S.%g'), '(\\.\\d+?)0+$', '\\1')"
+
+
+@query("flt5_project_knowledge", GR2.replace("select obs_id,", f"select {DATE_TEXT} as at, producer as maker,"))
+def _(spark, d):
+    rows = _knowledge_rows(spark, d)
+    shaped = filters.project_level(rows, "KNOWLEDGE")
+    # the level delivers nodes only; the maker and time of a document are read from these
+    def value(node: str, key: str):
+        return F.filter("obs", lambda n: n["@id"] == BASE + node)[0][key]
+
+    maker = F.substring(value("obs", "observedBy"), len(BASE) + 1, 1000)
+    named = shaped.select(F.struct(value("obsValue", "obsDateValue").alias("at"), maker.alias("maker")).alias("obs_id"), "obs")
+    return _node_statements(named, "obs").select("obs_id.at", "obs_id.maker", "s", "p", "o", "number")

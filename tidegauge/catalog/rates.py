@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import AS_OF, FIXED_ACCURACY, flat, query, with_ctes
-from tidegauge.catalog.registry import REMEDIES, _remedies
-from tidegauge.functions.params import per_second
-from tidegauge.operators import aggregates, enrich, monitor, ordering, rates, segments
+from tidegauge.catalog.registry import REMEDIES
+from tidegauge.operators import aggregates, enrich, monitor, ordering, rates, remedies, segments
 from tidegauge.operators import requests as rq
 from tidegauge.sources import fixtures as fx
 
@@ -126,7 +125,7 @@ def _(spark, d):
     "wn4_latest_of_one_request",
     with_ctes(
         "select request_id, obs_id, value, timestamp_ms from (select topic as request_id, obs_id, value, "
-        "date_ms as timestamp_ms from obs) where request_id = 'error' order by timestamp_ms desc limit 20",
+        "date_ms as timestamp_ms from obs) where request_id = 'error' order by timestamp_ms desc, obs_id desc limit 20",
         "obs",
     ),
 )
@@ -134,7 +133,7 @@ def _(spark, d):
     log = _obs(spark, d).select(
         F.col("topic").alias("request_id"), "obs_id", "value", F.unix_millis("date").alias("timestamp_ms")
     )
-    return rq.latest_observations(log, "error")
+    return rq.latest_observations(log, "error", tie=["obs_id"])
 
 
 @query(
@@ -301,83 +300,97 @@ def _(spark, d):
     with_ctes(
         f"""with {_cut(HOUR, None)}, following as (select a as segment_ms, lead(a) over (order by a) as next_ms
             from anchors where a is not null)
-        select 'delivery' as outlet, cast(count(*) as bigint) as n from obs
-        union all select 'quality', count(distinct segment_ms) from cut
-        union all select 'rate', count(*) from (select distinct case when date_ms = segment_ms then segment_ms
-          else next_ms end as report_ms, producer from cut join following using (segment_ms)) where report_ms is not null""",
+        select 'delivery' as outlet, obs_id, producer, date_ms as at_ms, cast(null as bigint) as n from obs
+        union all select * from (select 'quality', obs_id, producer, date_ms, null from cut where date_ms = segment_ms
+          qualify row_number() over (partition by segment_ms order by obs_id) = 1)
+        union all select 'rate', null, producer, report_ms, count(*) from (select producer, case when row_number() over
+          (partition by segment_ms order by date_ms, obs_id) = 1 then segment_ms else next_ms end as report_ms
+          from cut join following using (segment_ms)) where report_ms is not null group by 3, 4""",
         "obs", recursive=True,
     ),
 )
 def _(spark, d):
     outlets = rates.tee(_obs(spark, d), HOUR, HOUR)
-    counted = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(o).alias("outlet"), "n") for o, f in outlets.items()]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    none = F.lit(None).cast("bigint")
+    at = F.unix_millis("date").alias("at_ms")
+    rows = [
+        outlets[o].select(F.lit(o).alias("outlet"), "obs_id", "producer", at, none.alias("n")) for o in ("delivery", "quality")
+    ]
+    reports = outlets["rate"].select(
+        F.lit("rate").alias("outlet"), none.alias("obs_id"), "producer", F.col("report_ms").alias("at_ms"), "n"
+    )
+    return rows[0].unionByName(rows[1]).unionByName(reports)
 
 
-# Monitoring: demands are the distinct (topic, level) pairs of all requests, with a minimum rate by level
+# Monitoring: every request with a minimum rate, and the stage of its topic, which for ALL sees all observations
 
 
-DEMANDS = f"""demands as (select distinct concat(topic, '_', obs_level) as request_id, topic as stage_id,
-      case obs_level when 'RAW_DATA' then 1 when 'INFORMATION' then 3 else 5 end as per_hour, sla_level = 'GUARANTEED' as g
-      from req where topic <> 'ALL'),
-    need as (select request_id, stage_id, per_hour, max(g) as g from demands group by all)""".replace(
-    "max(g) as g from demands group by all", "bool_or(g) as g from demands group by 1, 2, 3"
-)
-HOURLY = f"""hourly as (select topic as stage_id, (date_ms - {START}) // {HOUR} as h, count(*) as n from obs group by 1, 2),
-    grid as (select request_id, stage_id, h, coalesce(n, 0) < per_hour as short
-      from need cross join range(0, ({AS_OF} - {START}) // {HOUR}) as r(h) left join hourly using (stage_id, h)),
+STEP = DAY
+LIFE = 3 * DAY
+DEMANDS = f"""need as (select request_id, topic as stage_id, cast(split_part(obsrate_min, '/', 1) as double) * 1000.0::double
+        / {HOUR} as per_s, sla_level = 'GUARANTEED' as g from req where obsrate_min is not null and obsrate_max is null),
+    staged as (select topic as stage_id, date_ms from obs union all select 'ALL', date_ms from obs),
+    daily as (select stage_id, (date_ms - {START}) // {STEP} as h, count(*) as n from staged
+      where date_ms >= {START} and date_ms < {AS_OF} group by 1, 2)"""
+GRID = f"""grid as (select request_id, stage_id, h, coalesce(n, 0) < per_s * {STEP} / 1000.0::double as short
+      from need cross join range(0, ({AS_OF} - {START}) // {STEP}) as r(h) left join daily using (stage_id, h)),
     runs as (select *, sum(cast(short as int)) over (partition by request_id order by h) as s,
       sum(cast(not short as int)) over (partition by request_id order by h) as good from grid)"""
 SYMPTOMS = (
     DEMANDS
     + ", "
-    + HOURLY
-    + f""", symptoms as (select request_id, stage_id, cast(h as bigint) as "window", {START} + (h + 1) * {HOUR} as symptom_ms
+    + GRID
+    + f""", symptoms as (select request_id, stage_id, cast(h as bigint) as "window", {START} + (h + 1) * {STEP} as symptom_ms
       from runs where short and s % 2 = 0)"""
 )
 
 
 def _demands(spark, d):
-    req = fx.requests(spark, d).where(F.col("topic") != "ALL")
-    text = fx.pick(F.array_position(F.array(*[F.lit(x) for x in fx.REQUEST_LEVELS]), F.col("obs_level")) - 1,
-                   ("1/hour", "3/hour", "5/hour"))
-    return (
-        req.groupBy("topic", "obs_level")
-        .agg(F.max(F.col("sla_level") == "GUARANTEED").alias("_g"))
-        .select(
-            F.concat_ws("_", "topic", "obs_level").alias("request_id"),
-            F.col("topic").alias("stage_id"),
-            per_second(text).alias("min_per_s"),
-            F.lit(START).cast("bigint").alias("start_ms"),
-            F.lit(fx.AS_OF_MS).cast("bigint").alias("until_ms"),
-            F.when(F.col("_g"), F.lit("GUARANTEED")).otherwise(F.lit("BEST_EFFORT")).alias("sla_level"),
-        )
+    req = fx.requests(spark, d)
+    return monitor.minimum_rates(req).join(req, "request_id").select(
+        "request_id",
+        F.col("topic").alias("stage_id"),
+        "min_per_s",
+        F.lit(START).cast("bigint").alias("start_ms"),
+        F.lit(fx.AS_OF_MS).cast("bigint").alias("until_ms"),
+        "sla_level",
+        F.when(F.col("sla_level") == "GUARANTEED", F.array(F.lit("OBS_ACCURACY"), F.lit("OBS_FRESHNESS")))
+        .otherwise(F.array(F.lit("OBS_RATE")))
+        .alias("interested_in"),
     )
 
 
-def _counts(spark, d):
-    reports = _obs(spark, d).select(
-        F.col("topic").alias("stage_id"), F.unix_millis("date").alias("report_ms"), "producer"
-    ).groupBy("stage_id", "report_ms", "producer").agg(F.count(F.lit(1)).alias("n"))
-    return monitor.reports_to_requests(reports, _demands(spark, d))
+def _reports(spark, d, period: int):
+    """Reports of each producer by stage; a stage per topic, and one of everything."""
+    at = F.unix_millis("date")
+    staged = _obs(spark, d).select(F.explode(F.array("topic", F.lit("ALL"))).alias("stage_id"), "producer", at.alias("_at"))
+    slot = F.floor((F.col("_at") - START) / period) * period + START
+    return staged.groupBy("stage_id", slot.cast("bigint").alias("report_ms"), "producer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _windows(spark, d):
+    demands = _demands(spark, d)
+    return monitor.windows_of_requests(_reports(spark, d, 1000), demands, demands, STEP)
 
 
 @query(
     "jn8_reports_to_requests",
     with_ctes(
-        f"""with {DEMANDS} select request_id, date_ms as report_ms, count(*) as n from obs join need on topic = stage_id
-        group by 1, 2""",
+        f"""with {DEMANDS}, reported as (select stage_id, (date_ms - {START}) // {STEP} * {STEP} + {START} as report_ms,
+          count(*) as n from staged where date_ms >= {START} group by 1, 2)
+        select request_id, report_ms, n from need join reported using (stage_id)""",
         "obs", "req",
     ),
 )
 def _(spark, d):
-    return _counts(spark, d)
+    reports = _reports(spark, d, STEP).where(F.col("report_ms") >= START)
+    return monitor.reports_to_requests(reports, _demands(spark, d))
 
 
 @query(
     "jn8_minimum_rates",
     with_ctes(
-        """select request_id, 1 * 1000.0::double / 60000 as min_per_s from req
+        f"""select request_id, cast(split_part(obsrate_min, '/', 1) as bigint) * 1000.0::double / {HOUR} as min_per_s from req
         where obsrate_min is not null and obsrate_max is null""",
         "req",
     ),
@@ -388,17 +401,24 @@ def _(spark, d):
 
 @query(
     "st11_count_by_request",
-    with_ctes(
-        f"""with {DEMANDS}, {HOURLY} select request_id, h as "window", n from need join hourly using (stage_id)""",
-        "obs", "req",
-    ),
+    with_ctes(f"""with {DEMANDS} select request_id, h as "window", n from need join daily using (stage_id)""", "obs", "req"),
+)
+def _(spark, d):
+    return _windows(spark, d)
+
+
+@query(
+    "st11_count_from_reports",
+    with_ctes(f"""with {DEMANDS} select request_id, h as "window", n from need join daily using (stage_id)""", "obs", "req"),
 )
 def _(spark, d):
-    return monitor.count_by_window(_counts(spark, d), _demands(spark, d), HOUR)
+    demands = _demands(spark, d)
+    counts = monitor.reports_to_requests(_reports(spark, d, STEP), demands)
+    return monitor.count_by_window(counts, demands, STEP)
 
 
 def _symptoms(spark, d, **options):
-    return monitor.min_rate_violations(_counts(spark, d), _demands(spark, d), step_ms=HOUR, **options)
+    return monitor.window_violations(_windows(spark, d), _demands(spark, d), step_ms=STEP, **options)
 
 
 @query(
@@ -412,7 +432,7 @@ def _(spark, d):
 @query(
     "st7_consecutive_violations",
     with_ctes(
-        f"""with {DEMANDS}, {HOURLY} select request_id, h as "window", {START} + (h + 1) * {HOUR} as symptom_ms from runs
+        f"""with {DEMANDS}, {GRID} select request_id, h as "window", {START} + (h + 1) * {STEP} as symptom_ms from runs
         where short qualify row_number() over (partition by request_id, good, short order by h) % 2 = 0""",
         "obs", "req",
     ),
@@ -423,13 +443,13 @@ def _(spark, d):
 
 def _buffered(spark, d):
     staged = _symptoms(spark, d).join(_demands(spark, d).select("request_id", "stage_id"), "request_id")
-    return monitor.symptom_buffer(staged, lifetime_ms=3 * HOUR)
+    return monitor.symptom_buffer(staged, symptoms_before_action=3, lifetime_ms=LIFE)
 
 
 BUFFERED = (
     SYMPTOMS
-    + f""", buffered as (select *, coalesce(symptom_ms - lag(symptom_ms) over (partition by stage_id
-      order by symptom_ms, request_id) <= {3 * HOUR}, false) as act from symptoms)"""
+    + f""", buffered as (select *, coalesce(symptom_ms - lag(symptom_ms, 2) over (partition by stage_id
+      order by symptom_ms, request_id) <= {LIFE}, false) as act from symptoms)"""
 )
 
 
@@ -441,7 +461,7 @@ def _(spark, d):
     return _buffered(spark, d).select("request_id", "stage_id", "symptom_ms", "act")
 
 
-OBSERVE = 12 * HOUR
+OBSERVE = 3 * DAY
 DECISIONS = (
     BUFFERED
     + f""", acting as (select request_id as k, symptom_ms as t from buffered where act),
@@ -452,32 +472,35 @@ DECISIONS = (
       lag(symptom_ms) over (partition by b.request_id order by symptom_ms) as before_ms,
       max(a) over (partition by b.request_id order by symptom_ms rows between unbounded preceding and 1 preceding) as healed
       from buffered b left join tries on k = b.request_id and a = symptom_ms),
-    epochs as (select *, sum(case when healed is not null and symptom_ms > greatest(healed + {OBSERVE}, before_ms + {3 * HOUR})
+    epochs as (select *, sum(case when healed is not null and symptom_ms > greatest(healed + {OBSERVE}, before_ms + {LIFE})
       then 1 else 0 end) over (partition by request_id order by symptom_ms) as epoch from timeline),
     numbered as (select *, row_number() over (partition by request_id, epoch order by symptom_ms) as attempt
       from epochs where tried),
-    open as (select *, coalesce(bool_or(attempt > 3) over (partition by request_id order by symptom_ms
-      rows between unbounded preceding and 1 preceding), false) as closed from numbered),
-    best as (select * from ({REMEDIES}) order by remedy limit 1),
+    helping as (select distinct remedy, param, type, min, max, initial, attribute, param_variation, attribute_variation
+      from effects where attribute = 'OBS_RATE' and attribute_variation = 'HIGH'),
+    best as (select * from (select *, true as g from ({REMEDIES}) order by remedy, param, type, param_variation limit 1)
+      union all select * from (select *, false as g from helping order by remedy, param, type, param_variation limit 1)),
+    remedied as (select request_id, stage_id, need.g, remedy, param, type, initial, param_variation
+      from need left join best on need.g = best.g),
+    judged as (select *, remedy is null or attempt > 3 as ended from numbered join remedied using (request_id)),
+    open as (select *, coalesce(bool_or(ended) over (partition by request_id order by symptom_ms
+      rows between unbounded preceding and 1 preceding), false) as closed from judged),
     decisions as (select request_id, symptom_ms as decided_ms, cast(attempt as int) as attempt,
-      case when attempt <= 3 then 'HEAL' else 'GIVE_UP' end as decision,
-      case when attempt <= 3 then 'HEALED' when g then 'REMOVED' else 'ENFORCED' end as status,
-      case when attempt <= 3 then remedy end as remedy, case when attempt <= 3 then param end as param,
-      case when attempt <= 3 then case when type = 'Integer' then cast(cast(initial as bigint)
+      case when not ended then 'HEAL' when remedy is null then 'NO_REMEDY' else 'GIVE_UP' end as decision,
+      case when not ended then 'HEALED' when g then 'REMOVED' else 'ENFORCED' end as status,
+      case when not ended then remedy end as remedy, case when not ended then param end as param,
+      case when not ended then case when type = 'Integer' then cast(cast(initial as bigint)
         + case param_variation when 'HIGH' then 1 when 'LOW' then -1 else 0 end * (attempt - 1) as varchar)
         else initial end end as value
-      from open join need using (request_id) cross join best where not closed)"""
+      from open where not closed)"""
 )
 
 
 def _decisions(spark, d):
+    demands = _demands(spark, d)
+    chosen = remedies.remedy_of_requests(fx.remedy_catalogue(spark, d), fx.attribute_targets(spark), demands)
     return monitor.heal_decisions(
-        _buffered(spark, d),
-        _demands(spark, d),
-        aggregates.first_remedy(_remedies(spark, d)),
-        observe_ms=OBSERVE,
-        max_retries=3,
-        lifetime_ms=3 * HOUR,
+        _buffered(spark, d), demands, chosen, observe_ms=OBSERVE, max_retries=3, lifetime_ms=LIFE
     )
 
 
@@ -489,14 +512,29 @@ def _(spark, d):
     return _decisions(spark, d)
 
 
+@query(
+    "jn7_remedy_of_requests",
+    with_ctes(
+        f"""with {DECISIONS} select request_id, remedy, param, initial, param_variation from remedied
+        where remedy is not null""",
+        "obs", "req", "effects", recursive=True,
+    ),
+)
+def _(spark, d):
+    chosen = remedies.remedy_of_requests(fx.remedy_catalogue(spark, d), fx.attribute_targets(spark), _demands(spark, d))
+    return chosen.select("request_id", "remedy", "param", "initial", "param_variation")
+
+
 @query(
     "st10_stable_requests",
     with_ctes(
         f"""with {DECISIONS}, heals as (select request_id, stage_id, decided_ms as heal_ms from decisions
-          join need using (request_id) where decision = 'HEAL')
-        select stage_id, request_id, heal_ms, heal_ms + {2 * HOUR} as stable_ms from heals h where not exists (
-          select 1 from symptoms s where s.stage_id = h.stage_id and symptom_ms > heal_ms
-          and symptom_ms <= heal_ms + {2 * HOUR})""",
+          join need using (request_id) where decision = 'HEAL'),
+        disturbed as (select distinct h.stage_id, h.heal_ms from (select distinct stage_id, heal_ms from heals) h
+          join (select distinct stage_id, symptom_ms from symptoms) s on s.stage_id = h.stage_id
+            and symptom_ms > heal_ms and symptom_ms <= heal_ms + {DAY})
+        select stage_id, request_id, heal_ms, heal_ms + {DAY} as stable_ms from heals
+        where (stage_id, heal_ms) not in (select (stage_id, heal_ms) from disturbed)""",
         "obs", "req", "effects", recursive=True,
     ),
 )
@@ -508,4 +546,4 @@ def _(spark, d):
         .select("request_id", "stage_id", F.col("decided_ms").alias("heal_ms"))
     )
     symptoms = _buffered(spark, d).select("stage_id", "symptom_ms")
-    return monitor.stable_requests(heals, symptoms, observe_ms=2 * HOUR)
+    return monitor.stable_requests(heals, symptoms, observe_ms=DAY)

@@ -13,8 +13,7 @@ from tidegauge.sources.vocabulary import expand, iri, prefixes, shorten
 
 
 def _triples(spark, d):
-    # Kept, as every pattern of a query reads them again; a lost part is computed anew.
-    return fx.registry_triples(spark, d).persist()
+    return fx.registry_triples(spark, d)
 
 
 def _registry(spark, d):
@@ -120,6 +119,41 @@ def _(spark, d):
     return nt.parse_ntriples(nt.to_ntriples(_triples(spark, d)))
 
 
+@query(
+    "src4_rejected_lines",
+    with_ctes(
+        """select concat('<', s, '> <', p, '> "', o, '"') as value from triples where ends_with(p, 'paramType')""", "triples"
+    ),
+)
+def _(spark, d):
+    """Lines that lost their end, among good ones, a comment and a blank line for each."""
+    lines = nt.to_ntriples(_triples(spark, d))
+    cut = F.contains("value", F.lit("paramType>"))
+    broken = F.when(cut, F.regexp_replace("value", " [.]$", "")).otherwise(F.col("value"))
+    more = F.explode(F.array(broken, F.lit("# a comment"), F.lit("  ")))
+    return nt.rejected_lines(lines.select(more.alias("value")))
+
+
+@query(
+    "src4_statements",
+    """select concat('http://x.example/é', p_partkey) as s, 'http://x.example/name' as p,
+      concat('caf', 'é ', chr(92), chr(128512), ' ', p_partkey, chr(10), '"', p_brand, '"') as o, 'literal' as kind,
+      case when p_partkey % 2 = 0 then 'fr-CH' end as lang,
+      case when p_partkey % 2 = 1 then 'http://www.w3.org/2001/XMLSchema#string' end as datatype from part""",
+)
+def _(spark, d):
+    """Both lengths of numbered escapes, in IRIs and literals, with language or type."""
+    key = F.col("p_partkey").cast("string")
+    tail = F.when(F.col("p_partkey") % 2 == 0, F.lit("@fr-CH")).otherwise(F.lit("^^<http://www.w3.org/2001/XMLSchema#string>"))
+    line = F.concat(
+        F.lit("<http://x.example/\\u00e9"), key, F.lit('> <http://x.example/name> "caf\\u00E9 \\\\\\U0001F600 '), key,
+        F.lit('\\n\\"'), F.col("p_brand"), F.lit('\\""'), tail, F.lit(" . # end"),
+    )
+    read = nt.parse_statements(fx.table(spark, d, "part").select(line.alias("value")))
+    # written and read once more, nothing is lost
+    return nt.parse_statements(nt.to_ntriples(read))
+
+
 @query(
     "src5_prefix_expansion",
     with_ctes(

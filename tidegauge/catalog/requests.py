@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import AS_OF, FIXED_ACCURACY, query, with_ctes
 from tidegauge.functions.clock import epoch_ms
-from tidegauge.operators import enrich, lifecycle, ordering
+from tidegauge.operators import enrich, lifecycle, ordering, rates
 from tidegauge.operators import requests as rq
 from tidegauge.plans import chain, stages
+from tidegauge.schema import Compat
 from tidegauge.sources import fixtures as fx
+from tidegauge.sources import observations, sinks
 from tidegauge.sources import requests as docs
-from tidegauge.sources import sinks
 from tidegauge.sources.observations import union_topics
 from tidegauge.streaming import mechanisms
 
@@ -24,6 +25,17 @@ PARAMS = """case when threshold_min is not null then 'threshold_min=-50.0;' else
 WISHES = "case when sla_level = 'GUARANTEED' then 'OBS_ACCURACY;OBS_FRESHNESS' else 'OBS_RATE' end"
 
 
+def _state(status: str, start: int, end: int) -> str:
+    return f"{{'status': '{status}', 'start_date': created_ms + {start}, 'end_date': created_ms + {end}}}"
+
+
+STATES = f"""case when area = 'ATLANTIS' then [{_state('CREATED', 0, 1000)}, {_state('REJECTED', 1000, 1000)}]
+    when order_status = 'F' then [{_state('CREATED', 0, 1000)}, {_state('SUBMITTED', 1000, 2000)},
+      {_state('ENFORCED', 2000, 3000)}, {_state('HEALED', 3000, 4000)}, {_state('REMOVED', 4000, 4000)}]
+    else [{_state('CREATED', 0, 1000)}, {_state('SUBMITTED', 1000, 2000)}, {_state('ENFORCED', 2000, 2000)}] end"""
+LOGS = ("(created_ms + 1000) || ': Looked up: sensors.'", "created_ms || ': Object request has been created.'")
+
+
 def _params_text(column="params"):
     parts = F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";")))
     return F.array_join(parts, "")
@@ -37,8 +49,9 @@ def _params_text(column="params"):
     with_ctes(
         f"""select request_id, application_id, topic, area as location, obs_level, {WISHES} as wishes,
           'NONE' as operator, sla_level, {PARAMS} as params, priority,
-          case when area = 'ATLANTIS' then 2 when order_status = 'F' then 5 else 3 end as n_states, 2 as n_logs
-        from req""",
+          list_reduce(list_transform(states, lambda s: s.status || ':' || s.start_date || ':' || s.end_date),
+            lambda a, b: a || ';' || b) as states, {LOGS[0]} || ';' || {LOGS[1]} as logs
+        from (select *, {STATES} as states from req)""",
         "req",
     ),
 )
@@ -49,7 +62,8 @@ def _(spark, d):
         "request_id", "application_id", "topic", "location", "obs_level",
         F.array_join("interested_in", ";").alias("wishes"), "operator", "sla_level",
         _params_text().alias("params"), F.col("custom_params")["priority"].alias("priority"),
-        F.size("states").alias("n_states"), F.size("logs").alias("n_logs"),
+        F.array_join(F.transform("states", lambda s: F.concat_ws(":", s["status"], s["start_date"], s["end_date"])), ";").alias("states"),
+        F.array_join("logs", ";").alias("logs"),
     )
 
 
@@ -99,13 +113,17 @@ def _(spark, d):
             case when threshold_max is not null then '"threshold_max":"120.0"' end,
             '"obsRate_max":"' || obsrate_max || '"', '"obsRate_min":"' || obsrate_min || '"'],
             x -> x is not null), ',')
-          || '},"custom_params":{"priority":"' || priority || '"}}' as head from req""".replace("x -> x", "lambda x: x"),
+          || '},"custom_params":{"priority":"' || priority || '"}},"statesList":['
+          || list_reduce(list_transform(states, lambda s: '{"status":"' || s.status || '","start_date":' || s.start_date
+            || ',"end_date":' || s.end_date || '}'), lambda a, b: a || ',' || b)
+          || '],"logs":["' || LOG0 || '","' || LOG1 || '"]}' as document
+        from (select *, STATES as states from req)""".replace("x -> x", "lambda x: x")
+        .replace("STATES as", f"{STATES} as").replace("LOG0", LOGS[0]).replace("LOG1", LOGS[1]),
         "req",
     ),
 )
 def _(spark, d):
-    rows = fx.request_table(spark, d).select("request_id", docs.request_document().alias("document"))
-    return rows.select("request_id", F.split_part("document", F.lit(',"statesList"'), F.lit(1)).alias("head"))
+    return fx.request_table(spark, d).select("request_id", docs.request_document().alias("document"))
 
 
 @query(
@@ -598,6 +616,117 @@ def _(spark, d):
     return chain.chain_members(fx.requests(spark, d))
 
 
+DELIVERED = f"""with asked as (select *, min(request_id) over (partition by topic, area, threshold_min, threshold_max,
+    obsrate_max, age_max) as chain_id from req where obsrate_max is null),
+  routed as (select o.*, r.request_id, r.application_id, r.obs_level, r.sla_level = 'GUARANTEED' as g, true as known
+    from obs o join sens s on o.producer = s.sensor_id join asked r on (r.topic = 'ALL' or (r.topic = o.topic and o.topic = s.topic))
+      and (r.area = 'ALL' or r.area = s.area)
+    where o.value >= coalesce(threshold_min, '-infinity'::double) and o.value <= coalesce(threshold_max, 'infinity'::double)
+      and (age_max = 'unset' or {AS_OF} - date_ms < 259200000))
+  select request_id, concat(application_id, '_', request_id) as delivery_topic, obs_level, count(*) as n,
+    count(*) filter (g) as scored, count(*) filter (obs_level = 'INFORMATION') as with_context,
+    count(*) filter (obs_level = 'KNOWLEDGE') as with_nodes,
+    cast(sum(case when obs_level <> 'KNOWLEDGE' then date_ms end) as bigint) as date_sum
+  from routed group by request_id, application_id, obs_level"""
+
+
+@query("jn9_deliver_requests", with_ctes(DELIVERED, "obs", "sens", "req"))
+def _(spark, d):
+    """What each request without a rate limit receives at its own level, from the texts delivered to it."""
+    obs, sensors = fx.observations(spark, d), fx.sensors(spark, d)
+    wishes = fx.request_states(spark, d).select("request_id", "interested_in")
+    req = fx.requests(spark, d).where("obsrate_max is null").join(wishes, "request_id")
+    chains = chain.enforce_requests(obs, req, sensors, fx.capabilities(spark, d), fx.AS_OF_MS)
+    sent = chain.deliver_requests(chains, req, sensors, fx.AS_OF_MS)
+
+    def having(text: str):
+        return F.count(F.when(F.contains("message", F.lit(text)), 1))
+
+    return sent.groupBy("request_id", "delivery_topic", "obs_level").agg(
+        F.count(F.lit(1)).alias("n"),
+        having("OBS_ACCURACY").alias("scored"),
+        having('"sensorContext"').alias("with_context"),
+        having('"@id"').alias("with_nodes"),
+        F.sum(F.regexp_extract("message", '^\\{"date":(\\d+),', 1).try_cast("bigint")).alias("date_sum"),
+    )
+
+
+# One request, from message text to delivered rows
+
+
+def _run(spark, d, request, **options):
+    messages = fx.messages(spark, d)
+    return chain.run_request(
+        observations.decode_observation(messages), request, fx.sensors(spark, d), fx.capabilities(spark, d), fx.AS_OF_MS, **options
+    )
+
+
+@query(
+    "rq0_run_request_with_limit",
+    with_ctes(
+        """select producer, date_ms, value from (select o.*, row_number() over (partition by date_ms // 3600000
+          order by date_ms, producer, value) as nr from obs o join sens on producer = sensor_id) where nr <= 2""",
+        "obs", "sens",
+    ),
+)
+def _(spark, d):
+    """A limit on messages that have no id of their own; windows from the epoch, ties by content."""
+    decoded = observations.decode_observation(fx.messages(spark, d))
+    known = fx.sensors(spark, d).select(F.col("sensor_id").alias("producer"))
+    kept = rates.rate_limit(
+        decoded.join(known, "producer", "left_semi"), 2, 3_600_000, tie=["producer", "value"], anchor="epoch"
+    )
+    return kept.select("producer", F.unix_millis("date").alias("date_ms"), "value")
+
+
+@query(
+    "rq0_run_request_first_limit",
+    with_ctes(
+        """with chosen as (select distinct date_ms from obs join sens on producer = sensor_id),
+          anchors(a) as (select min(date_ms) from chosen union all
+            select (select min(date_ms) from chosen where date_ms >= a + 3600000) from anchors where a is not null)
+        select a as date_ms, 1 as n from anchors where a is not null""",
+        "obs", "sens", recursive=True,
+    ),
+)
+def _(spark, d):
+    """Every message of a limited request that opens a window: the limit runs without an id column."""
+    rows = _run(spark, d, {"topic": "ALL", "location": "ALL", "obs_level": "RAW_DATA", "params": {"obsRate_max": "1/hour"}})
+    return rows.groupBy(F.unix_millis("date").alias("date_ms")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query(
+    "rq0_run_request_positive_minimum",
+    with_ctes(
+        "select o.producer, date_ms, value from obs o join sens on o.producer = sensor_id where value > 0 and value <= 120",
+        "obs", "sens",
+    ),
+)
+def _(spark, d):
+    request = {"topic": "ALL", "location": "ALL", "obs_level": "RAW_DATA", "params": {"threshold_max": "120.0"}}
+    rows = _run(spark, d, request, compat=Compat(positive_default_min=True))
+    return rows.select("producer", F.unix_millis("date").alias("date_ms"), "value")
+
+
+@query(
+    "ud1_custom_parameter",
+    with_ctes(
+        "select o.producer, date_ms, value * 4.0::double as value from obs o join sens on o.producer = sensor_id", "obs", "sens"
+    ),
+)
+def _(spark, d):
+    """A stage of the application's own, with the factor that the request sets in its custom parameters."""
+    registry = stages.StageRegistry()
+    registry.register(
+        "scale",
+        lambda df, params: df.withColumn("value", F.col("value") * F.lit(float(params["factor"]))),
+        params=(stages.StageParam("factor", "Double", "2.0"),),
+    )
+    request = {"topic": "ALL", "location": "ALL", "obs_level": "RAW_DATA", "custom_params": {"factor": "4.0", "other": "1"}}
+    rows = _run(spark, d, request, registry=registry, custom=[registry.use("scale")])
+    return rows.select("producer", F.unix_millis("date").alias("date_ms"), "value")
+
+
 # Stage settings
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidegauge.functions.clock import as_column, epoch_ms
 from tidegauge.functions.quality import accuracy, freshness, parse_bound
 from tidegauge.operators.filters import check_attributes, select_attributes
-from tidegauge.operators.sizes import small_side
 from tidegauge.schema import NOT_AVAILABLE, Compat
 
 # Columns of the sensor table behind the five context fields.
@@ -51,7 +50,7 @@ def with_sensor_context(obs: DataFrame, sensors: DataFrame, extra: Sequence[str]
         *[F.col(c).alias(f"_extra_{c}") for c in extra],
     )
     unknown = F.struct(*[F.lit(NOT_AVAILABLE).alias(f) for f in CONTEXT_SOURCES])
-    joined = obs.join(small_side(side, sensors), "producer", "left")
+    joined = obs.join(side, "producer", "left")
     return joined.select(
         *obs.columns,
         F.coalesce("_context", unknown).alias("sensorContext"),
@@ -70,7 +69,7 @@ def with_capability(
         parse_bound(F.col("min_value"), compat).alias("min_value"),
         parse_bound(F.col("max_value"), compat).alias("max_value"),
     )
-    return obs.join(small_side(side, capabilities), "producer", "left").select(*obs.columns, "min_value", "max_value")
+    return obs.join(side, "producer", "left").select(*obs.columns, "min_value", "max_value")
 
 
 @dataclass(frozen=True)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.params import per_second, rate
+from tidegauge.operators.rates import steps
 from tidegauge.operators.segments import greedy_segments
 from tidegauge.schema import Compat
 
@@ -56,6 +59,29 @@ def count_by_window(
     return inside.groupBy("request_id", window.alias("window")).agg(F.sum("n").alias("n"))
 
 
+def windows_of_requests(reports: DataFrame, usage: DataFrame, requests: DataFrame, step_ms: int = 10_000) -> DataFrame:
+    """Observations per request and whole window since its start, straight from stage reports: request_id, window, n.
+
+    The same as :func:`count_by_window` of :func:`reports_to_requests`, but for
+    a window that ``until_ms`` cuts. Reports are summed by stage, window and
+    phase (where in a step requests of the stage begin), and only these sums are
+    joined with requests, so that a stage's reports are not copied for each of them.
+    """
+    step = F.lit(step_ms).cast("bigint")
+    uses = usage.select("stage_id", "request_id").distinct()
+    asked = uses.join(requests.select("request_id", "start_ms", "until_ms"), "request_id")
+    asked = asked.withColumn("_phase", F.pmod("start_ms", step))
+    totals = reports.groupBy("stage_id", "report_ms").agg(F.sum("n").alias("n"))
+    phases = asked.select("stage_id", "_phase").distinct()
+    slot = F.floor((F.col("report_ms") - F.col("_phase")) / step).cast("bigint")
+    sums = totals.join(phases, "stage_id").groupBy("stage_id", "_phase", slot.alias("_slot")).agg(F.sum("n").alias("n"))
+    routed = sums.join(asked, ["stage_id", "_phase"])
+    window = F.col("_slot") - F.floor((F.col("start_ms") - F.col("_phase")) / step).cast("bigint")
+    whole = F.floor((F.col("until_ms") - F.col("start_ms")) / step).cast("bigint")
+    inside = routed.withColumn("window", window).where((F.col("window") >= 0) & (F.col("window") < whole))
+    return inside.groupBy("request_id", "window").agg(F.sum("n").alias("n"))
+
+
 def min_rate_violations(
     counts: DataFrame,
     requests: DataFrame,
@@ -75,7 +101,24 @@ def min_rate_violations(
     Silent windows are never laid out: between two good windows all are short,
     so the windows that complete a symptom follow from their positions.
     """
-    per_window = count_by_window(counts, requests, step_ms)
+    return window_violations(
+        count_by_window(counts, requests, step_ms),
+        requests,
+        step_ms=step_ms,
+        events_before_symptom=events_before_symptom,
+        consecutive=consecutive,
+    )
+
+
+def window_violations(
+    per_window: DataFrame,
+    requests: DataFrame,
+    *,
+    step_ms: int = 10_000,
+    events_before_symptom: int = 2,
+    consecutive: bool = False,
+) -> DataFrame:
+    """:func:`min_rate_violations` from counts per window: request_id, window, n."""
     total = F.floor((F.col("until_ms") - F.col("start_ms")) / step_ms).cast("bigint")
     bounds = requests.where(F.col("min_per_s") > 0).select(
         "request_id", "start_ms", (F.col("min_per_s") * step_ms / 1000.0).alias("_need"), total.alias("_total")
@@ -98,9 +141,10 @@ def min_rate_violations(
     counted = stretches.withColumns({"_before": before, "_length": length})
     first = F.col("_before") - F.pmod(F.col("_before"), k) + k
     last = F.col("_before") + F.col("_length")
-    ordinals = F.when(first <= last, F.sequence(first, last, k)).otherwise(F.array().cast("array<bigint>"))
-    at = F.col("window") + F.col("_ordinal") - F.col("_before")
-    raised = counted.select("request_id", "start_ms", "window", "_before", F.explode(ordinals).alias("_ordinal"))
+    number = F.when(first <= last, F.floor((last - first) / k) + 1).otherwise(0)
+    placed = counted.select("request_id", "start_ms", "window", "_before", first.alias("_first"), number.alias("_number"))
+    raised = steps(placed, F.lit(0), F.col("_number"), "_nth")
+    at = F.col("window") + F.col("_first") + F.col("_nth") * k - F.col("_before")
     return raised.select(
         "request_id", at.alias("window"), (F.col("start_ms") + (at + 1) * step_ms).alias("symptom_ms")
     )
@@ -115,10 +159,35 @@ def symptom_buffer(
     symptoms_before_action: int = 2,
     lifetime_ms: int = 30_000,
 ) -> DataFrame:
-    """Add ``act``: the buffer of the last symptoms, none expired, is full with this one."""
-    order = Window.partitionBy(*keys).orderBy(ts, *tie)
-    oldest = F.lag(ts, symptoms_before_action - 1).over(order) if symptoms_before_action > 1 else F.col(ts)
-    return symptoms.withColumn("act", F.coalesce(F.col(ts) - oldest <= lifetime_ms, F.lit(False)))
+    """Add ``act``: the buffer of the last symptoms, none expired, is full with this one.
+
+    A symptom acts if the lifetime before it holds enough earlier ones. These are
+    counted from the numbers per instant, within cells of one lifetime, so that a
+    stage with many symptoms is not sorted in one task; of those of one instant
+    only the first few need a rank.
+    """
+    needed = symptoms_before_action - 1
+    if needed <= 0:
+        return symptoms.withColumn("act", F.col(ts).isNotNull())
+    group = [*keys, ts]
+    numbers = symptoms.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    cell = F.floor(F.col(ts) / lifetime_ms) if lifetime_ms > 0 else F.col(ts)
+    cells = F.explode(F.array(cell, cell + 1))
+    spread = numbers.withColumn("_own", cell).withColumn("_cell", cells)
+    before = Window.partitionBy(*keys, "_cell").orderBy(ts).rangeBetween(-lifetime_ms, -1)
+    seen = spread.withColumn("_earlier", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_cell = _own")
+    seen = seen.select(*[F.col(c).alias(f"_{c}_") for c in group], "_earlier")
+    by_tie = Window.partitionBy(*group).orderBy(*tie)
+    early = symptoms.select(*group, *tie).distinct()
+    early = early.withColumn("_place", F.row_number().over(by_tie)).where(F.col("_place") <= needed)
+    early = early.select(*[F.col(c).alias(f"_{c}_e") for c in (*group, *tie)], "_place")
+
+    def same(columns: tuple[str, ...] | list[str], suffix: str) -> Column:
+        return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}{suffix}")) for c in columns])
+
+    found = symptoms.join(seen, same(group, "_"), "left").join(early, same([*group, *tie], "_e"), "left")
+    ahead = F.col("_earlier") + F.coalesce(F.col("_place") - 1, F.lit(needed))
+    return found.select(*symptoms.columns, F.coalesce(F.col(ts).isNotNull() & (ahead >= needed), F.lit(False)).alias("act"))
 
 
 def heal_decisions(
@@ -134,8 +203,10 @@ def heal_decisions(
     """Heal attempts and their end: request_id, decided_ms, attempt, decision, status, remedy, param, value.
 
     ``symptoms``: request_id, symptom time, ``act``. ``requests``: request_id,
-    sla_level. ``remedy``: the one remedy for all requests with remedy, param,
-    type, initial and param_variation; of a frame the first row counts.
+    sla_level. ``remedy``: remedy, param, type, initial and param_variation, as
+    one remedy for all requests, or as rows with a request_id (see
+    :func:`tidegauge.operators.remedies.remedy_of_requests`); of several rows for
+    a request the first by name counts. A request without a row has no remedy.
 
     A request is healed at the first acting symptom and then at the first one
     after each observation time: greedy segments of that length. Attempt 1
@@ -165,13 +236,24 @@ def heal_decisions(
     in_epoch = Window.partitionBy("request_id", "_epoch").orderBy(ts)
     numbered = epochs.where("_attempt").withColumn("attempt", F.row_number().over(in_epoch))
 
-    chosen = remedy.first() if isinstance(remedy, DataFrame) else remedy
+    fields = ("remedy", "param", "type", "initial", "param_variation")
+    if isinstance(remedy, DataFrame):
+        by_request = "request_id" in remedy.columns
+        values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+        chosen = remedy.groupBy(*["request_id"][: int(by_request)]).agg(F.min(values).alias("_remedy"))
+        # without request ids the frame is one row for all
+        numbered = numbered.join(chosen, "request_id", "left") if by_request else numbered.join(F.broadcast(chosen))
+    else:
+        given = [F.lit(None if remedy is None else remedy[f]).cast("string").alias(f) for f in fields]
+        numbered = numbered.withColumn("_remedy", F.lit(None) if remedy is None else F.struct(*given))
+        if remedy is None:
+            numbered = numbered.withColumn("_remedy", F.lit(None).cast("struct<" + ",".join(f"{f}:string" for f in fields) + ">"))
 
     def of_remedy(name: str) -> Column:
-        return F.lit(None if chosen is None else chosen[name]).cast("string")
+        return F.col("_remedy")[name]
 
-    exhausted = F.lit(True) if chosen is None else F.col("attempt") > max_retries
-    judged = numbered.withColumn("_end", exhausted)
+    none = F.col("_remedy").isNull()
+    judged = numbered.withColumn("_end", none | (F.col("attempt") > max_retries))
     so_far = by_time.rowsBetween(Window.unboundedPreceding, -1)
     open_still = judged.withColumn("_closed", F.coalesce(F.max("_end").over(so_far), F.lit(False))).where("not _closed")
 
@@ -183,7 +265,7 @@ def heal_decisions(
     final = F.when(guaranteed, F.lit("REMOVED")).otherwise(F.lit("ENFORCED"))
     decision = (
         F.when(~F.col("_end"), F.lit("HEAL"))
-        .otherwise(F.lit("NO_REMEDY" if chosen is None else "GIVE_UP"))
+        .otherwise(F.when(none, F.lit("NO_REMEDY")).otherwise(F.lit("GIVE_UP")))
     )
     joined = open_still.join(requests.select("request_id", "sla_level"), "request_id")
     return joined.select(
@@ -210,24 +292,26 @@ def stable_requests(
     """Heals without a symptom of their stage in (heal_ms, heal_ms + observe], with ``stable_ms``.
 
     ``heals``: keys, request_id, heal_ms. With ``as_of_ms`` only those whose
-    observation time is over by then. The next symptom of each heal comes from
-    one pass over both tables in time order, not from pairing them.
+    observation time is over by then. Time is cut into cells of one observation
+    time: a symptom within it lies later in the heal's own cell or early enough
+    in the next, so that the first and last symptom of each cell decide.
     """
-    both = (
-        heals.select(*keys, "request_id", F.col("heal_ms").alias("_at"), F.lit(None).cast("bigint").alias("_symptom"))
-        .unionByName(
-            symptoms.select(
-                *keys, F.lit(None).cast("string").alias("request_id"), F.col(ts).alias("_at"), F.col(ts).alias("_symptom")
-            )
-        )
-    )
-    # Descending, symptoms of a heal's own instant come after it, so that the
-    # running minimum holds later symptoms only.
-    order = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.col("_symptom").isNotNull())
-    later = F.min("_symptom").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = both.withColumn("_later", later).where("request_id is not null")
+    width = F.lit(observe_ms).cast("bigint")
+    found = symptoms.where(F.col(ts).isNotNull()).groupBy(*keys, F.floor(F.col(ts) / width).alias("_cell"))
+    found = found.agg(F.min(ts).alias("_low"), F.max(ts).alias("_high"))
+
+    def cell(shift: int, name: str, bound: str) -> DataFrame:
+        return found.select(*[F.col(k).alias(f"_{k}{name}") for k in keys], (F.col("_cell") - shift).alias(f"_cell{name}"), F.col(bound).alias(name))
+
+    def same(name: str) -> Column:
+        own = F.col("_own_cell") == F.col(f"_cell{name}")
+        return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}{name}")) for k in keys], own)
+
+    seen = heals.select(*keys, "request_id", F.col("heal_ms").alias("_at")).withColumn("_own_cell", F.floor(F.col("_at") / width))
+    seen = seen.join(cell(0, "_last", "_high"), same("_last"), "left").join(cell(1, "_next", "_low"), same("_next"), "left")
     until = F.col("_at") + observe_ms
-    stable = seen.where(F.col("_later").isNull() | (F.col("_later") > until))
+    disturbed = F.coalesce(F.col("_last") > F.col("_at"), F.lit(False)) | F.coalesce(F.col("_next") <= until, F.lit(False))
+    stable = seen.where(~disturbed)
     if as_of_ms is not None:
         limit = as_of_ms if isinstance(as_of_ms, Column) else F.lit(as_of_ms)
         stable = stable.where(until < limit)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.operators.segments import key_text
 
@@ -21,14 +22,19 @@ def with_next(
 ) -> DataFrame:
     """Add the ``order`` value (BIGINT) of the following row of the key, NULL for the last.
 
+    ``order`` holds whole numbers, such as milliseconds.
+
     Rows of equal value follow each other by ``tie``; without it they all take
     the next greater value. Rows shrink to distinct values before they are
     ordered, within chunks of ``chunk`` units, so that no ordered group exceeds
     that many values; the last value of a chunk takes the first one of the
     key's next chunk.
     """
+    kind = df.schema[order].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{order} must hold whole numbers, not {kind.simpleString()}")
     group = ["_key", "_chunk"]
-    rows = df.withColumns({"_key": key_text(keys), "_value": F.col(order).cast("bigint")})
+    rows = df.withColumns({"_key": key_text(df, keys), "_value": F.col(order).cast("bigint")})
     last = F.max(F.struct(*tie)) if tie else F.lit(None)
     width = F.lit(chunk).cast("bigint")
     values = (

@@ -3,15 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.clock import epoch_ms, floor_to
 from tidegauge.operators.ordering import with_next
 from tidegauge.operators.segments import greedy_segments
 
 
+PARTS = 32
+
+
+def tie_order(df: DataFrame, tie: Sequence[str] | None) -> list[Column]:
+    """Columns that order rows of equal time: those named, else ``obs_id``, else a hash of the row."""
+    if tie is None:
+        tie = ["obs_id"] if "obs_id" in df.columns else []
+        if not tie:
+            plain = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+            return [F.xxhash64(*plain)]
+    return [F.col(t) for t in tie]
+
+
+def steps(df: DataFrame, first: Column, count: Column, name: str, coarse: int = 1000) -> DataFrame:
+    """Each row once for ``first``, ``first + 1`` and so on, ``count`` times, with the number as ``name``.
+
+    In two steps, so that no row holds more than ``coarse`` numbers, or a
+    ``coarse``-th of them, at once.
+    """
+    whole = F.col("_count").cast("bigint")
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.ceil(whole / coarse).cast("bigint") - 1)
+    begun = df.withColumn("_from", first.cast("bigint")).withColumn("_count", count.cast("bigint")).where("_count > 0")
+    blocked = begun.withColumn("_block", F.explode(blocks))
+    inside = F.sequence(F.col("_block") * coarse, F.least((F.col("_block") + 1) * coarse, whole) - 1)
+    return blocked.withColumn("_step", F.explode(inside)).withColumn(name, F.col("_from") + F.col("_step")).drop("_from", "_count", "_block", "_step")
+
+
 def rate_limit(
     df: DataFrame,
     n: int | Column,
@@ -19,17 +49,18 @@ def rate_limit(
     *,
     ts: str = "date",
     keys: Sequence[str] = (),
-    tie: Sequence[str] = ("obs_id",),
+    tie: Sequence[str] | None = None,
     anchor: str = "first",
-    most: int | None = None,
 ) -> DataFrame:
     """Let the first ``n`` rows of every window pass and drop the rest.
 
     ``anchor="first"``: a window opens at the first row after the previous one
     has ended. ``anchor="epoch"``: windows are aligned to the epoch. Without
-    keys the limit is global. With a literal ``n``, or with ``most`` as a bound
-    on a column ``n``, each task drops what cannot be among the first ``n``
-    before rows are shuffled.
+    keys the limit is global. ``n`` is a number or a column. Rows are first
+    ranked within PARTS parts of a window, and only the first ``n`` of each part
+    are ranked together, so that no task sorts a whole window whatever ``n`` is.
+    Rows of one time follow each other by ``tie``, by default ``obs_id`` or,
+    where there is none, a hash of the whole row.
     """
     if isinstance(n, int) and n <= 0:
         return df.where(F.lit(False))
@@ -39,10 +70,12 @@ def rate_limit(
         cut = df.withColumn("segment_ms", floor_to(epoch_ms(df, ts), period_ms))
     else:
         raise ValueError(f"unsupported anchor {anchor!r} for period {period_ms!r}")
-    window = Window.partitionBy(*keys, "segment_ms").orderBy(ts, *tie)
-    ranked = cut.withColumn("_rank", F.row_number().over(window))
-    kept = ranked if most is None else ranked.where(F.col("_rank") <= most)
-    return kept.where(F.col("_rank") <= n).select(*df.columns)
+    order = [F.col(ts), *tie_order(df, tie)]
+    parted = cut.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+    for group in ([*keys, "segment_ms", "_part"], [*keys, "segment_ms"]):
+        ranked = parted.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        parted = ranked.where(F.col("_rank") <= n)
+    return parted.select(*df.columns)
 
 
 def sample_reports(
@@ -51,12 +84,12 @@ def sample_reports(
     *,
     ts: str = "date",
     keys: Sequence[str] = (),
-    tie: Sequence[str] = ("obs_id",),
+    tie: Sequence[str] | None = None,
 ) -> DataFrame:
     """The first row, then the first row at least ``period_ms`` after the last one taken."""
     cut = greedy_segments(df, ts, period_ms, keys)
     at_anchor = cut.where(epoch_ms(df, ts) == F.col("segment_ms"))
-    window = Window.partitionBy(*keys, "segment_ms").orderBy(*tie)
+    window = Window.partitionBy(*keys, "segment_ms").orderBy(*tie_order(df, tie))
     ranked = at_anchor.withColumn("_rank", F.row_number().over(window))
     return ranked.where(F.col("_rank") == 1).select(*df.columns)
 
@@ -68,7 +101,7 @@ def rate_reports(
     ts: str = "date",
     keys: Sequence[str] = (),
     producer: str = "producer",
-    tie: Sequence[str] = ("obs_id",),
+    tie: Sequence[str] | None = None,
     flush_tail: bool = False,
 ) -> DataFrame:
     """Counts per producer over (previous report, this report]: keys, report_ms, producer, n.
@@ -78,14 +111,16 @@ def rate_reports(
     unless ``flush_tail`` asks for it, one period after the last report.
     """
     cut = greedy_segments(df, ts, period_ms, keys, with_next=True)
-    order = F.struct(F.col(ts), *[F.col(t) for t in tie])
+    order = F.struct(F.col(ts), *[c.alias(f"_tie{i}") for i, c in enumerate(tie_order(df, tie))])
     counts = cut.groupBy(*keys, "segment_ms", "next_segment_ms", producer).agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("_first")
     )
     # The row that opens a segment belongs to the report of that very moment,
     # all other rows of the segment to the report that ends it.
-    in_segment = Window.partitionBy(*keys, "segment_ms").orderBy("_first")
-    marked = counts.withColumn("_opens", (F.row_number().over(in_segment) == 1).cast("bigint"))
+    group = [*keys, "segment_ms"]
+    openers = counts.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(F.min("_first").alias("_opener"))
+    both = counts.join(openers, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]))
+    marked = both.withColumn("_opens", (F.col("_first") == F.col("_opener")).cast("bigint"))
     tail = F.col("segment_ms") + period_ms if flush_tail else F.lit(None).cast("bigint")
     parts = F.array(
         F.struct(F.coalesce("next_segment_ms", tail).alias("report_ms"), (F.col("n") - F.col("_opens")).alias("n")),
@@ -117,7 +152,7 @@ def repeat_last(
     *,
     ts: str = "date",
     keys: Sequence[str] = (),
-    tie: Sequence[str] = ("obs_id",),
+    tie: Sequence[str] | None = None,
 ) -> DataFrame:
     """Each row, and its copies after every ``window_ms`` of silence.
 
@@ -125,16 +160,17 @@ def repeat_last(
     of the key; those of the last row end at ``until_ms``.
     """
     rows = df.withColumn("_at", epoch_ms(df, ts))
-    led = with_next(rows, "_at", keys, tie=tie, name="_next")
+    if tie is None and "obs_id" not in df.columns:
+        rows, tie = rows.withColumn("_tie", tie_order(df, None)[0]), ("_tie",)
+    led = with_next(rows, "_at", keys, tie=tie or ("obs_id",), name="_next")
     last_copy = F.coalesce(F.col("_next") - 1, F.lit(until_ms).cast("bigint"))
     first_copy = F.col("_at") + window_ms
-    copies = F.when(
-        first_copy <= last_copy, F.sequence(first_copy, last_copy, F.lit(window_ms).cast("bigint"))
-    ).otherwise(F.array().cast("array<bigint>"))
-    emits = F.concat(F.array(F.col("_at")), copies)
-    return led.select(*df.columns, F.posexplode(emits).alias("_pos", "emit_ms")).select(
-        *df.columns, "emit_ms", (F.col("_pos") > 0).alias("repeated")
-    )
+    number = F.when(first_copy <= last_copy, F.floor((last_copy - first_copy) / window_ms) + 1).otherwise(0)
+    counted = led.select(*df.columns, "_at", number.cast("bigint").alias("_copies"))
+    # Copy 0 is the row itself.
+    numbered = steps(counted, F.lit(0), F.col("_copies") + 1, "_copy")
+    emit = (F.col("_at") + F.col("_copy") * window_ms).alias("emit_ms")
+    return numbered.select(*df.columns, emit, (F.col("_copy") > 0).alias("repeated"))
 
 
 def clone_values(df: DataFrame, n: int) -> DataFrame:

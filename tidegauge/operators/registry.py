@@ -128,7 +128,8 @@ class Registry:
         )
 
     def sensor(self, sensor_id: str) -> DataFrame:
-        return self.sensors(sensor_id).limit(1)
+        """One row of a sensor; of several units or services the first in order of all columns."""
+        return self.sensors(sensor_id).orderBy(*SENSOR_COLUMNS).limit(1)
 
     def topics(self) -> DataFrame:
         service = self.of_type("iot-lite:Service", "_service")

@@ -274,9 +274,15 @@ def latest_per(rows: DataFrame, n: int, ts: str, keys: Sequence[str], tie: Seque
     return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
-def latest_observations(log: DataFrame, request_id: str, n: int = 20, ts: str = "timestamp_ms") -> DataFrame:
-    """The last ``n`` delivered observations of one request, newest first."""
-    return log.where(F.col("request_id") == request_id).orderBy(F.desc(ts)).limit(n)
+def latest_observations(
+    log: DataFrame, request_id: str, n: int = 20, ts: str = "timestamp_ms", tie: Sequence[str] | None = None
+) -> DataFrame:
+    """The last ``n`` delivered observations of one request, newest first.
+
+    Those of one time are ordered by ``tie``, by default by all columns.
+    """
+    others = [c for c in log.columns if c != ts] if tie is None else tie
+    return log.where(F.col("request_id") == request_id).orderBy(F.desc(ts), *[F.desc(c) for c in others]).limit(n)
 
 
 def quality_series(log: DataFrame, ts: str = "consumed_ms", keys: Sequence[str] = ("request_id",)) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.clock import epoch_ms
 
@@ -37,15 +38,16 @@ _ENTRIES = "_key string, _period long, _chunk long, enter long"
 _ANCHORS = "_key string, _period long, anchor_ms long, previous_ms long"
 
 
-def key_text(keys: Sequence[str]) -> Column:
-    """All key columns as one non-null text, injective for any key values."""
-    parts = [
-        F.coalesce(
-            F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")),
-            F.lit("-"),
-        )
-        for k in keys
-    ]
+def key_text(df: DataFrame, keys: Sequence[str]) -> Column:
+    """All key columns as one non-null text, injective for any key values.
+
+    Instants count in microseconds: their text repeats when a clock is set back.
+    """
+    parts = []
+    for k in keys:
+        instant = isinstance(df.schema[k].dataType, T.TimestampType)
+        text = (F.unix_micros(F.col(k)) if instant else F.col(k)).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.concat_ws(",", *parts) if parts else F.lit("")
 
 
@@ -239,7 +241,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _keyed(df: DataFrame, ts: str, period_ms: int | str, keys: Sequence[str]) -> DataFrame:
     return df.withColumns(
-        {"_key": key_text(keys), "_period": _period_column(period_ms), "_ts": epoch_ms(df, ts)}
+        {"_key": key_text(df, keys), "_period": _period_column(period_ms), "_ts": epoch_ms(df, ts)}
     )
 
 

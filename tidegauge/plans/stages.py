@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.params import UNSET, parse_age, parse_rate
 from tidegauge.operators.filters import allow_sensors, filter_age, filter_threshold
 from tidegauge.operators.rates import rate_limit
+from tidegauge.schema import Compat
 
 Build = Callable[[DataFrame, Mapping[str, str]], DataFrame]
 
@@ -92,8 +94,8 @@ def _ingest(df: DataFrame, params: Mapping[str, str]) -> DataFrame:
     return df if allowed is None else allow_sensors(df, allowed, prefixes)
 
 
-def _threshold(df: DataFrame, params: Mapping[str, str]) -> DataFrame:
-    return filter_threshold(df, _number(params.get("threshold_min")), _number(params.get("threshold_max")))
+def _threshold(df: DataFrame, params: Mapping[str, str], compat: Compat = Compat()) -> DataFrame:
+    return filter_threshold(df, _number(params.get("threshold_min")), _number(params.get("threshold_max")), compat)
 
 
 def _throttle(df: DataFrame, params: Mapping[str, str]) -> DataFrame:
@@ -183,15 +185,32 @@ class StageRegistry:
     def ids(self, spark: SparkSession, include_builtin: bool = False) -> DataFrame:
         return self.describe(spark, include_builtin).select("stage_id")
 
-    def chain(self, params: Mapping[str, str], custom: Sequence[StageSettings] = ()) -> list[StageSettings]:
-        """Settings of the stages that a request with these parameters needs, in order."""
+    def chain(
+        self,
+        params: Mapping[str, str],
+        custom: Sequence[StageSettings] = (),
+        custom_params: Mapping[str, str] | None = None,
+        compat: Compat = Compat(),
+    ) -> list[StageSettings]:
+        """Settings of the stages that a request with these parameters needs, in order.
+
+        ``custom_params`` reach the stages in ``custom``, where these declare them
+        customizable; ``compat`` reaches the built-in thresholds.
+        """
         wanted = ["ingest"]
         if "threshold_min" in params or "threshold_max" in params:
             wanted.append("threshold")
         if "obsRate_max" in params:
             wanted.append("throttle")
         settings = [stage_defaults(self._stages[s], params) for s in wanted]
-        return [*settings, *custom, stage_defaults(self._stages["output"], params)]
+        for one in settings:
+            if one.stage.build is _threshold:
+                one.stage = replace(one.stage, build=partial(_threshold, compat=compat))
+        own = [StageSettings(c.stage, dict(c.values)) for c in custom]
+        for one in own:
+            for name, value in (custom_params or {}).items():
+                one.set_param(name, value)
+        return [*settings, *own, stage_defaults(self._stages["output"], params)]
 
     def replace(self, stage: Stage, **changes) -> Stage:
         changed = replace(stage, **changes)

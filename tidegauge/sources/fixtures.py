@@ -13,6 +13,7 @@ AS_OF_MS = 1_706_659_200_000
 TOPICS = ("click", "purchase", "error", "signup", "view")
 REQUEST_TOPICS = ("click", "purchase", "error", "signup", "view", "ALL")
 REQUEST_AREAS = ("ALL", "ASIA", "EUROPE", "ATLANTIS")
+REQUEST_MINIMA = ("1/hour", "3/hour", "8/hour")
 REQUEST_LEVELS = ("RAW_DATA", "INFORMATION", "KNOWLEDGE")
 
 
@@ -26,6 +27,15 @@ def pick(position: Column, words: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), index)
 
 
+# Odd multipliers that spread a key differently for each field.
+SPREADS = (2654435761, 2246822519, 3266489917, 668265263, 374761393, 2146121005, 3550635117, 1181783497)
+
+
+def spread(key: Column, field: int) -> Column:
+    """A number from 0 to 65535 by key, independent for each field."""
+    return F.shiftright((key.cast("bigint") * F.lit(SPREADS[field])) % F.lit(1 << 32), 16)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     ms = epoch_ms(events, "ts")
@@ -102,20 +112,20 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per order; the chosen fields repeat, so that requests coincide."""
+    """One request per order; fields are drawn independently and repeat, so that requests coincide."""
     key = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders")
     return orders.select(
         F.concat(F.lit("req"), key.cast("string")).alias("request_id"),
         F.concat(F.lit("app"), (F.col("o_custkey") % 5).cast("string")).alias("application_id"),
-        pick(key, REQUEST_TOPICS).alias("topic"),
-        pick(key, REQUEST_AREAS).alias("area"),
-        pick(key, REQUEST_LEVELS).alias("obs_level"),
-        F.when(key % 2 == 0, F.lit(-50.0)).alias("threshold_min"),
-        F.when(key % 3 == 0, F.lit(120.0)).alias("threshold_max"),
-        F.when(key % 4 == 1, F.lit("2/hour")).alias("obsrate_max"),
-        F.when(key % 4 == 2, F.lit("1/min")).alias("obsrate_min"),
-        F.when(key % 5 == 0, F.lit("72 hours")).otherwise(F.lit("unset")).alias("age_max"),
+        pick(spread(key, 0), REQUEST_TOPICS).alias("topic"),
+        pick(spread(key, 1), REQUEST_AREAS).alias("area"),
+        pick(spread(key, 2), REQUEST_LEVELS).alias("obs_level"),
+        F.when(spread(key, 3) % 2 == 0, F.lit(-50.0)).alias("threshold_min"),
+        F.when(spread(key, 4) % 3 == 0, F.lit(120.0)).alias("threshold_max"),
+        F.when(spread(key, 5) % 4 == 1, F.lit("2/hour")).alias("obsrate_max"),
+        F.when(spread(key, 5) % 4 == 2, pick(spread(key, 6), REQUEST_MINIMA)).alias("obsrate_min"),
+        F.when(spread(key, 7) % 5 == 0, F.lit("72 hours")).otherwise(F.lit("unset")).alias("age_max"),
         F.when(key % 2 == 0, F.lit("GUARANTEED")).otherwise(F.lit("BEST_EFFORT")).alias("sla_level"),
         epoch_ms(orders, "o_orderdate").alias("created_ms"),
         F.col("o_orderstatus").alias("order_status"),

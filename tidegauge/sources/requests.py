@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +56,16 @@ def submit_requests(
     *,
     column: str = "message",
     id_column: str | None = None,
+    position: Sequence[str] = (),
     wire: WireNames | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Posted JSON to (accepted requests, rejects with ``reason``).
 
     Defaults: raw level, no quality wishes, BEST_EFFORT, operator NONE, state
     CREATED and a first log line. The id comes from ``id_column``, else from
-    the message, else it is random.
+    the message, else from a hash of the message and the columns in
+    ``position`` (such as partition and offset), which tell equal messages
+    apart; it is the same whenever the plan is evaluated.
     """
     wire = wire or WireNames()
     now = as_column(now_ms).cast("bigint")
@@ -86,9 +91,11 @@ def submit_requests(
     judged = parsed.withColumn("reason", reason)
     rejects = judged.where(F.col("reason").isNotNull()).select(*messages.columns, "reason")
     given = F.col(id_column).cast("string") if id_column else F.nullif(F.col("_body.request_id"), F.lit(""))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (column, *position)]
+    made = F.regexp_replace(F.md5(F.to_json(F.array(*parts))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     state = F.struct(F.lit("CREATED").alias("status"), now.alias("start_date"), now.alias("end_date"))
     accepted = judged.where(F.col("reason").isNull()).select(
-        (given if id_column else F.coalesce(given, F.uuid())).alias("request_id"),
+        (given if id_column else F.coalesce(given, made)).alias("request_id"),
         F.col("_body.application_id").alias("application_id"),
         F.col("_body.topic").alias("topic"),
         F.col("_body.location").alias("location"),

@@ -5,48 +5,118 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: one N-Triples statement: subject, predicate, IRI or quoted literal.
-_STATEMENT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+# Fixed value: one N-Triples statement: subject, predicate, then IRI, blank node or literal with language or type.
+_STATEMENT = (
+    r"^\s*(?:<([^<>\s]*)>|(_:\S+))\s+<([^<>\s]*)>\s+"
+    r'(?:<([^<>\s]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?)\s*\.\s*(?:#.*)?$'
+)
+# Fixed value: what an IRI must not hold as such; the backslash comes first, as the others are written with it.
+_NOT_IN_IRIS = '\\ <>"{}|^`'
+_NOTHING = r"^\s*(?:#.*)?$"
+_CODE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
+
+
+def _unicode(text: Column) -> Column:
+    """Both lengths of numbered escapes as the characters they stand for."""
+
+    def character(code: Column) -> Column:
+        number = F.unhex(F.lpad(F.substring(code, 3, 8), 8, "0"))
+        return F.decode(number, "UTF-32")
+
+    between = F.split(text, _CODE, -1)
+    characters = F.transform(F.regexp_extract_all(text, F.lit(_CODE), 0), character)
+    pieces = F.zip_with(between, F.concat(characters, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    return F.when(text.rlike(_CODE), F.array_join(pieces, "")).otherwise(text)
 
 
 def _unescape(text: Column) -> Column:
     # A doubled backslash must not take part in another escape, so it is set
     # aside under a character that N-Triples forbids, and put back at the end.
     out = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
-    for written, meant in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+    for written, meant in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
         out = F.replace(out, F.lit(written), F.lit(meant))
-    return F.replace(out, F.lit("\u0000"), F.lit("\\"))
+    return F.replace(_unicode(out), F.lit("\u0000"), F.lit("\\"))
 
 
-def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(s, p, o) of N-Triples lines; comments, blank and malformed lines are left out."""
+def parse_statements(lines: DataFrame, column: str = "value") -> DataFrame:
+    """s, p, o of N-Triples lines, with the kind of o (iri, blank, literal), its language and its type.
+
+    What is no statement is in :func:`rejected_lines`.
+    """
     text = F.col(column)
 
     def part(i: int) -> Column:
-        return F.regexp_extract(text, _STATEMENT, i)
+        return F.nullif(F.regexp_extract(text, _STATEMENT, i), F.lit(""))
 
-    subject = F.regexp_replace(part(1), "^<|>$", "")
-    target = F.when(part(3) != "", part(3)).when(part(4) != "", part(4)).otherwise(_unescape(part(5)))
+    literal = F.regexp_extract(text, _STATEMENT, 6)
+    kind = F.when(part(4).isNotNull(), F.lit("iri")).when(part(5).isNotNull(), F.lit("blank")).otherwise(F.lit("literal"))
+    target = F.when(kind == "iri", _unicode(part(4))).when(kind == "blank", part(5)).otherwise(_unescape(literal))
     return lines.where(text.rlike(_STATEMENT)).select(
-        subject.alias("s"), part(2).alias("p"), target.alias("o")
+        F.coalesce(_unicode(part(1)), part(2)).alias("s"),
+        _unicode(part(3)).alias("p"),
+        target.alias("o"),
+        kind.alias("kind"),
+        part(7).alias("lang"),
+        _unicode(part(8)).alias("datatype"),
     )
 
 
+def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(s, p, o) of N-Triples lines."""
+    return parse_statements(lines, column).select("s", "p", "o")
+
+
+def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that are neither a statement nor blank nor a comment."""
+    text = F.col(column)
+    return lines.where(~text.rlike(_STATEMENT) & ~text.rlike(_NOTHING))
+
+
 def to_ntriples(triples: DataFrame) -> DataFrame:
-    """One N-Triples line per triple; objects that look like IRIs are written as such."""
+    """One N-Triples line per triple.
+
+    With the columns of :func:`parse_statements` the lines say the same as those
+    read; without them, objects that look like IRIs or blank nodes are written as such.
+    """
     escaped = F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\"))
     for meant, written in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(meant), F.lit(written))
-    is_iri = F.col("o").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"]*$")
-    obj = F.when(is_iri, F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(
-        F.concat(F.lit('"'), escaped, F.lit('"'))
-    )
-    line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), obj, F.lit(" ."))
-    return triples.select(line.alias("value"))
+    literal = F.concat(F.lit('"'), escaped, F.lit('"'))
+    if "kind" in triples.columns:
+        kind = F.col("kind")
+        literal = F.concat(
+            literal,
+            F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), "lang"))
+            .when(F.col("datatype").isNotNull(), F.concat(F.lit("^^<"), "datatype", F.lit(">")))
+            .otherwise(F.lit("")),
+        )
+    else:
+        is_iri = F.col("o").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"]*$")
+        kind = F.when(is_iri, F.lit("iri")).when(F.col("o").rlike(r"^_:\S+$"), F.lit("blank")).otherwise(F.lit("literal"))
+
+    def bracketed(column: Column) -> Column:
+        for mark in _NOT_IN_IRIS:
+            column = F.replace(column, F.lit(mark), F.lit(f"\\u{ord(mark):04X}"))
+        return F.concat(F.lit("<"), column, F.lit(">"))
+
+    subject = F.when(F.col("s").startswith("_:"), F.col("s")).otherwise(bracketed(F.col("s")))
+    obj = F.when(kind == "iri", bracketed(F.col("o"))).when(kind == "blank", F.col("o")).otherwise(literal)
+    return triples.select(F.concat(subject, F.lit(" "), bracketed(F.col("p")), F.lit(" "), obj, F.lit(" .")).alias("value"))
+
 
+def read_triples(
+    spark: SparkSession, path: str | list[str], fmt: str = "ntriples", strict: bool = False, **options
+) -> DataFrame:
+    """Triples from N-Triples text files, or from a table format with columns s, p, o.
 
-def read_triples(spark: SparkSession, path: str | list[str], fmt: str = "ntriples", **options) -> DataFrame:
-    """Triples from N-Triples text files, or from a table format with columns s, p, o."""
+    Lines that are no statement are left out and can be read with
+    :func:`rejected_lines`; with ``strict`` the job fails on the first of them.
+    """
     if fmt == "ntriples":
-        return parse_ntriples(spark.read.options(**options).text(path))
+        lines = spark.read.options(**options).text(path)
+        if strict:
+            wrong = ~F.col("value").rlike(_STATEMENT) & ~F.col("value").rlike(_NOTHING)
+            failing = F.raise_error(F.concat(F.lit("no N-Triples statement: "), "value"))
+            lines = lines.select(F.when(wrong, failing).otherwise(F.col("value")).alias("value"))
+        return parse_ntriples(lines)
     return spark.read.options(**options).format(fmt).load(path).select("s", "p", "o")

@@ -112,7 +112,7 @@ def ordered_stream(
     keyed = (
         df.withWatermark(ts, delay)
         .withColumn("_ts", F.unix_millis(ts))
-        .withColumn("_key", key_text(keys))
+        .withColumn("_key", key_text(df, keys))
     )
     schema = T.StructType([f for f in keyed.schema.fields if f.name not in ("_key",)])
     target = output if isinstance(output, T.StructType) else T._parse_datatype_string(output)
