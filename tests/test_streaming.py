@@ -237,3 +237,18 @@ def test_mechanisms_can_be_added(spark, obs):
     assert reg["head"] is added and added(obs, ms=fx.AS_OF_MS).count() == obs.count()
     with pytest.raises(ValueError):
         added(spark.readStream.format("rate").load(), ms=0)
+
+
+def test_late_rows_are_counted(spark, obs, tmp_path):
+    """Rows far behind the watermark are dropped, and the query says how many."""
+    late = obs.orderBy("date").limit(5)
+    late_rows = [r.asDict() for r in late.collect()]
+    stream = arriving(spark, obs, str(tmp_path))
+    spark.createDataFrame(late_rows, obs.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    limited = m.RATE_LIMIT(stream, delay="1 second", n=2, period_ms=6 * HOUR, keys=["topic"], anchor="first")
+    query = (
+        limited.writeStream.format("memory").queryName("late").outputMode("append")
+        .option("checkpointLocation", f"{tmp_path}/late").trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    assert runs.late_rows(query) >= 5

@@ -25,6 +25,11 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows of the query's known progress came after the watermark and were dropped by its steps."""
+    return sum(state.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for state in p["stateOperators"])
+
+
 def start_outlets(
     frames: Mapping[str, DataFrame],
     path: str,
