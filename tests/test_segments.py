@@ -23,8 +23,19 @@ def in_batches(frame, size):
         yield frame.iloc[i : i + size].reset_index(drop=True)
 
 
-def three_passes(times_by_key, period, periods, batch):
-    """The three task functions one after the other, sorted as Spark sorts them."""
+def entered(steps, group, entries, batch):
+    """Entries of chunks from entries of their groups, sorted as Spark sorts them."""
+    begun = pd.DataFrame({
+        "_key": entries["_key"], "_period": entries["_period"], "_group": entries["_chunk"],
+        "_chunk": segments.LONG_MIN, "upto": entries["enter"], "leave": 0,
+    })
+    both = pd.concat([steps.assign(_group=group), begun])
+    both = both.sort_values(["_key", "_period", "_group", "_chunk", "upto"])
+    return pd.concat(segments._enter_chunks(in_batches(both, batch)))
+
+
+def all_passes(times_by_key, period, periods, batch, run=3):
+    """The task functions one after the other, sorted as Spark sorts them."""
     width = period * periods
     rows = [
         (k, period, t // width, t, t // width * width) for k, times in times_by_key.items() for t in set(times)
@@ -33,8 +44,11 @@ def three_passes(times_by_key, period, periods, batch):
     group = ["_key", "_period", "_chunk"]
     frame = frame.sort_values([*group, "ts"])
     steps = pd.concat(segments._chunk_steps(in_batches(frame, batch)))
-    steps = steps.sort_values([*group, "upto"])
-    entries = pd.concat(segments._chunk_entries(in_batches(steps, batch)))
+    grouped = steps.assign(_group=steps["_chunk"] // run)
+    grouped = grouped.sort_values(["_key", "_period", "_group", "_chunk", "upto"], ascending=[True, True, True, False, True])
+    runs = pd.concat(segments._fold_steps(in_batches(grouped, batch)))
+    roots = runs[["_key", "_period"]].drop_duplicates().assign(_chunk=0, enter=segments.LONG_MIN)
+    entries = entered(steps, steps["_chunk"] // run, entered(runs, 0, roots, batch), batch)
     entries = entries.rename(columns={"enter": "ts"}).assign(is_entry=True)
     both = pd.concat([frame[[*group, "ts"]].assign(is_entry=False), entries[[*group, "ts", "is_entry"]]])
     both = both.sort_values([*group, "is_entry", "ts"], ascending=[True, True, True, False, True])
@@ -51,16 +65,17 @@ def three_passes(times_by_key, period, periods, batch):
     st.integers(1, 120),
     st.integers(1, 6),
     st.integers(1, 50),
+    st.integers(1, 5),
 )
-def test_chunked_passes_equal_the_scan(times_by_key, period, periods, batch):
-    got = three_passes(times_by_key, period, periods, batch)
+def test_chunked_passes_equal_the_scan(times_by_key, period, periods, batch, run):
+    got = all_passes(times_by_key, period, periods, batch, run)
     assert got == {k: greedy(v, period) for k, v in times_by_key.items()}
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1_704_000_000_000, 1_704_000_100_000), min_size=1, max_size=200), st.integers(1, 30_000))
 def test_anchors_are_a_period_apart_and_cover_every_row(times, period):
-    anchors = three_passes({"k": times}, period, 3, 64)["k"]
+    anchors = all_passes({"k": times}, period, 3, 64)["k"]
     assert all(b - a >= period for a, b in zip(anchors, anchors[1:]))
     assert all(any(a <= t < a + period or t == a for a in anchors) or t >= anchors[-1] for t in times)
 
@@ -198,3 +213,15 @@ def test_clones(spark):
     assert rates.clone_values(frame, 0).count() == 0
     with pytest.raises(ValueError):
         rates.clone_values(frame, -1)
+
+
+def test_dense_keys_leave_few_steps_to_the_pass_per_key():
+    """A regular dense key, whose chains never meet: its steps are composed in runs of chunks."""
+    period, width = 1000, 2000
+    times = np.arange(0, 64 * 8 * width, 10)
+    frame = pd.DataFrame({"_key": "k", "_period": period, "_chunk": times // width, "ts": times, "_chunk_start": times // width * width})
+    steps = pd.concat(segments._chunk_steps(in_batches(frame, 5000)))
+    grouped = steps.assign(_group=steps["_chunk"] // segments.RUN).sort_values(["_group", "_chunk", "upto"], ascending=[True, False, True])
+    runs = pd.concat(segments._fold_steps(in_batches(grouped, 5000)))
+    assert len(runs) <= 8 * (period // 10 + 2) and len(steps) >= 60 * len(runs)
+    assert all_passes({"k": times.tolist()}, period, 2, 5000, segments.RUN)["k"] == list(range(0, 64 * 8 * width, period))

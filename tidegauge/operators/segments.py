@@ -8,12 +8,16 @@ end would put a hot key into one task. Instead:
 1. Rows shrink to distinct (key, timestamp) pairs, combined before the shuffle.
 2. Time is cut into chunks of many periods. Per (key, chunk) one task computes
    which last anchor results from every possible way of entering the chunk: a
-   step function with few steps, since chains that start apart soon meet.
-3. One light pass per key over these steps fixes how each chunk is entered.
+   step function, with few steps where chains that start apart soon meet.
+3. Step functions compose: those of RUN neighbouring chunks become one, no larger
+   than that of the first chunk. A pass per key over these few composed functions
+   fixes how each run is entered, and a pass per run how its chunks are.
 4. Every (key, chunk) walks its own anchors from that entry.
 
-A hot key is thereby spread over its chunks in steps 2 and 4, and step 3 sees
-only the steps. Anchors are at least one period apart, so an epoch-aligned cell
+A hot key is thereby spread over its chunks in steps 2 and 4 and over runs of
+chunks in step 3, where a task holds the steps of two chunks at a time. Chains of
+dense and regular keys never meet, so that a chunk has as many steps as a period
+has rows; the pass per key then still sees only one of RUN chunks' worth. Anchors are at least one period apart, so an epoch-aligned cell
 of one period holds at most one, and the anchor of a row lies in its own cell or
 in the one before; rows find their segment by an equi-join on (key, cell).
 
@@ -72,6 +76,8 @@ def _floor_div(ms: Column, width: Column) -> Column:
 
 
 GROUP = ("_key", "_period", "_chunk")
+#: Chunks whose step functions are composed in one task, one after the other.
+RUN = 64
 
 
 class _Groups:
@@ -169,21 +175,83 @@ def _chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _chunk_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow one chain per key through its chunks; input sorted by key, chunk, upto."""
-    key = period = done = None
-    earliest = LONG_MIN
-    for batch in batches:
-        out = []
-        columns = (batch[c].tolist() for c in ("_key", "_period", "_chunk", "upto", "leave"))
-        for k, p, chunk, upto, leave in zip(*columns):
-            if k != key or p != period:
-                key, period, done, earliest = k, p, None, LONG_MIN
-            if chunk != done and upto >= earliest:
-                out.append((k, p, chunk, earliest))
-                earliest = leave + p
-                done = chunk
-        yield pd.DataFrame(out, columns=["_key", "_period", "_chunk", "enter"])
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Key, period, group, chunk, upto and leave of each chunk of sorted step rows."""
+    for frame, first in _whole_groups(batches):
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(frame)).tolist()
+        starts = starts.tolist()
+        key, group = frame["_key"].to_numpy(), frame["_group"].to_numpy(np.int64)
+        period, chunk = frame["_period"].to_numpy(np.int64), frame["_chunk"].to_numpy(np.int64)
+        upto, leave = frame["upto"].to_numpy(np.int64), frame["leave"].to_numpy(np.int64)
+        for a, b in zip(starts, ends):
+            yield key[a], int(period[a]), int(group[a]), int(chunk[a]), upto[a:b], leave[a:b]
+
+
+def _fold_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step functions of whole groups of chunks; input sorted by key, group, chunk from last to first, upto.
+
+    The chunks are taken in from the last one on: where a chain leaves a chunk it
+    enters what has been composed of the later ones. A chain that finds no row in
+    a chunk comes into the next one before its start, and so by its first step.
+    """
+    of, upto, leave = None, None, None
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({"_key": of[0], "_period": of[1], "_chunk": of[2], "upto": upto, "leave": leave})
+
+    for key, period, group, _, own_upto, own_leave in _parts(batches):
+        if of != (key, period, group):
+            if of is not None:
+                yield frame()
+            of, upto, leave = (key, period, group), own_upto, own_leave
+            continue
+        onward = np.searchsorted(upto, own_leave + period)
+        carried = np.where(onward < len(upto), leave[np.minimum(onward, len(upto) - 1)], own_leave)
+        upto, leave = np.append(own_upto, upto[0]), np.append(carried, leave[0])
+        # the last of a run of steps with one exit stands for the run
+        keep = np.append(leave[1:] != leave[:-1], True)
+        upto, leave = upto[keep], leave[keep]
+    if of is not None:
+        yield frame()
+
+
+def _enter_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where the chain of each group enters its chunks; input sorted by key, group, chunk, upto.
+
+    A row of chunk LONG_MIN says from when on the chain may enter the group; a
+    group without it is not entered.
+    """
+    of, earliest = None, None
+    out: list[tuple] = []
+    for key, period, group, chunk, upto, leave in _parts(batches):
+        if of != (key, period, group):
+            of, earliest = (key, period, group), None
+        if chunk == LONG_MIN:
+            earliest = int(upto[0])
+        elif earliest is not None:
+            at = int(np.searchsorted(upto, earliest))
+            if at < len(upto):
+                out.append((key, period, chunk, earliest))
+                earliest = int(leave[at]) + period
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=["_key", "_period", "_chunk", "enter"])
+            out = []
+    yield pd.DataFrame(out, columns=["_key", "_period", "_chunk", "enter"])
+
+
+def _entered(steps: DataFrame, group: Column, entries: DataFrame) -> DataFrame:
+    """Entries of the chunks of ``steps``, from entries of their groups: _key, _period, _chunk, enter."""
+    nothing = F.lit(0).cast("bigint")
+    begun = entries.select(
+        "_key", "_period", F.col("_chunk").alias("_group"), F.lit(LONG_MIN).alias("_chunk"), F.col("enter").alias("upto"), nothing.alias("leave")
+    )
+    rows = steps.withColumn("_group", group).select("_key", "_period", "_group", "_chunk", "upto", "leave").unionByName(begun)
+    return (
+        rows.repartition("_key", "_period", "_group")
+        .sortWithinPartitions("_key", "_period", "_group", "_chunk", "upto")
+        .mapInPandas(_enter_chunks, _ENTRIES)
+    )
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,11 +329,18 @@ def _anchors(keyed: DataFrame, chunk_periods: int | None) -> DataFrame:
         .sortWithinPartitions(*group, "ts")
         .mapInPandas(_chunk_steps, _STEPS)
     )
-    entries = (
-        steps.repartition("_key", "_period")
-        .sortWithinPartitions(*group, "upto")
-        .mapInPandas(_chunk_entries, _ENTRIES)
+    # The chain is followed over the step functions of whole runs of chunks, one
+    # task per key but few steps, and then inside each run.
+    run = _floor_div(F.col("_chunk"), F.lit(RUN).cast("bigint"))
+    runs = (
+        steps.withColumn("_group", run)
+        .repartition("_key", "_period", "_group")
+        .sortWithinPartitions("_key", "_period", "_group", F.desc("_chunk"), "upto")
+        .mapInPandas(_fold_steps, _STEPS)
     )
+    whole = F.lit(0).cast("bigint")
+    roots = steps.select("_key", "_period").distinct().select("_key", "_period", whole.alias("_chunk"), F.lit(LONG_MIN).alias("enter"))
+    entries = _entered(steps, run, _entered(runs, whole, roots))
     both = times.select(*group, "ts", F.lit(False).alias("is_entry")).unionByName(
         entries.select(*group, F.col("enter").alias("ts"), F.lit(True).alias("is_entry"))
     )
