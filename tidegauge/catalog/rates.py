@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidegauge.catalog.base import AS_OF, FIXED_ACCURACY, flat, query, with_ctes
+from tidegauge.catalog.base import AS_OF, FIXED_ACCURACY, flat, query, scratch, with_ctes
 from tidegauge.catalog.registry import REMEDIES
 from tidegauge.operators import aggregates, enrich, monitor, ordering, rates, remedies, segments
 from tidegauge.operators import requests as rq
@@ -496,11 +498,18 @@ DECISIONS = (
 )
 
 
-def _decisions(spark, d):
+def _symptom_log(spark, d):
+    """The symptoms as a written table, as the control loop keeps them; healing reads it several times."""
+    path = f"{scratch(spark)}/symptoms-{uuid.uuid4().hex}"
+    _buffered(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _decisions(spark, d, symptoms):
     demands = _demands(spark, d)
     chosen = remedies.remedy_of_requests(fx.remedy_catalogue(spark, d), fx.attribute_targets(spark), demands)
     return monitor.heal_decisions(
-        _buffered(spark, d), demands, chosen, observe_ms=OBSERVE, max_retries=3, lifetime_ms=LIFE
+        symptoms, demands, chosen, observe_ms=OBSERVE, max_retries=3, lifetime_ms=LIFE
     )
 
 
@@ -509,7 +518,7 @@ def _decisions(spark, d):
     with_ctes(f"with {DECISIONS} select * from decisions", "obs", "req", "effects", recursive=True),
 )
 def _(spark, d):
-    return _decisions(spark, d)
+    return _decisions(spark, d, _symptom_log(spark, d))
 
 
 @query(
@@ -539,11 +548,11 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
+    log = _symptom_log(spark, d)
     heals = (
-        _decisions(spark, d)
+        _decisions(spark, d, log)
         .where(F.col("decision") == "HEAL")
         .join(_demands(spark, d).select("request_id", "stage_id"), "request_id")
         .select("request_id", "stage_id", F.col("decided_ms").alias("heal_ms"))
     )
-    symptoms = _buffered(spark, d).select("stage_id", "symptom_ms")
-    return monitor.stable_requests(heals, symptoms, observe_ms=DAY)
+    return monitor.stable_requests(heals, log.select("stage_id", "symptom_ms"), observe_ms=DAY)
