@@ -37,7 +37,7 @@ def plain_classes(rows, share=neardup.COMMON, least=neardup.SIMILARITY):
         w = WORD.findall((text or "").encode())
         shingles[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
     df = Counter(s for c in shingles.values() for s in c)
-    idf = {s: math.log1p(len(rows) / max(n, len(rows) * share)) for s, n in df.items()}
+    idf = {s: math.log1p(1 / max(n / (len(rows) + neardup.SMOOTHING), share)) for s, n in df.items()}
     weight = {i: {s: (1 + math.log(n)) * idf[s] for s, n in c.items()} for i, c in shingles.items()}
     holders = defaultdict(list)
     for i, c in weight.items():
@@ -67,6 +67,25 @@ def test_near_duplicates(spark, small):
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == want
 
 
+def test_near_duplicates_that_are_most_of_the_corpus(spark):
+    """What a huge group shares must not weigh less than what was changed in it, but what all documents have does."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(900)}" for _ in range(100)]
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        own = list(base) if i < 600 else [f"y{rng.randrange(9000)}" for _ in range(100)]
+        own[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(own + common)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = neardup.corpus_idf(docs)
+    assert len(idf.common) == 56 and (idf.weight < idf.rare).all()
+    found = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert all(found[i] == 0 for i in range(600)) and all(found[i] == i for i in range(600, 1500))
+
+
 def test_near_duplicates_across_classes(spark):
     """A large group of near copies of each other, in which not every pair is similar."""
     import random
