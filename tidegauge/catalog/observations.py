@@ -430,14 +430,16 @@ def _(spark, d):
 @query(
     "fn7_parse_rate",
     with_ctes(
-        """select request_id, case when obsrate_max is not null then 2::bigint when obsrate_min is not null then 1::bigint
-          end as n, case when obsrate_max is not null then 3600000::bigint when obsrate_min is not null then 60000::bigint
-          end as period_ms from req""",
+        """select request_id, case when obsrate_max is not null then 2::bigint when obsrate_min is not null then
+          cast(split_part(obsrate_min, '/', 1) as bigint) when created_ms // 86400000 % 3 = 0 then 7::bigint end as n,
+          case when obsrate_max is not null or obsrate_min is not null then 3600000::bigint
+          when created_ms // 86400000 % 3 = 0 then 60000::bigint end as period_ms from req""",
         "req",
     ),
 )
 def _(spark, d):
-    parsed = params.rate(F.coalesce("obsrate_max", "obsrate_min"))
+    other = F.when(F.floor(F.col("created_ms") / 86_400_000) % 3 == 0, F.lit("7/min")).otherwise(F.lit("often"))
+    parsed = params.rate(F.coalesce("obsrate_max", "obsrate_min", other))
     return fx.requests(spark, d).select("request_id", parsed["n"].alias("n"), parsed["period_ms"].alias("period_ms"))
 
 
