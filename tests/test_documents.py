@@ -166,7 +166,7 @@ def test_documented_requests_are_accepted(spark):
     assert [r["obs_level"] for r in got] == ["RAW_DATA", "RAW_DATA", "KNOWLEDGE"]
     assert got[2]["params"] == {"obsRate_min": "5/s"} and got[2]["interested_in"] == ["OBS_ACCURACY", "OBS_FRESHNESS"]
     assert got[0]["interested_in"] == [] and got[0]["operator"] == "NONE"
-    assert got[0]["logs"] == ["7: Object request has been created."]
+    assert got[0]["logs"] == ["7: Request received."]
     assert len({r["request_id"] for r in got}) == 3
 
 

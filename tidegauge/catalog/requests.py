@@ -33,7 +33,7 @@ STATES = f"""case when area = 'ATLANTIS' then [{_state('CREATED', 0, 1000)}, {_s
     when order_status = 'F' then [{_state('CREATED', 0, 1000)}, {_state('SUBMITTED', 1000, 2000)},
       {_state('ENFORCED', 2000, 3000)}, {_state('HEALED', 3000, 4000)}, {_state('REMOVED', 4000, 4000)}]
     else [{_state('CREATED', 0, 1000)}, {_state('SUBMITTED', 1000, 2000)}, {_state('ENFORCED', 2000, 2000)}] end"""
-LOGS = ("(created_ms + 1000) || ': Looked up: sensors.'", "created_ms || ': Object request has been created.'")
+LOGS = ("(created_ms + 1000) || ': Looked up: sensors.'", "created_ms || ': Request received.'")
 
 
 def _params_text(column="params"):
@@ -77,7 +77,7 @@ NOW = 1_700_000_000_000
           case when sla_level = 'GUARANTEED' then {WISHES} else '' end as wishes, 'NONE' as operator,
           case when sla_level = 'GUARANTEED' then 'GUARANTEED' else 'BEST_EFFORT' end as sla_level,
           case when sla_level = 'GUARANTEED' then {PARAMS} else '' end as params, 'CREATED' as status,
-          {NOW}::bigint as start_date, '{NOW}: Object request has been created.' as log
+          {NOW}::bigint as start_date, '{NOW}: Request received.' as log
         from req where priority <> '5-LOW'""",
         "req",
     ),
@@ -260,7 +260,7 @@ def _(spark, d):
     "wn5_prepend_log",
     with_ctes(
         """select request_id, '1900000000000: Removed.' as newest, 3 as n,
-        cast(created_ms as varchar) || ': Object request has been created.' as oldest from req""",
+        cast(created_ms as varchar) || ': Request received.' as oldest from req""",
         "req",
     ),
 )
@@ -341,9 +341,9 @@ def _(spark, d):
     "jn4_admit_requests",
     with_ctes(
         f"""select request_id, case when m.topic is not null then 'SUBMITTED' else 'REJECTED' end as status,
-          case when m.topic is not null then 'Found couple (' || r.topic || ' / ' || r.area
-            || '), request forwarded to Monitor.'
-          else 'No sensor found for (' || r.topic || ' / ' || r.area || ').' end as log
+          case when m.topic is not null then 'Sensors are known for (' || r.topic || ' / ' || r.area
+            || ')'
+          else 'Rejected, as no sensor serves (' || r.topic || ' / ' || r.area || ')' end as log
         from req r left join (select distinct topic, area from ({MATCH})) m on r.topic = m.topic and r.area = m.area""",
         "req", "sens",
     ),

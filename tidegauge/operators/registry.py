@@ -266,6 +266,7 @@ def sensor_triples(sensors: DataFrame, wire: WireNames | None = None) -> DataFra
         return F.lit(iri(curie, wire))
 
     sensor, topic = own(""), expand(F.col("topic"), wire)
+    # The statements that describe a registered sensor in the graph.
     rows = [
         (sensor, "rdf:type", term("ssn:Sensor")),
         (sensor, "iot-lite:id", F.col("sensor_id")),

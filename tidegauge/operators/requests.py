@@ -141,30 +141,39 @@ def match_requests_to_sensors(
     sensor; requests with equal selections share it by an equi-join on both
     columns.
     """
-    wanted = requests.select("topic", "area").distinct()
-    if compat.any_known_place:
-        known = sensors.select("area").distinct().withColumn("_known", F.lit(True))
-        wanted = wanted.join(known, "area", "left").select(
-            "topic",
-            "area",
-            F.when(F.col("_known") | (F.col("area") == ALL), F.lit(ALL)).otherwise(F.col("area")).alias("_use"),
-        )
-    else:
-        wanted = wanted.withColumn("_use", F.col("area"))
     chosen = offers(sensors).select("sensor_id", "sel_topic", "sel_area").distinct()
-    return wanted.join(
-        chosen, (F.col("topic") == F.col("sel_topic")) & (F.col("_use") == F.col("sel_area"))
-    ).select("topic", "area", "sensor_id")
+    return _selections(requests, sensors, compat).join(chosen, _selects()).select("topic", "area", "sensor_id")
+
+
+def _selections(requests: DataFrame, sensors: DataFrame, compat: Compat) -> DataFrame:
+    """Distinct (topic, area) of requests, with the area ``_use`` under which sensors are looked up."""
+    wanted = requests.select("topic", "area").distinct()
+    if not compat.any_known_place:
+        return wanted.withColumn("_use", F.col("area"))
+    known = sensors.select("area").distinct().withColumn("_known", F.lit(True))
+    return wanted.join(known, "area", "left").select(
+        "topic",
+        "area",
+        F.when(F.col("_known") | (F.col("area") == ALL), F.lit(ALL)).otherwise(F.col("area")).alias("_use"),
+    )
+
+
+def _selects() -> Column:
+    return (F.col("topic") == F.col("sel_topic")) & (F.col("_use") == F.col("sel_area"))
 
 
 def admit_requests(requests: DataFrame, sensors: DataFrame, compat: Compat = Compat()) -> DataFrame:
-    """Add ``status`` (SUBMITTED or REJECTED) and the ``log`` text of the decision."""
-    found = match_requests_to_sensors(requests, sensors, compat).select("topic", "area").distinct()
+    """Add ``status`` (SUBMITTED or REJECTED) and the ``log`` text of the decision.
+
+    Selections are looked up among those that sensors offer, not sensor by sensor.
+    """
+    places = offers(sensors.select("topic", "area").distinct()).select("sel_topic", "sel_area").distinct()
+    found = _selections(requests, sensors, compat).join(places, _selects(), "left_semi").select("topic", "area")
     joined = requests.join(found.withColumn("_found", F.lit(True)), ["topic", "area"], "left")
     hit = F.coalesce("_found", F.lit(False))
     pair = F.concat(F.lit("("), F.col("topic"), F.lit(" / "), F.col("area"), F.lit(")"))
-    log = F.when(hit, F.concat(F.lit("Found couple "), pair, F.lit(", request forwarded to Monitor."))).otherwise(
-        F.concat(F.lit("No sensor found for "), pair, F.lit("."))
+    log = F.when(hit, F.concat(F.lit("Sensors are known for "), pair)).otherwise(
+        F.concat(F.lit("Rejected, as no sensor serves "), pair)
     )
     status = F.when(hit, F.lit("SUBMITTED")).otherwise(F.lit("REJECTED"))
     return joined.select(*requests.columns, status.alias("status"), log.alias("log"))

@@ -179,7 +179,7 @@ def request_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.array(created, submitted, enforced_open))
     )
-    created_log = F.concat(start.cast("string"), F.lit(": Object request has been created."))
+    created_log = F.concat(start.cast("string"), F.lit(": Request received."))
     second_log = F.concat((start + 1000).cast("string"), F.lit(": Looked up: sensors."))
     return req.select(
         "request_id",

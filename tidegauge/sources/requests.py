@@ -106,7 +106,7 @@ def submit_requests(
         F.coalesce(F.col("_body.qoo")[wire.params_field], _empty_map()).alias("params"),
         F.coalesce(F.col("_body.qoo.custom_params"), _empty_map()).alias("custom_params"),
         F.array(state).alias("states"),
-        prepend_log(F.array().cast("array<string>"), "Object request has been created.", now).alias("logs"),
+        prepend_log(F.array().cast("array<string>"), "Request received.", now).alias("logs"),
     )
     return accepted, rejects
 
