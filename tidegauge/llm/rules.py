@@ -38,7 +38,7 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
     "capitals": ("n_capitals", "word_chars", (95, 90, 80, 70, 60, 50, 40, 30, 20)),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
-LIMIT, RISK = 0.05, 0.05
+LIMIT, RISK = 0.02, 0.05
 #: Strata above which the cutoffs are joined instead of being sent to every task.
 FEW_STRATA = 10_000
 
