@@ -48,8 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; what it takes in part is cut after so many words."""
-    taken = mix(docs, carry=COLUMNS).withColumn("copy", F.explode(F.expr("sequence(1L, whole + if(part > 0, 1L, 0L))")))
-    taken = taken.filter("copy <= whole or part > 0")
+    # without the filter, sequence(1, 0) would count down and give copies of what the mix leaves out
+    taken = mix(docs, carry=COLUMNS).filter("whole > 0 or part > 0")
+    taken = taken.withColumn("copy", F.explode(F.expr("sequence(1L, whole + if(part > 0, 1L, 0L))")))
     in_part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), 1), 1, F.col("part").cast("int")), "")
     text = F.when(F.col("copy") <= F.col("whole"), F.col("text")).otherwise(in_part)
     chars = F.when(F.col("copy") <= F.col("whole"), F.col("n_chars")).otherwise(F.length(in_part).cast("long"))
