@@ -1,8 +1,9 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine over selected toxic terms.
 
 Terms are runs of five bytes inside a word, its border included, in lower case.
 From a bounded sample of labelled texts come the terms that toxic texts have
-clearly more often, and the examples. How common a term is in the corpus (its
+clearly more often, and the examples; all other terms are left out of the vectors
+and their norms. How common a term is in the corpus (its
 idf) is counted over all documents. The examples stand in an inverted index whose
 postings are cut into blocks of neighbouring examples, each with the largest
 weight of every term. A search adds up these bounds, visits blocks from the
