@@ -1,9 +1,10 @@
 """Operators that once did less than their whole job, on tables small enough to reckon by hand."""
 
+import json
 from collections import Counter
 
 import corpus_pipeline
-from tidegauge.llm import mixing
+from tidegauge.llm import mixing, wrappers
 
 
 def test_the_mix_leaves_out_what_is_above_the_target(spark):
@@ -20,3 +21,10 @@ def test_the_mix_leaves_out_what_is_above_the_target(spark):
         assert r.n_chars in (1, len(r.text))
     assert 0 < planned["a"] < size["a"] and planned["c"] > size["c"]
     assert found == planned
+
+
+def test_a_host_whose_pages_have_one_title_has_a_wrapper():
+    page = "<title>Our site</title><body><div>Open all day</div><div><p>Story {0} begins</p></div></body>"
+    packed = wrappers.induce([page.format(i) for i in range(5)])
+    assert wrappers.extract(page.format(9), wrappers.Wrapper(json.loads(packed))) == "Story 9 begins"
+    assert wrappers.induce([page.format(1), page.format(1).replace("<body>", "<body >")]) is None
