@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import shared_folder, table
@@ -38,12 +38,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the smallest id; documents without an id all stay."""
-    heads = classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").select(*COLUMNS).join(heads, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("place", F.row_number().over(first)).filter("place = 1")
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """One row of each class of near duplicates, that with the smallest id; those without an id come last.
+
+    Rows are told apart by id and text, as an id may stand with several texts or be null.
+    """
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), *COLUMNS)
+    found = classes(rows, key="row").distinct().withColumnRenamed("doc_id", "row")
+    ids = rows.select("row", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    heads = found.join(ids, "row").groupBy("class_id").agg(first).select("first.row")
+    kept = rows.join(heads, "row", "left_semi")
+    return kept.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

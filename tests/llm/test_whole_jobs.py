@@ -28,3 +28,15 @@ def test_a_host_whose_pages_have_one_title_has_a_wrapper():
     packed = wrappers.induce([page.format(i) for i in range(5)])
     assert wrappers.extract(page.format(9), wrappers.Wrapper(json.loads(packed))) == "Story 9 begins"
     assert wrappers.induce([page.format(1), page.format(1).replace("<body>", "<body >")]) is None
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    x, y, z = (" ".join(f"{stem}{i}" for i in range(60)) for stem in "xyz")
+    rows = [(3, x), (None, x), (None, z), (None, z)]
+    for i in range(10, 20):  # each id stands with a copy of x and with a text of its own
+        rows += [(i, x), (i, " ".join(f"{w}{i}" for w in y.split()))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns
+    want = {(3, x), (None, z)} | {(i, t) for i, t in rows if i and t[0] == "y"}
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(want)
