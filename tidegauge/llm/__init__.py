@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidegauge.llm.common import ORACLES, QUERIES
 
-MODULES = ("topk", "packing", "sharding", "quality", "rules", "wrappers", "toxicity", "tokencounts", "neardup", "mixing", "caps", "lexical")
+MODULES = ("topk", "packing", "sharding", "quality", "rules", "wrappers", "toxicity", "tokencounts", "neardup", "mixing", "caps", "whitening", "lexical")
 
 
 def load() -> tuple[dict, dict]:
