@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import AS_OF, FIXED_ACCURACY, query, with_ctes
@@ -488,18 +489,62 @@ def _(spark, d):
     return lifecycle.shared_edges(*_shared(spark, d))
 
 
+# Whoever reads a topic uses the stages that lead to it, up to the sources
+USERS = """, uses as (select distinct request_id, child as topic from {edges}
+      union select u.request_id, e.parent from uses u join {edges} e on u.topic = e.child),
+    users as (select distinct e.parent, e.child, e.stage, u.request_id from {edges} e join uses u on u.topic = e.child)"""
+
+
 @query(
     "rq4_stage_usage",
     with_ctes(
-        f"""with {SHARED_EDGES} select parent, child, stage, count(distinct request_id) as uses from after
-        group by 1, 2, 3""",
-        "req",
+        f"""with {SHARED_EDGES}{USERS.format(edges="after")}
+        select parent, child, stage, count(distinct request_id) as uses from users group by 1, 2, 3""",
+        "req", recursive=True,
     ),
 )
 def _(spark, d):
     return lifecycle.stage_usage(lifecycle.shared_edges(*_shared(spark, d)))
 
 
+# Each request shares the one before it that asks the same: lines of three
+LINES = """lines as (select request_id, lag(request_id) over (partition by topic, area, obs_level, threshold_min, threshold_max,
+      obsrate_max order by request_id) as shared_with from req),
+    up as (select request_id, shared_with, 1 as steps from lines where shared_with is not null
+      union all select u.request_id, l.shared_with, steps + 1 from up u join lines l on u.shared_with = l.request_id
+      where l.shared_with is not null),
+    roots as (select request_id, arg_max(shared_with, steps) as root from up group by request_id),
+    last as (select request_id as root, parent as from_topic from edges where is_sink),
+    after as (select e.request_id, application_id, coalesce(from_topic, parent) as parent, child, stage,
+      case when root is null then level else 1 end as level, root is not null or is_source as is_source, is_heal, is_sink,
+      shared_with as constructed_from from edges e join lines using (request_id) left join roots using (request_id)
+      left join last using (root) where root is null or is_sink)"""
+
+
+def _lines(spark, d):
+    req = fx.requests(spark, d)
+    equal = Window.partitionBy("topic", "area", "obs_level", "threshold_min", "threshold_max", "obsrate_max")
+    shared = req.select("request_id", F.lag("request_id").over(equal.orderBy("request_id")).alias("shared_with"))
+    return lifecycle.shared_edges(lifecycle.stage_edges(req), shared)
+
+
+@query("rq3_shared_edges_in_line", with_ctes(f"with {EDGES}, {LINES} select * from after", "req", recursive=True))
+def _(spark, d):
+    return _lines(spark, d)
+
+
+@query(
+    "rq4_releasable_shared",
+    with_ctes(
+        f"""with {EDGES}, {LINES}{USERS.format(edges="after")} select parent, child, stage from users join req using (request_id)
+        group by 1, 2, 3 having count(*) filter (where order_status <> 'F') = 0""",
+        "req", recursive=True,
+    ),
+)
+def _(spark, d):
+    return lifecycle.releasable_stages(_lines(spark, d), fx.requests(spark, d).where(F.col("order_status") == "F"))
+
+
 @query(
     "rq4_releasable_stages",
     with_ctes(

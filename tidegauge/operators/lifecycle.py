@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.naming import delivery_topic, quality_topic, remedy_topic, selection_topic
+from tidegauge.operators.lineage import cut
 
 EDGE = (
     "request_id", "application_id", "parent", "child", "stage", "level", "is_source", "is_heal", "is_sink",
@@ -90,17 +91,35 @@ def final_sinks(edges: DataFrame) -> DataFrame:
     return edges.where("is_sink").select("request_id", F.col("child").alias("topic")).distinct()
 
 
+def sharing_roots(shared: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """request_id, root of the requests that share another one: the first of the line, which built the chain.
+
+    ``shared``: request_id, shared_with. Each round every request looks up where the
+    one that it points at points, so that a line of any length closes in a
+    logarithmic number of joins. Requests that share each other in a circle have no
+    root, which is an error.
+    """
+    links = shared.where(F.col("shared_with").isNotNull() & (F.col("shared_with") != F.col("request_id")))
+    found = cut(links.groupBy("request_id").agg(F.min("shared_with").alias("root")))
+    for _ in range(most_rounds):
+        further = found.select(F.col("request_id").alias("root"), F.col("root").alias("_next"))
+        looked = cut(found.join(further, "root", "left"))
+        if looked.where(F.col("_next").isNotNull()).isEmpty():
+            return looked.select("request_id", "root")
+        found = looked.select("request_id", F.coalesce("_next", "root").alias("root"))
+    raise ValueError("some requests share each other in a circle")
+
+
 def shared_edges(edges: DataFrame, shared: DataFrame) -> DataFrame:
     """Edges after sharing: a request equal to an enforced one only keeps its own output.
 
-    ``shared`` is the result of ``find_shared_requests``. The output then
-    starts at the last topic before the sink of the other request.
+    ``shared`` is the result of ``find_shared_requests``, or of several of them. The
+    output then starts at the last topic before the sink of the other request, or,
+    where that one shares a third, of the first in line, whose stages are all that run.
     """
-    links = shared.where(F.col("shared_with").isNotNull())
-    last = edges.where("is_sink").select(
-        F.col("request_id").alias("shared_with"), F.col("parent").alias("_from")
-    )
-    reuse = links.join(last, "shared_with").select("request_id", "_from", "shared_with")
+    links = shared.where(F.col("shared_with").isNotNull()).join(sharing_roots(shared), "request_id")
+    last = edges.where("is_sink").select(F.col("request_id").alias("root"), F.col("parent").alias("_from"))
+    reuse = links.join(last, "root").select("request_id", "_from", "shared_with")
     marked = edges.join(reuse, "request_id", "left")
     own = F.col("shared_with").isNull()
     kept = marked.where(own | F.col("is_sink"))
@@ -118,15 +137,47 @@ def shared_edges(edges: DataFrame, shared: DataFrame) -> DataFrame:
     )
 
 
+def upstream_topics(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """topic, upstream: every topic with itself and all topics that reach it through stages.
+
+    Paths double in each round, so that chains of any length and chains built on
+    chains close in a logarithmic number of joins.
+    """
+    links = edges.select(F.col("child").alias("topic"), F.col("parent").alias("upstream")).distinct()
+    reach = cut(links.unionByName(links.select("topic", F.col("topic").alias("upstream"))).distinct())
+    for _ in range(most_rounds):
+        further = reach.select(F.col("topic").alias("upstream"), F.col("upstream").alias("_beyond"))
+        grown = reach.join(further, "upstream").select("topic", F.col("_beyond").alias("upstream"))
+        grown = cut(reach.unionByName(grown).distinct())
+        if grown.count() == reach.count():
+            return grown
+        reach = grown
+    raise ValueError("paths between topics still grow")
+
+
+def stage_users(edges: DataFrame) -> DataFrame:
+    """parent, child, stage, request_id: every request with each stage instance that its output depends on.
+
+    These are its own stages and, if it was constructed from another request, the
+    stages behind the topic that it reads: that request's up to its own output, and
+    so on for requests constructed from requests. They are found along topics, so
+    that they hold although a request between was deleted.
+    """
+    stages = edges.select("parent", "child", "stage").distinct()
+    own = edges.select("request_id", F.col("child").alias("topic")).distinct()
+    read = own.join(upstream_topics(edges), "topic").select("request_id", F.col("upstream").alias("child")).distinct()
+    return stages.join(read, "child").select("parent", "child", "stage", "request_id")
+
+
 def stage_usage(edges: DataFrame) -> DataFrame:
-    """How many requests use each stage instance (its topics and name)."""
-    return edges.groupBy("parent", "child", "stage").agg(F.countDistinct("request_id").alias("uses"))
+    """How many requests use each stage instance (its topics and name), those built on another request included."""
+    return stage_users(edges).groupBy("parent", "child", "stage").agg(F.countDistinct("request_id").alias("uses"))
 
 
 def releasable_stages(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Stage instances that nobody uses once the ``deleted`` requests are gone."""
     gone = deleted.select("request_id").distinct().withColumn("_gone", F.lit(True))
-    marked = edges.join(gone, "request_id", "left")
+    marked = stage_users(edges).join(gone, "request_id", "left")
     left = F.sum(F.when(F.col("_gone").isNull(), F.lit(1)).otherwise(F.lit(0)))
     return marked.groupBy("parent", "child", "stage").agg(left.alias("_left")).where("_left = 0").drop("_left")
 
