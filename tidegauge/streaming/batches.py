@@ -151,21 +151,21 @@ class Snapshots:
 
 
 def merge_changes(table: DataFrame | None, changes: DataFrame, keys: Sequence[str], order: Sequence[str], deleted: str | None = None) -> DataFrame:
-    """``table`` after a batch of ``changes``: of the changes of a key the last by ``order`` counts, and is dropped if it is ``deleted``.
+    """``table`` after a batch of ``changes``: of the rows of a key the last by ``order`` counts, and is dropped if it is ``deleted``.
 
-    A change replaces the row of its key. Changes of one order value are settled by
-    their other columns, so that the result does not depend on how they arrive.
+    Changes of one order value are settled by their other columns, so that the result
+    does not depend on how they arrive. A change older than the table's row loses; a
+    deletion is forgotten once it is applied, so that any later batch may bring its key back.
     """
-    rest = [c for c in changes.columns if c not in (*keys, *order)]
-    whole = F.struct(*[F.col(c) for c in (*order, *rest)])
-    last = changes.groupBy(*keys).agg(F.max(whole).alias("_last"))
-    new = last.select(*keys, *[F.col("_last")[c].alias(c) for c in (*order, *rest)]).select(*changes.columns)
     columns = [c for c in changes.columns if c != deleted]
-    kept = new if deleted is None else new.where(~F.coalesce(F.col(deleted), F.lit(False)))
-    if table is None:
-        return kept.select(*columns)
-    same = [table[k].eqNullSafe(new[k]) for k in keys]
-    return table.join(new, same, "left_anti").select(*columns).unionByName(kept.select(*columns))
+    rest = [c for c in columns if c not in (*keys, *order)]
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    rows = changes.select(*columns, gone.alias("_gone"))
+    if table is not None:
+        rows = rows.unionByName(table.select(*columns, F.lit(False).alias("_gone")))
+    last = F.max(F.struct(*order, "_gone", *rest)).alias("_last")
+    found = rows.groupBy(*keys).agg(last).where("not _last._gone")
+    return found.select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in columns])
 
 
 def start_upserts(

@@ -24,7 +24,9 @@ def _limit_step(n: int, period_ms: int, aligned: bool):
             if count < n:
                 kept.append(i)
                 count += 1
-        return {"start": start, "count": count}, rows.iloc[kept], None
+        if start is None or known >= start + period_ms:
+            return None, rows.iloc[kept], None  # whatever comes opens a new window
+        return {"start": start, "count": count}, rows.iloc[kept], start + period_ms
 
     return step
 

@@ -8,6 +8,7 @@ depend on arrival order within the watermark delay and equals the batch form.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -27,43 +28,69 @@ Step = Callable[[dict | None, pd.DataFrame, int], tuple[dict | None, pd.DataFram
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Holds rows of a key until the watermark passes them, then runs the step."""
+    """Holds rows of a key until the watermark passes them, then runs the step.
 
-    def __init__(self, step: Step, schema: T.StructType, order: Sequence[str], output: Sequence[str]):
+    Held rows lie in buckets of ``bucket_ms`` by their time; a timer reads only the
+    buckets that the watermark has reached, whatever else the key holds.
+    """
+
+    def __init__(self, step: Step, schema: T.StructType, order: Sequence[str], output: Sequence[str], bucket_ms: int = 60_000):
         self.step = step
         self.schema = schema
         self.order = list(order)
         self.output = list(output)
+        self.bucket_ms = max(1, bucket_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
+        self.held = handle.getMapState("held", "bucket long", "rows binary")
         self.memory = handle.getValueState("memory", "text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            if len(frame) == 0:
-                continue
+        frames = [
             # Spark renames columns that start with an underscore; positions hold.
-            frame = frame.set_axis([*self.schema.names, "_key"], axis=1)[self.schema.names]
-            self.held.appendList([tuple(r) for r in _plain(frame)])
-            least = int(frame["_ts"].min())
-            first = least if first is None else min(first, least)
-        if first is not None:
+            frame.set_axis([*self.schema.names, "_key"], axis=1)[self.schema.names]
+            for frame in rows
+            if len(frame)
+        ]
+        if frames:
+            new = pd.concat(frames, ignore_index=True)
+            self._hold(new)
             # One millisecond later: rows at the watermark itself may still come.
-            self.handle.registerTimer(first + 1)
+            self.handle.registerTimer(int(new["_ts"].min()) + 1)
         return iter([])
 
+    def _hold(self, new: pd.DataFrame) -> None:
+        for bucket, rows in new.groupby(new["_ts"] // self.bucket_ms):
+            place = (int(bucket),)
+            old = pickle.loads(self.held.getValue(place)[0]) if self.held.containsKey(place) else []
+            self.held.updateValue(place, (pickle.dumps(old + _plain(rows)),))
+
+    def _due(self, known: int) -> tuple[pd.DataFrame, int | None]:
+        """Rows before the known time, in order, taken out of the state; and the time of the first that stays."""
+        buckets = sorted(int(k[0]) for k in self.held.keys())
+        ready, first = [], None
+        for bucket in buckets:
+            if bucket * self.bucket_ms >= known:
+                first = bucket * self.bucket_ms if first is None else first
+                break
+            own = pickle.loads(self.held.getValue((bucket,))[0])
+            at = self.schema.names.index("_ts")
+            stays = [r for r in own if r[at] >= known]
+            ready += [r for r in own if r[at] < known]
+            if not stays:
+                self.held.removeKey((bucket,))
+            else:
+                first = min(r[at] for r in stays)
+                if len(stays) < len(own):
+                    self.held.updateValue((bucket,), (pickle.dumps(stays),))
+                break
+        frame = pd.DataFrame(ready, columns=self.schema.names)
+        return frame.sort_values(self.order, kind="stable").reset_index(drop=True), first
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = int(timerValues.getCurrentWatermarkInMs())
-        held = pd.DataFrame([tuple(r) for r in self.held.get()], columns=self.schema.names)
-        ready = held[held["_ts"] < known].sort_values(self.order, kind="stable").reset_index(drop=True)
-        rest = held[held["_ts"] >= known]
-        if len(ready):
-            self.held.clear()
-            if len(rest):
-                self.held.put([tuple(r) for r in _plain(rest)])
+        ready, first = self._due(known)
         stored = self.memory.get() if self.memory.exists() else None
         memory = json.loads(stored[0]) if stored else None
         memory, out, wake = self.step(memory, ready, known)
@@ -71,8 +98,8 @@ class OrderedProcessor(StatefulProcessor):
             self.memory.clear()
         else:
             self.memory.update((json.dumps(memory),))
-        if len(rest):
-            self.handle.registerTimer(int(rest["_ts"].min()) + 1)
+        if first is not None:
+            self.handle.registerTimer(max(first, known) + 1)
         if wake is not None:
             self.handle.registerTimer(wake + 1)
         if out is not None and len(out):
@@ -82,6 +109,13 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
+def delay_ms(delay: str) -> int:
+    """Milliseconds of a watermark delay such as ``10 minutes``."""
+    units = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
+    words = delay.lower().removeprefix("interval ").split()
+    return sum(int(n) * units[u.rstrip("s")] for n, u in zip(words[::2], words[1::2]))
+
+
 def _plain(frame: pd.DataFrame) -> list[list]:
     """Rows as Python values that the state encoder accepts."""
     columns = []
@@ -116,7 +150,8 @@ def ordered_stream(
     )
     schema = T.StructType([f for f in keyed.schema.fields if f.name not in ("_key",)])
     target = output if isinstance(output, T.StructType) else T._parse_datatype_string(output)
-    processor = OrderedProcessor(step, schema, ["_ts", *tie], target.names)
+    # some buckets within the delay, so that few rows of other times are touched with those that are due
+    processor = OrderedProcessor(step, schema, ["_ts", *tie], target.names, max(1000, delay_ms(delay) // 32))
     return keyed.groupBy("_key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=target, outputMode="Append", timeMode="EventTime"
     )
