@@ -7,15 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_streaming import LATER, arriving
-from tidegauge.operators import rates
 from tidegauge.plans import chain
 from tidegauge.sources import fixtures as fx
 from tidegauge.streaming import batches
 from tidegauge.streaming.enforce import Enforcement
 from tidegauge.streaming.ordered import delay_ms, use_rocksdb
 
-HOUR = 3_600_000
-
 
 @pytest.fixture(scope="module", autouse=True)
 def store(spark):
@@ -178,6 +175,3 @@ def test_table_of_a_stream_of_changes(spark, tmp_path):
 def test_delays():
     assert [delay_ms(x) for x in ("10 minutes", "interval 1 day 2 hours", "3 seconds")] == [600_000, 93_600_000, 3000]
 
-
-def test_tee_of_the_batch_form(spark, obs):
-    assert set(rates.tee(obs, 12 * HOUR, 12 * HOUR)) == {"delivery", "quality", "rate"}

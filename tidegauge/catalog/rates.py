@@ -521,6 +521,44 @@ def _(spark, d):
     return _decisions(spark, d, _symptom_log(spark, d))
 
 
+# From day 14 on another remedy, which may be tried although the first one's retries are used up; from day 24 on none
+CHANGED, ENDED = START + 14 * DAY, START + 24 * DAY
+CHANGING = (
+    DECISIONS.replace(
+        "judged as (select *, remedy is null or attempt > 3 as ended from numbered join remedied using (request_id))",
+        f"""dated as (select numbered.*, stage_id, g, symptom_ms >= {CHANGED} as later,
+      case when symptom_ms >= {ENDED} then null when later then 'RemedySmooth' else remedy end as remedy,
+      case when later then 'level' else param end as param, case when later then 'Integer' else type end as type,
+      case when later then '7' else initial end as initial, case when later then 'LOW' else param_variation end as param_variation
+      from numbered join remedied using (request_id)),
+    judged as (select *, remedy is null or (attempt > 3 and nth > 1) as ended from
+      (select *, row_number() over (partition by request_id, epoch, remedy order by symptom_ms) as nth from dated))""",
+    ).replace("* (attempt - 1)", "* (nth - 1)")
+)
+
+
+def _changing(spark, d):
+    """Remedies of each request with the time from which on they hold."""
+    demands = _demands(spark, d)
+    chosen = remedies.remedy_of_requests(fx.remedy_catalogue(spark, d), fx.attribute_targets(spark), demands)
+    fields = ("remedy", "param", "type", "initial", "param_variation")
+    first = chosen.select("request_id", F.lit(START).cast("bigint").alias("since_ms"), *fields)
+    smooth = [F.lit(v).alias(f) for f, v in zip(fields, ("RemedySmooth", "level", "Integer", "7", "LOW"))]
+    second = demands.select("request_id", F.lit(CHANGED).cast("bigint").alias("since_ms"), *smooth)
+    none = [F.lit(None).cast("string").alias(f) for f in fields]
+    return first.unionByName(second).unionByName(demands.select("request_id", F.lit(ENDED).cast("bigint").alias("since_ms"), *none))
+
+
+@query(
+    "st9_heal_with_changing_remedies",
+    with_ctes(f"with {CHANGING} select * from decisions", "obs", "req", "effects", recursive=True),
+)
+def _(spark, d):
+    return monitor.heal_decisions(
+        _symptom_log(spark, d), _demands(spark, d), _changing(spark, d), observe_ms=OBSERVE, max_retries=3, lifetime_ms=LIFE
+    )
+
+
 @query(
     "jn7_remedy_of_requests",
     with_ctes(

@@ -206,16 +206,18 @@ def heal_decisions(
     sla_level. ``remedy``: remedy, param, type, initial and param_variation, as
     one remedy for all requests, or as rows with a request_id (see
     :func:`tidegauge.operators.remedies.remedy_of_requests`); of several rows for
-    a request the first by name counts. A request without a row has no remedy.
+    a request the first by name counts. A request without a row has no remedy. With
+    a column ``since_ms`` beside request_id a row holds from then on, until the next
+    of its request; before the first, and from a row with a null remedy on, there is none.
 
     A request is healed at the first acting symptom and then at the first one
     after each observation time: greedy segments of that length. Attempt 1
-    takes the initial value, later ones move an Integer parameter by one in the
-    direction of the effect or repeat the value. After ``max_retries`` attempts,
-    or at once if there is no remedy, the request is given up: a GUARANTEED one
-    is REMOVED, the other goes back to ENFORCED and is left alone. If symptoms
-    pause for the lifetime after an observation time, the request counted as
-    stable and attempts start anew.
+    of a remedy takes the initial value, later ones move an Integer parameter by one
+    in the direction of the effect or repeat the value. After ``max_retries`` attempts,
+    unless the remedy was not tried before, or at once if there is none, the request is
+    given up: a GUARANTEED one is REMOVED, the other goes back to ENFORCED and is left
+    alone. If symptoms pause for the lifetime after an observation time, the request
+    counted as stable, and attempts and tried remedies start anew.
     """
     by_time = Window.partitionBy("request_id").orderBy(ts)
     times = symptoms.groupBy("request_id", ts).agg(F.max("act").alias("act"))
@@ -240,6 +242,16 @@ def heal_decisions(
     if isinstance(remedy, DataFrame):
         by_request = "request_id" in remedy.columns
         values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+    if isinstance(remedy, DataFrame) and "since_ms" in remedy.columns:
+        if not by_request:
+            raise ValueError("remedies that change need a request_id")
+        changes = remedy.groupBy("request_id", F.col("since_ms").alias(ts)).agg(F.min(values).alias("_change"))
+        both = numbered.withColumn("_tried", F.lit(True)).unionByName(changes, allowMissingColumns=True)
+        until_now = Window.partitionBy("request_id").orderBy(ts, F.col("_tried").isNotNull())
+        last = F.last("_change", ignorenulls=True).over(until_now.rowsBetween(Window.unboundedPreceding, 0))
+        found = both.withColumn("_now", last).where("_tried")
+        numbered = found.withColumn("_remedy", F.when(F.col("_now.remedy").isNotNull(), F.col("_now"))).drop("_now", "_change", "_tried")
+    elif isinstance(remedy, DataFrame):
         chosen = remedy.groupBy(*["request_id"][: int(by_request)]).agg(F.min(values).alias("_remedy"))
         # without request ids the frame is one row for all
         numbered = numbered.join(chosen, "request_id", "left") if by_request else numbered.join(F.broadcast(chosen))
@@ -253,13 +265,16 @@ def heal_decisions(
         return F.col("_remedy")[name]
 
     none = F.col("_remedy").isNull()
-    judged = numbered.withColumn("_end", none | (F.col("attempt") > max_retries))
+    # the how manieth attempt with its remedy since the request was last stable
+    same_remedy = Window.partitionBy("request_id", "_epoch", of_remedy("remedy")).orderBy(ts)
+    nth = numbered.withColumn("_nth", F.row_number().over(same_remedy))
+    judged = nth.withColumn("_end", none | ((F.col("attempt") > max_retries) & (F.col("_nth") > 1)))
     so_far = by_time.rowsBetween(Window.unboundedPreceding, -1)
     open_still = judged.withColumn("_closed", F.coalesce(F.max("_end").over(so_far), F.lit(False))).where("not _closed")
 
     direction, initial = of_remedy("param_variation"), of_remedy("initial")
     step = F.when(direction == "HIGH", F.lit(1)).when(direction == "LOW", F.lit(-1)).otherwise(F.lit(0))
-    moved = (initial.try_cast("bigint") + step * (F.col("attempt") - 1)).cast("string")
+    moved = (initial.try_cast("bigint") + step * (F.col("_nth") - 1)).cast("string")
     value = F.when(of_remedy("type") == "Integer", F.coalesce(moved, initial)).otherwise(initial)
     guaranteed = F.col("sla_level") == "GUARANTEED"
     final = F.when(guaranteed, F.lit("REMOVED")).otherwise(F.lit("ENFORCED"))

@@ -60,11 +60,18 @@ class OrderedProcessor(StatefulProcessor):
             self.handle.registerTimer(int(new["_ts"].min()) + 1)
         return iter([])
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Rows that are there before the stream begins are held like others, and wake their key without any input."""
+        rows = initialState.set_axis([*self.schema.names, "_key"], axis=1)[self.schema.names]
+        if len(rows):
+            self._hold(rows)
+            self.handle.registerTimer(int(rows["_ts"].min()) + 1)
+
     def _hold(self, new: pd.DataFrame) -> None:
         for bucket, rows in new.groupby(new["_ts"] // self.bucket_ms):
             place = (int(bucket),)
             old = pickle.loads(self.held.getValue(place)[0]) if self.held.containsKey(place) else []
-            self.held.updateValue(place, (pickle.dumps(old + _plain(rows)),))
+            self.held.updateValue(place, (pickle.dumps(old + plain_rows(rows)),))
 
     def _due(self, known: int) -> tuple[pd.DataFrame, int | None]:
         """Rows before the known time, in order, taken out of the state; and the time of the first that stays."""
@@ -116,7 +123,7 @@ def delay_ms(delay: str) -> int:
     return sum(int(n) * units[u.rstrip("s")] for n, u in zip(words[::2], words[1::2]))
 
 
-def _plain(frame: pd.DataFrame) -> list[list]:
+def plain_rows(frame: pd.DataFrame) -> list[list]:
     """Rows as Python values that the state encoder accepts."""
     columns = []
     for name in frame.columns:
@@ -137,23 +144,30 @@ def ordered_stream(
     keys: Sequence[str] = (),
     tie: Sequence[str] = (),
     delay: str = "10 minutes",
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Run a step per key on a stream; rows later than ``delay`` are dropped by the watermark.
 
-    The state store must be RocksDB (:func:`use_rocksdb`). A stream without
-    keys runs in one task, as its order is global.
+    ``initial``: rows of the same columns, of a batch frame, that the keys know of
+    before the stream begins; a new query takes them in once. The state store must be
+    RocksDB (:func:`use_rocksdb`). A stream without keys runs in one task, as its
+    order is global.
     """
-    keyed = (
-        df.withWatermark(ts, delay)
-        .withColumn("_ts", F.unix_millis(ts))
-        .withColumn("_key", key_text(df, keys))
-    )
+
+    def with_key(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_ts", F.unix_millis(ts)).withColumn("_key", key_text(df, keys))
+
+    keyed = with_key(df.withWatermark(ts, delay))
     schema = T.StructType([f for f in keyed.schema.fields if f.name not in ("_key",)])
     target = output if isinstance(output, T.StructType) else T._parse_datatype_string(output)
     # some buckets within the delay, so that few rows of other times are touched with those that are due
     processor = OrderedProcessor(step, schema, ["_ts", *tie], target.names, max(1000, delay_ms(delay) // 32))
     return keyed.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=target, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=processor,
+        outputStructType=target,
+        outputMode="Append",
+        timeMode="EventTime",
+        initialState=None if initial is None else with_key(initial.select(*df.columns)).groupBy("_key"),
     )
 
 
