@@ -23,37 +23,31 @@ def in_batches(frame, size):
         yield frame.iloc[i : i + size].reset_index(drop=True)
 
 
-def entered(steps, group, entries, batch):
-    """Entries of chunks from entries of their groups, sorted as Spark sorts them."""
-    begun = pd.DataFrame({
-        "_key": entries["_key"], "_period": entries["_period"], "_group": entries["_chunk"],
-        "_chunk": segments.LONG_MIN, "upto": entries["enter"], "leave": 0,
-    })
-    both = pd.concat([steps.assign(_group=group), begun])
-    both = both.sort_values(["_key", "_period", "_group", "_chunk", "upto"])
-    return pd.concat(segments._enter_chunks(in_batches(both, batch)))
+def run_steps(frame, batch):
+    group = ["_key", "_period", "_run"]
+    frame = frame.sort_values([*group, "_chunk", "ts"], ascending=[True, True, True, False, True])
+    return pd.concat(segments._run_steps(in_batches(frame, batch)))
 
 
 def all_passes(times_by_key, period, periods, batch, run=3):
     """The task functions one after the other, sorted as Spark sorts them."""
     width = period * periods
     rows = [
-        (k, period, t // width, t, t // width * width) for k, times in times_by_key.items() for t in set(times)
+        (k, period, t // width // run, t // width, t, t // width * width) for k, times in times_by_key.items() for t in set(times)
     ]
-    frame = pd.DataFrame(rows, columns=["_key", "_period", "_chunk", "ts", "_chunk_start"])
-    group = ["_key", "_period", "_chunk"]
-    frame = frame.sort_values([*group, "ts"])
-    steps = pd.concat(segments._chunk_steps(in_batches(frame, batch)))
-    grouped = steps.assign(_group=steps["_chunk"] // run)
-    grouped = grouped.sort_values(["_key", "_period", "_group", "_chunk", "upto"], ascending=[True, True, True, False, True])
-    runs = pd.concat(segments._fold_steps(in_batches(grouped, batch)))
-    roots = runs[["_key", "_period"]].drop_duplicates().assign(_chunk=0, enter=segments.LONG_MIN)
-    entries = entered(steps, steps["_chunk"] // run, entered(runs, 0, roots, batch), batch)
-    entries = entries.rename(columns={"enter": "ts"}).assign(is_entry=True)
-    both = pd.concat([frame[[*group, "ts"]].assign(is_entry=False), entries[[*group, "ts", "is_entry"]]])
-    both = both.sort_values([*group, "is_entry", "ts"], ascending=[True, True, True, False, True])
+    frame = pd.DataFrame(rows, columns=["_key", "_period", "_run", "_chunk", "ts", "_chunk_start"])
+    runs = run_steps(frame, batch).assign(_group=0).sort_values(["_key", "_period", "_chunk", "upto"])
+    entries = pd.concat(segments._enter_runs(in_batches(runs, batch)))
+    entries = entries.rename(columns={"enter": "ts", "_chunk": "_run"}).assign(is_entry=True, _chunk=segments.LONG_MIN)
+    names = ["_key", "_period", "_run", "_chunk", "ts", "is_entry"]
+    both = pd.concat([frame.assign(is_entry=False)[names], entries[names]])
+    both = both.sort_values(["_key", "_period", "_run", "_chunk", "ts"])
     out = [f for f in segments._walk(in_batches(both, batch))]
     found = pd.concat(out) if out else pd.DataFrame(columns=["_key", "anchor_ms"])
+    for _, own in found.groupby("_key"):
+        own = own.sort_values("anchor_ms")
+        assert own["previous_ms"].isna().tolist() == [True] + [False] * (len(own) - 1)
+        assert own["previous_ms"].iloc[1:].tolist() == own["anchor_ms"].iloc[:-1].tolist()
     return {k: sorted(found.loc[found["_key"] == k, "anchor_ms"].tolist()) for k in times_by_key}
 
 
@@ -219,9 +213,8 @@ def test_dense_keys_leave_few_steps_to_the_pass_per_key():
     """A regular dense key, whose chains never meet: its steps are composed in runs of chunks."""
     period, width = 1000, 2000
     times = np.arange(0, 64 * 8 * width, 10)
-    frame = pd.DataFrame({"_key": "k", "_period": period, "_chunk": times // width, "ts": times, "_chunk_start": times // width * width})
-    steps = pd.concat(segments._chunk_steps(in_batches(frame, 5000)))
-    grouped = steps.assign(_group=steps["_chunk"] // segments.RUN).sort_values(["_group", "_chunk", "upto"], ascending=[True, False, True])
-    runs = pd.concat(segments._fold_steps(in_batches(grouped, 5000)))
-    assert len(runs) <= 8 * (period // 10 + 2) and len(steps) >= 60 * len(runs)
+    chunk = times // width
+    frame = pd.DataFrame({"_key": "k", "_period": period, "_run": chunk // segments.RUN, "_chunk": chunk, "ts": times, "_chunk_start": chunk * width})
+    runs = run_steps(frame, 5000)
+    assert len(runs) <= 64 * 8 // segments.RUN * (period // 10 + 2)
     assert all_passes({"k": times.tolist()}, period, 2, 5000, segments.RUN)["k"] == list(range(0, 64 * 8 * width, period))

@@ -6,20 +6,20 @@ previous one, so no window frame expresses it, and scanning a key from end to
 end would put a hot key into one task. Instead:
 
 1. Rows shrink to distinct (key, timestamp) pairs, combined before the shuffle.
-2. Time is cut into chunks of many periods. Per (key, chunk) one task computes
-   which last anchor results from every possible way of entering the chunk: a
-   step function, with few steps where chains that start apart soon meet.
-3. Step functions compose: those of RUN neighbouring chunks become one, no larger
-   than that of the first chunk. A pass per key over these few composed functions
-   fixes how each run is entered, and a pass per run how its chunks are.
-4. Every (key, chunk) walks its own anchors from that entry.
-
-A hot key is thereby spread over its chunks in steps 2 and 4 and over runs of
-chunks in step 3, where a task holds the steps of two chunks at a time. Chains of
-dense and regular keys never meet, so that a chunk has as many steps as a period
-has rows; the pass per key then still sees only one of RUN chunks' worth. Anchors are at least one period apart, so an epoch-aligned cell
-of one period holds at most one, and the anchor of a row lies in its own cell or
-in the one before; rows find their segment by an equi-join on (key, cell).
+2. Time is cut into chunks of many periods, and RUN chunks make a run. Per chunk a
+   step function says which last anchor results from every possible way of entering
+   it, with few steps where chains that start apart soon meet. One task per (key,
+   run) takes its chunks from the last one on and composes their functions into
+   one, no larger than that of the first chunk.
+3. A pass per key over these few composed functions fixes how each run is entered.
+4. Every (key, run) walks its own anchors from that entry, chunk by chunk.
+
+A hot key is thereby spread over its runs in steps 2 and 4, where a task holds one
+chunk at a time, and only the functions of runs meet in step 3. Chains of dense and
+regular keys never meet, so that a run has as many steps as a period has rows.
+Anchors are at least one period apart, so an epoch-aligned cell of one period holds
+at most one, and the anchor of a row lies in its own cell or in the one before; rows
+find their segment by an equi-join on (key, cell).
 
 A task needs memory for the distinct milliseconds of one chunk.
 """
@@ -64,11 +64,11 @@ def _period_column(period_ms: int | str) -> Column:
 
 
 def _chunk_ms(period: Column, periods: int | None) -> Column:
-    """Chunk length: many short periods, but two at least."""
+    """Chunk length: some short periods, but two at least."""
     if periods is not None:
         return period * F.lit(int(periods)).cast("bigint")
     many = F.floor(F.lit(4_000_000) / period).cast("bigint")
-    return period * F.greatest(F.lit(2).cast("bigint"), F.least(F.lit(512).cast("bigint"), many))
+    return period * F.greatest(F.lit(2).cast("bigint"), F.least(F.lit(64).cast("bigint"), many))
 
 
 def _floor_div(ms: Column, width: Column) -> Column:
@@ -76,8 +76,8 @@ def _floor_div(ms: Column, width: Column) -> Column:
 
 
 GROUP = ("_key", "_period", "_chunk")
-#: Chunks whose step functions are composed in one task, one after the other.
-RUN = 64
+#: Chunks that one task takes one after the other.
+RUN = 8
 
 
 class _Groups:
@@ -169,6 +169,7 @@ def _chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "_key": frame["_key"].to_numpy()[rows],
                 "_period": groups.period[rows],
                 "_chunk": frame["_chunk"].to_numpy()[rows],
+                "_group": frame["_run"].to_numpy()[rows],
                 "upto": groups.ts[rows],
                 "leave": groups.ts[exits[keep]],
             }
@@ -216,70 +217,65 @@ def _fold_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def _enter_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Where the chain of each group enters its chunks; input sorted by key, group, chunk, upto.
+def _run_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Composed step functions of runs; input sorted by key, run, chunk from last to first, time."""
+    return _fold_steps(_chunk_steps(batches))
 
-    A row of chunk LONG_MIN says from when on the chain may enter the group; a
-    group without it is not entered.
-    """
-    of, earliest = None, None
+
+def _enter_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where the chain of each key enters its runs; input sorted by key, run, upto. Nothing holds it back before the first."""
+    of, earliest = None, LONG_MIN
     out: list[tuple] = []
-    for key, period, group, chunk, upto, leave in _parts(batches):
-        if of != (key, period, group):
-            of, earliest = (key, period, group), None
-        if chunk == LONG_MIN:
-            earliest = int(upto[0])
-        elif earliest is not None:
-            at = int(np.searchsorted(upto, earliest))
-            if at < len(upto):
-                out.append((key, period, chunk, earliest))
-                earliest = int(leave[at]) + period
+    for key, period, _, run, upto, leave in _parts(batches):
+        if of != (key, period):
+            of, earliest = (key, period), LONG_MIN
+        at = int(np.searchsorted(upto, earliest))
+        if at < len(upto):
+            out.append((key, period, run, earliest))
+            earliest = int(leave[at]) + period
         if len(out) >= 10_000:
             yield pd.DataFrame(out, columns=["_key", "_period", "_chunk", "enter"])
             out = []
     yield pd.DataFrame(out, columns=["_key", "_period", "_chunk", "enter"])
 
 
-def _entered(steps: DataFrame, group: Column, entries: DataFrame) -> DataFrame:
-    """Entries of the chunks of ``steps``, from entries of their groups: _key, _period, _chunk, enter."""
-    nothing = F.lit(0).cast("bigint")
-    begun = entries.select(
-        "_key", "_period", F.col("_chunk").alias("_group"), F.lit(LONG_MIN).alias("_chunk"), F.col("enter").alias("upto"), nothing.alias("leave")
-    )
-    rows = steps.withColumn("_group", group).select("_key", "_period", "_group", "_chunk", "upto", "leave").unionByName(begun)
-    return (
-        rows.repartition("_key", "_period", "_group")
-        .sortWithinPartitions("_key", "_period", "_group", "_chunk", "upto")
-        .mapInPandas(_enter_chunks, _ENTRIES)
-    )
-
-
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors of every chunk; each group starts with its entry row, if it has one."""
-    for frame, first in _whole_groups(batches):
+    """Anchors of every run that is entered; a run begins with its entry row, then its times follow, some chunks at a time."""
+    carried, enter_next = None, None
+    for frame, _ in _whole_groups(batches):
         is_entry = frame["is_entry"].to_numpy(dtype=bool)
-        if not is_entry.any():
-            continue
+        key, period, run = frame["_key"].to_numpy(), frame["_period"].to_numpy(np.int64), frame["_run"].to_numpy(np.int64)
+        times = frame["ts"].to_numpy(np.int64)
+        new_run = np.ones(len(frame), dtype=bool)
+        new_run[1:] = (key[1:] != key[:-1]) | (period[1:] != period[:-1]) | (run[1:] != run[:-1])
         time_rows = np.flatnonzero(~is_entry)
-        # A group that is entered begins with its entry row, so the times after
-        # that row begin the group; a chunk without entry row is not walked.
+        last = (key[-1], int(period[-1]), int(run[-1]))
+        if not len(time_rows):
+            carried, enter_next = last, int(times[-1])
+            continue
         after_entry = np.append(False, is_entry[:-1])
-        groups = _Groups(
-            frame["ts"].to_numpy(np.int64)[time_rows],
-            frame["_period"].to_numpy(np.int64)[time_rows],
-            (first | after_entry)[time_rows],
-        )
+        groups = _Groups(times[time_rows], period[time_rows], (new_run | after_entry)[time_rows])
         starts = groups.starts
         entered = after_entry[time_rows[starts]]
         enter = np.full(len(starts), LONG_MIN)
-        enter[entered] = frame["ts"].to_numpy(np.int64)[time_rows[starts[entered]] - 1]
+        enter[entered] = times[time_rows[starts[entered]] - 1]
+        first = time_rows[0]
+        if carried == (key[first], int(period[first]), int(run[first])) and not entered[0]:
+            entered[0], enter[0] = True, enter_next
         # An entry before the first timestamp means that timestamp; it may lie
         # too far back to subtract.
         head_ts = groups.ts[starts]
-        offset = np.maximum(enter, head_ts) - head_ts
+        offset = np.minimum(np.maximum(enter, head_ts) - head_ts, groups.stride - 1)
         axis = np.arange(len(starts)) * groups.stride + offset
         at = np.searchsorted(groups.axis, axis)
         walked = entered & (at < groups.end[starts])
+        # A run that goes on in the next frame is entered there where the chain leaves this one.
+        carried, enter_next = None, None
+        if is_entry[-1]:
+            carried, enter_next = last, int(times[-1])
+        elif entered[-1]:
+            carried, enter_next = last, int(enter[-1])
+        goes_on = walked[-1] and not is_entry[-1]
         at = at[walked]
         # The entry is one period after the last anchor before the chunk, if there is one.
         known = enter[walked] != LONG_MIN
@@ -294,10 +290,13 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append(at)
             chained.append(np.ones(len(at), dtype=bool))
         found = np.concatenate(rows)
+        if goes_on:
+            # anchors of the last group are the last rows found in it
+            enter_next = int(groups.ts[found[found >= starts[-1]].max()]) + int(groups.period[-1])
         source = time_rows[found]
         yield pd.DataFrame(
             {
-                "_key": frame["_key"].to_numpy()[source],
+                "_key": key[source],
                 "_period": groups.period[found],
                 "anchor_ms": groups.ts[found],
                 "previous_ms": pd.arrays.IntegerArray(
@@ -315,40 +314,32 @@ def _keyed(df: DataFrame, ts: str, period_ms: int | str, keys: Sequence[str]) ->
 
 def _anchors(keyed: DataFrame, chunk_periods: int | None) -> DataFrame:
     """(_key, _period, anchor_ms, previous_ms) of a frame with _key, _period and _ts."""
-    group = ["_key", "_period", "_chunk"]
+    group = ["_key", "_period", "_run"]
     chunk = _chunk_ms(F.col("_period"), chunk_periods)
     times = (
         keyed.where(F.col("_ts").isNotNull() & F.col("_period").isNotNull())
         .select("_key", "_period", F.col("_ts").alias("ts"))
         .distinct()
         .withColumn("_chunk", _floor_div(F.col("ts"), chunk))
+        .withColumn("_run", _floor_div(F.col("_chunk"), F.lit(RUN).cast("bigint")))
     )
-    steps = (
+    runs = (
         times.withColumn("_chunk_start", F.col("_chunk") * chunk)
         .repartition(*group)
-        .sortWithinPartitions(*group, "ts")
-        .mapInPandas(_chunk_steps, _STEPS)
-    )
-    # The chain is followed over the step functions of whole runs of chunks, one
-    # task per key but few steps, and then inside each run.
-    run = _floor_div(F.col("_chunk"), F.lit(RUN).cast("bigint"))
-    runs = (
-        steps.withColumn("_group", run)
-        .repartition("_key", "_period", "_group")
-        .sortWithinPartitions("_key", "_period", "_group", F.desc("_chunk"), "upto")
-        .mapInPandas(_fold_steps, _STEPS)
+        .sortWithinPartitions(*group, F.desc("_chunk"), "ts")
+        .mapInPandas(_run_steps, _STEPS)
     )
-    whole = F.lit(0).cast("bigint")
-    roots = steps.select("_key", "_period").distinct().select("_key", "_period", whole.alias("_chunk"), F.lit(LONG_MIN).alias("enter"))
-    entries = _entered(steps, run, _entered(runs, whole, roots))
-    both = times.select(*group, "ts", F.lit(False).alias("is_entry")).unionByName(
-        entries.select(*group, F.col("enter").alias("ts"), F.lit(True).alias("is_entry"))
+    entries = (
+        runs.withColumn("_group", F.lit(0).cast("bigint"))
+        .repartition("_key", "_period")
+        .sortWithinPartitions("_key", "_period", "_chunk", "upto")
+        .mapInPandas(_enter_runs, _ENTRIES)
     )
-    return (
-        both.repartition(*group)
-        .sortWithinPartitions(*group, F.desc("is_entry"), "ts")
-        .mapInPandas(_walk, _ANCHORS)
+    begun = entries.select(
+        "_key", "_period", F.col("enter").alias("ts"), F.lit(LONG_MIN).alias("_chunk"), F.col("_chunk").alias("_run"), F.lit(True).alias("is_entry")
     )
+    both = times.withColumn("is_entry", F.lit(False)).unionByName(begun)
+    return both.repartition(*group).sortWithinPartitions(*group, "_chunk", "ts").mapInPandas(_walk, _ANCHORS)
 
 
 def greedy_segments(
