@@ -64,11 +64,11 @@ def _period_column(period_ms: int | str) -> Column:
 
 
 def _chunk_ms(period: Column, periods: int | None) -> Column:
-    """Chunk length: some short periods, but two at least."""
+    """Chunk length: many short periods, but two at least."""
     if periods is not None:
         return period * F.lit(int(periods)).cast("bigint")
     many = F.floor(F.lit(4_000_000) / period).cast("bigint")
-    return period * F.greatest(F.lit(2).cast("bigint"), F.least(F.lit(64).cast("bigint"), many))
+    return period * F.greatest(F.lit(2).cast("bigint"), F.least(F.lit(512).cast("bigint"), many))
 
 
 def _floor_div(ms: Column, width: Column) -> Column:
@@ -77,7 +77,7 @@ def _floor_div(ms: Column, width: Column) -> Column:
 
 GROUP = ("_key", "_period", "_chunk")
 #: Chunks that one task takes one after the other.
-RUN = 8
+RUN = 2
 
 
 class _Groups:
@@ -197,14 +197,30 @@ def _fold_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a chunk comes into the next one before its start, and so by its first step.
     """
     of, upto, leave = None, None, None
+    done: list[tuple] = []
+    held = 0
 
     def frame() -> pd.DataFrame:
-        return pd.DataFrame({"_key": of[0], "_period": of[1], "_chunk": of[2], "upto": upto, "leave": leave})
+        sizes = [len(u) for _, u, _ in done]
+        names = [np.repeat(np.array([k[i] for k, _, _ in done], dtype=kind), sizes) for i, kind in enumerate((object, np.int64, np.int64))]
+        return pd.DataFrame(
+            {
+                "_key": names[0],
+                "_period": names[1],
+                "_chunk": names[2],
+                "upto": np.concatenate([u for _, u, _ in done]),
+                "leave": np.concatenate([x for _, _, x in done]),
+            }
+        )
 
     for key, period, group, _, own_upto, own_leave in _parts(batches):
         if of != (key, period, group):
             if of is not None:
+                done.append((of, upto, leave))
+                held += len(upto)
+            if held >= 10_000:
                 yield frame()
+                done, held = [], 0
             of, upto, leave = (key, period, group), own_upto, own_leave
             continue
         onward = np.searchsorted(upto, own_leave + period)
@@ -214,19 +230,62 @@ def _fold_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = np.append(leave[1:] != leave[:-1], True)
         upto, leave = upto[keep], leave[keep]
     if of is not None:
+        done.append((of, upto, leave))
         yield frame()
 
 
+def _lone(frame: pd.DataFrame, outer: str) -> np.ndarray:
+    """Marks the rows of those (key, period, ``outer``) that have one chunk and neither begin nor end the frame."""
+    key, period = frame["_key"].to_numpy(), frame["_period"].to_numpy(np.int64)
+    group, chunk = frame[outer].to_numpy(np.int64), frame["_chunk"].to_numpy(np.int64)
+    new = np.ones(len(frame), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (period[1:] != period[:-1]) | (group[1:] != group[:-1])
+    of = np.cumsum(new) - 1
+    several = np.zeros(of[-1] + 1, dtype=bool)
+    several[of[1:][~new[1:] & (chunk[1:] != chunk[:-1])]] = True
+    several[[0, -1]] = True
+    return ~several[of]
+
+
 def _run_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Composed step functions of runs; input sorted by key, run, chunk from last to first, time."""
-    return _fold_steps(_chunk_steps(batches))
+    alone: list[pd.DataFrame] = []
+
+    def others() -> Iterator[pd.DataFrame]:
+        for frame in _chunk_steps(batches):
+            lone = _lone(frame, "_group")
+            if lone.any():
+                alone.append(frame.loc[lone, ["_key", "_period", "_group", "upto", "leave"]].rename(columns={"_group": "_chunk"}))
+                frame = frame[~lone]
+            if len(frame):
+                yield frame
+
+    for folded in _fold_steps(others()):
+        yield folded
+        yield from alone
+        alone.clear()
+    yield from alone
 
 
 def _enter_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Where the chain of each key enters its runs; input sorted by key, run, upto. Nothing holds it back before the first."""
+    names = ["_key", "_period", "_chunk", "enter"]
+    ready: list[pd.DataFrame] = []
+
+    def others() -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if not len(frame):
+                continue
+            lone = _lone(frame, "_group")  # keys of one run
+            if lone.any():
+                ready.append(frame.loc[lone, names[:3]].drop_duplicates().assign(enter=LONG_MIN))
+                frame = frame[~lone]
+            if len(frame):
+                yield frame
+
     of, earliest = None, LONG_MIN
     out: list[tuple] = []
-    for key, period, _, run, upto, leave in _parts(batches):
+    for key, period, _, run, upto, leave in _parts(others()):
         if of != (key, period):
             of, earliest = (key, period), LONG_MIN
         at = int(np.searchsorted(upto, earliest))
@@ -234,9 +293,12 @@ def _enter_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append((key, period, run, earliest))
             earliest = int(leave[at]) + period
         if len(out) >= 10_000:
-            yield pd.DataFrame(out, columns=["_key", "_period", "_chunk", "enter"])
+            ready.append(pd.DataFrame(out, columns=names))
             out = []
-    yield pd.DataFrame(out, columns=["_key", "_period", "_chunk", "enter"])
+        yield from ready
+        ready.clear()
+    yield from ready
+    yield pd.DataFrame(out, columns=names)
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
