@@ -615,10 +615,7 @@ def _(spark, d):
 LIMIT_MS = 3_600_000
 
 
-@query(
-    "jn9_enforce_requests",
-    with_ctes(
-        f"""with chains as (select topic, area, threshold_min, threshold_max, obsrate_max, age_max,
+ENFORCED = f"""with chains as (select topic, area, threshold_min, threshold_max, obsrate_max, age_max,
             min(request_id) as chain_id from req group by 1, 2, 3, 4, 5, 6),
           routed as (select o.*, chain_id, obsrate_max, age_max from obs o join sens s on o.producer = s.sensor_id
             join chains c on (c.topic = 'ALL' or (c.topic = o.topic and o.topic = s.topic))
@@ -632,7 +629,13 @@ LIMIT_MS = 3_600_000
             from (select * from routed where obsrate_max is not null) r asof join
               (select * from anchors where a is not null) x on r.chain_id = x.chain_id and r.date_ms >= x.a),
           passed as (select chain_id, obs_id, producer, date_ms, value, age_max from ranked where nr <= 2
-            union all select chain_id, obs_id, producer, date_ms, value, age_max from routed where obsrate_max is null)
+            union all select chain_id, obs_id, producer, date_ms, value, age_max from routed where obsrate_max is null)"""
+
+
+@query(
+    "jn9_enforce_requests",
+    with_ctes(
+        f"""{ENFORCED}
         select chain_id, obs_id, producer, date_ms, value, {FIXED_ACCURACY} as obs_accuracy,
           cast({AS_OF} - date_ms as double) as obs_freshness from passed left join bounds using (producer)
         where age_max = 'unset' or {AS_OF} - date_ms < 259200000""",
@@ -661,38 +664,58 @@ def _(spark, d):
     return chain.chain_members(fx.requests(spark, d))
 
 
-DELIVERED = f"""with asked as (select *, min(request_id) over (partition by topic, area, threshold_min, threshold_max,
-    obsrate_max, age_max) as chain_id from req where obsrate_max is null),
-  routed as (select o.*, r.request_id, r.application_id, r.obs_level, r.sla_level = 'GUARANTEED' as g, true as known
-    from obs o join sens s on o.producer = s.sensor_id join asked r on (r.topic = 'ALL' or (r.topic = o.topic and o.topic = s.topic))
-      and (r.area = 'ALL' or r.area = s.area)
-    where o.value >= coalesce(threshold_min, '-infinity'::double) and o.value <= coalesce(threshold_max, 'infinity'::double)
-      and (age_max = 'unset' or {AS_OF} - date_ms < 259200000))
+SENSOR_NUMBER = "cast(substr(producer, 7) as bigint)"
+DELIVERED = f"""{ENFORCED}, delivered as (
+    select chain_id, obs_id, producer, date_ms, value, cast({FIXED_ACCURACY} as double) as accuracy, latitude
+    from passed left join bounds using (producer) join sens on producer = sensor_id
+    where age_max = 'unset' or {AS_OF} - date_ms < 259200000),
+  members as (select *, min(request_id) over (partition by topic, area, threshold_min, threshold_max, obsrate_max,
+    age_max) as own_chain, sla_level = 'GUARANTEED' as g, obs_level <> 'KNOWLEDGE' as plain from req)
   select request_id, concat(application_id, '_', request_id) as delivery_topic, obs_level, count(*) as n,
-    count(*) filter (g) as scored, count(*) filter (obs_level = 'INFORMATION') as with_context,
-    count(*) filter (obs_level = 'KNOWLEDGE') as with_nodes,
-    cast(sum(case when obs_level <> 'KNOWLEDGE' then date_ms end) as bigint) as date_sum
-  from routed group by request_id, application_id, obs_level"""
+    cast(sum(date_ms) as bigint) as produced_sum, cast(sum(floor(value * 1000)) as bigint) as value_sum,
+    cast(sum({SENSOR_NUMBER}) as bigint) as producer_sum, count(*) filter (g) as scored,
+    cast(sum(case when g and plain then floor(accuracy * 1000) end) as bigint) as accuracy_sum,
+    cast(sum(case when g and plain then {AS_OF} - date_ms end) as bigint) as freshness_sum,
+    cast(sum(case when obs_level = 'INFORMATION' then cast(latitude as bigint) end) as bigint) as latitude_sum,
+    count(*) filter (obs_level = 'KNOWLEDGE') as with_nodes
+  from delivered join members on own_chain = chain_id group by request_id, application_id, obs_level"""
 
 
-@query("jn9_deliver_requests", with_ctes(DELIVERED, "obs", "sens", "req"))
+@query("jn9_deliver_requests", with_ctes(DELIVERED, "obs", "sens", "req", "bounds", recursive=True))
 def _(spark, d):
-    """What each request without a rate limit receives at its own level, from the texts delivered to it."""
+    """What each request receives at its own level, from the fields of the texts delivered to it."""
     obs, sensors = fx.observations(spark, d), fx.sensors(spark, d)
     wishes = fx.request_states(spark, d).select("request_id", "interested_in")
-    req = fx.requests(spark, d).where("obsrate_max is null").join(wishes, "request_id")
+    req = fx.requests(spark, d).join(wishes, "request_id")
     chains = chain.enforce_requests(obs, req, sensors, fx.capabilities(spark, d), fx.AS_OF_MS)
     sent = chain.deliver_requests(chains, req, sensors, fx.AS_OF_MS)
+    nodes = F.col("obs_level") == "KNOWLEDGE"
 
     def having(text: str):
         return F.count(F.when(F.contains("message", F.lit(text)), 1))
 
+    def field(path: str, in_nodes: str | None = None):
+        plain = F.when(~nodes, F.get_json_object("message", path))
+        if in_nodes is None:
+            return plain
+        behind = F.substring_index("message", f'"{in_nodes}":"', -1)
+        return F.when(nodes, F.substring_index(behind, '"', 1)).otherwise(plain)
+
+    def thousandths(number):
+        return F.sum(F.floor(number.try_cast("double") * 1000)).cast("bigint")
+
+    trail = field("$.timestamps", "obsTimestampsValue")
+    producer = F.substring_index(field("$.producer", "observedBy"), "sensor", -1)
     return sent.groupBy("request_id", "delivery_topic", "obs_level").agg(
         F.count(F.lit(1)).alias("n"),
+        F.sum(F.substring_index(F.substring_index(trail, ";", 1), ":", -1).try_cast("bigint")).alias("produced_sum"),
+        thousandths(field("$.value", "obsStrValue")).alias("value_sum"),
+        F.sum(producer.try_cast("bigint")).alias("producer_sum"),
         having("OBS_ACCURACY").alias("scored"),
-        having('"sensorContext"').alias("with_context"),
+        thousandths(field("$.qoOAttributeValues.OBS_ACCURACY")).alias("accuracy_sum"),
+        F.sum(field("$.qoOAttributeValues.OBS_FRESHNESS").try_cast("double")).cast("bigint").alias("freshness_sum"),
+        F.sum(field("$.sensorContext.latitude").try_cast("bigint")).alias("latitude_sum"),
         having('"@id"').alias("with_nodes"),
-        F.sum(F.regexp_extract("message", '^\\{"date":(\\d+),', 1).try_cast("bigint")).alias("date_sum"),
     )
 
 
