@@ -50,7 +50,7 @@ SIMILARITY = 0.93
 #: Rotated codes, blocks of coordinates, words of a block at least and at most, share of pairs at the least cosine that may be missed.
 CODES, BLOCKS, WORDS, MOST_WORDS, MISSED = 8, 2, 256, 1024, 0.002
 #: Filters of one code that a vector may pass on the mean, unlike vectors of a filter from which words are added.
-MOST_FILTERS, CROWD = 32, 0.5
+MOST_FILTERS, CROWD = 32, 0.1
 #: Members of a filter that one block compares, rows of a group of meetings.
 BLOCK, GROUP = 2048, 4096
 #: Cosines within this of a bound are not decided by it.
