@@ -218,3 +218,31 @@ def test_dense_keys_leave_few_steps_to_the_pass_per_key():
     runs = run_steps(frame, 5000)
     assert len(runs) <= 64 * 8 // segments.RUN * (period // 10 + 2)
     assert all_passes({"k": times.tolist()}, period, 2, 5000, segments.RUN)["k"] == list(range(0, 64 * 8 * width, period))
+
+
+@pytest.mark.parametrize("anchor", ["first", "epoch"])
+@pytest.mark.parametrize("n", [1, 3, 7, 40, 5000])
+def test_limits_by_counts_keep_the_rows_of_ranks(spark, anchor, n):
+    rng = random.Random(n)
+    hot = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([0, 5, 5, rng.randrange(3000)]), i) for i in range(600)]
+    df = spark.createDataFrame(hot, "k string, t bigint, id bigint")
+    options = {"ts": "t", "keys": ["k"], "tie": ["id"], "anchor": anchor}
+    kept = [rates.rate_limit(df, n, 100, by_counts=way, **options) for way in (True, False)]
+    assert sorted(r.id for r in kept[0].collect()) == sorted(r.id for r in kept[1].collect())
+    own = df.withColumn("most", F.when(F.col("id") % 2 == 0, n).otherwise(2))
+    cut = segments.greedy_segments(own, "t", 100, ["k"]) if anchor == "first" else own.withColumn("segment_ms", F.col("t") - F.pmod("t", F.lit(100)))
+    groups = {}
+    for r in cut.collect():
+        groups.setdefault((r.k, r.segment_ms), []).append(r)
+    plain = [r.id for rows in groups.values() for i, r in enumerate(sorted(rows, key=lambda r: (r.t, r.id))) if i < r.most]
+    by_row = rates.rate_limit(own, F.col("most"), 100, by_counts=True, **options)
+    assert sorted(r.id for r in by_row.collect()) == sorted(plain)
+
+
+def test_limits_beyond_few_rank_single_milliseconds_only(spark):
+    rows = spark.range(60_000).select(F.col("id"), (F.col("id") % 977).alias("t"))
+    kept = rates.rate_limit(rows, 50_000, 1_000_000, ts="t", tie=["id"], anchor="epoch")
+    want = sorted((t, i) for i, t in ((i, i % 977) for i in range(60_000)))[:50_000]
+    assert sorted((r["t"], r["id"]) for r in kept.collect()) == want
+    ranks = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line]
+    assert len(ranks) == 1 and "_ms#" in ranks[0]

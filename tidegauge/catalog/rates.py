@@ -235,6 +235,25 @@ def _(spark, d):
     return flat(kept.select("obs_id", "producer", "date"))
 
 
+@query(
+    "st1_rate_limit_many",
+    with_ctes(
+        f"""with {_cut(DAY, 'topic')}, ranked as (select *, row_number() over (partition by topic, segment_ms
+          order by date_ms, obs_id) as nr from cut)
+        select obs_id, topic, producer, date_ms from ranked where nr <= 4000
+        union all select obs_id, 'few of ' || topic, producer, date_ms from ranked where nr <= 5""",
+        "obs", recursive=True,
+    ),
+)
+def _(spark, d):
+    """Limits as large as a window, and one that cuts through it, by counts instead of ranks."""
+    obs = _obs(spark, d)
+    many = rates.rate_limit(obs, 4000, DAY, keys=["topic"], by_counts=True)
+    some = rates.rate_limit(obs, 5, DAY, keys=["topic"], by_counts=True)
+    some = some.withColumn("topic", F.concat(F.lit("few of "), "topic"))
+    return flat(many.unionByName(some).select("obs_id", "topic", "producer", "date"))
+
+
 @query(
     "st2_sample_reports",
     with_ctes(
@@ -389,6 +408,25 @@ def _(spark, d):
     return monitor.reports_to_requests(reports, _demands(spark, d))
 
 
+@query(
+    "jn8_reports_of_seconds",
+    with_ctes(
+        f"""with {DEMANDS}, reported as (select stage_id, date_ms // 1000 * 1000 as report_ms, count(*) as n
+          from staged where date_ms >= {START} group by 1, 2)
+        select request_id, count(*) as reports, cast(sum(n) as bigint) as n, cast(sum(report_ms) as bigint) as report_sum
+        from need join reported using (stage_id) group by 1""",
+        "obs", "req",
+    ),
+)
+def _(spark, d):
+    """One-second reports of a stage's producers, each routed to all requests that read the stage, summed by request."""
+    reports = _reports(spark, d, 1000).where(F.col("report_ms") >= START)
+    routed = monitor.reports_to_requests(reports, _demands(spark, d))
+    return routed.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("reports"), F.sum("n").alias("n"), F.sum("report_ms").alias("report_sum")
+    )
+
+
 @query(
     "jn8_minimum_rates",
     with_ctes(
@@ -443,6 +481,49 @@ def _(spark, d):
     return _symptoms(spark, d, consecutive=True)
 
 
+HOURLY = f"""{DEMANDS}, hourly as (select stage_id, (date_ms - {START}) // {HOUR} as h, count(*) as n from staged
+      where date_ms >= {START} and date_ms < {AS_OF} group by 1, 2)"""
+
+
+@query(
+    "st11_count_by_hour",
+    with_ctes(
+        f"""with {HOURLY} select request_id, count(*) as windows, cast(sum(n) as bigint) as n,
+          cast(sum(h * n) as bigint) as weighted from need join hourly using (stage_id) group by 1""",
+        "obs", "req",
+    ),
+)
+def _(spark, d):
+    """Hourly counts of every request, from one-second reports, summed by request."""
+    demands = _demands(spark, d)
+    counts = monitor.windows_of_requests(_reports(spark, d, 1000), demands, demands, HOUR)
+    weighted = F.sum(F.col("window") * F.col("n")).alias("weighted")
+    return counts.groupBy("request_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("n"), weighted)
+
+
+@query(
+    "st7_violations_by_hour",
+    with_ctes(
+        f"""with {HOURLY}, grid as (select request_id, h, coalesce(n, 0) < per_s * {HOUR} / 1000.0::double as short
+            from need cross join range(0, ({AS_OF} - {START}) // {HOUR}) as r(h) left join hourly using (stage_id, h)),
+          runs as (select *, sum(cast(short as int)) over (partition by request_id order by h) as s from grid)
+        select request_id, count(*) as symptoms, cast(sum(h) as bigint) as window_sum,
+          min({START} + (h + 1) * {HOUR}) as first_ms, max({START} + (h + 1) * {HOUR}) as last_ms
+        from runs where short and s % 2 = 0 group by 1""",
+        "obs", "req",
+    ),
+)
+def _(spark, d):
+    """Symptoms of hourly windows, summed by request."""
+    demands = _demands(spark, d)
+    counts = monitor.windows_of_requests(_reports(spark, d, 1000), demands, demands, HOUR)
+    symptoms = monitor.window_violations(counts, demands, step_ms=HOUR)
+    return symptoms.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("symptoms"), F.sum("window").alias("window_sum"),
+        F.min("symptom_ms").alias("first_ms"), F.max("symptom_ms").alias("last_ms"),
+    )
+
+
 def _buffered(spark, d):
     staged = _symptoms(spark, d).join(_demands(spark, d).select("request_id", "stage_id"), "request_id")
     return monitor.symptom_buffer(staged, symptoms_before_action=3, lifetime_ms=LIFE)

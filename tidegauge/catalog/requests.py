@@ -738,13 +738,16 @@ def _run(spark, d, request, **options):
     ),
 )
 def _(spark, d):
-    """A limit on messages that have no id of their own; windows from the epoch, ties by content."""
-    decoded = observations.decode_observation(fx.messages(spark, d))
-    known = fx.sensors(spark, d).select(F.col("sensor_id").alias("producer"))
-    kept = rates.rate_limit(
-        decoded.join(known, "producer", "left_semi"), 2, 3_600_000, tie=["producer", "value"], anchor="epoch"
+    """A request with a limit of its own, put in as a custom stage: windows from the epoch, ties by content."""
+    registry = stages.StageRegistry()
+    registry.register(
+        "hourly",
+        lambda df, params: rates.rate_limit(df, int(params["most"]), 3_600_000, tie=["producer", "value"], anchor="epoch"),
+        params=(stages.StageParam("most", "Integer", "1"),),
     )
-    return kept.select("producer", F.unix_millis("date").alias("date_ms"), "value")
+    request = {"topic": "ALL", "location": "ALL", "obs_level": "RAW_DATA", "custom_params": {"most": "2"}}
+    rows = _run(spark, d, request, registry=registry, custom=[registry.use("hourly")])
+    return rows.select("producer", F.unix_millis("date").alias("date_ms"), "value")
 
 
 @query(

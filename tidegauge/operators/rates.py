@@ -12,11 +12,17 @@ from pyspark.sql import types as T
 
 from tidegauge.functions.clock import epoch_ms, floor_to
 from tidegauge.operators.ordering import with_next
-from tidegauge.operators.segments import greedy_segments
+from tidegauge.operators.segments import greedy_segments, key_text
 
 
 PARTS = 32
 
+#: Up to this number the first rows of all parts of a window are ranked together.
+FEW = 10_000
+
+#: Time cells that a window's rows are counted in.
+CELLS = 1024
+
 
 def tie_order(df: DataFrame, tie: Sequence[str] | None) -> list[Column]:
     """Columns that order rows of equal time: those named, else ``obs_id``, else a hash of the row."""
@@ -42,6 +48,44 @@ def steps(df: DataFrame, first: Column, count: Column, name: str, coarse: int =
     return blocked.withColumn("_step", F.explode(inside)).withColumn(name, F.col("_from") + F.col("_step")).drop("_from", "_count", "_block", "_step")
 
 
+def _first_by_parts(cut: DataFrame, n: int | Column, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first ``n`` rows of each window: ranked within PARTS parts, then the first ``n`` of each part together."""
+    parted = cut.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+    for group in ([*keys, "segment_ms", "_part"], [*keys, "segment_ms"]):
+        ranked = parted.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        parted = ranked.where(F.col("_rank") <= n)
+    return parted
+
+
+def _first_by_counts(
+    cut: DataFrame, n: int | Column, period_ms: int | str, ts: str, keys: Sequence[str], order: Sequence[Column]
+) -> DataFrame:
+    """The first ``n`` rows of each window: a running count over its milliseconds says which of them pass.
+
+    Rows are counted by window and millisecond, these counts are summed within
+    time cells and over the cells before, and only rows of one millisecond are ranked.
+    """
+    period = F.col(period_ms) if isinstance(period_ms, str) else F.lit(period_ms)
+    group = ["_window", "segment_ms"]
+    timed = cut.withColumns({"_window": key_text(cut, keys), "_ms": epoch_ms(cut, ts)})
+    counts = (
+        timed.withColumn("_cell", F.floor((F.col("_ms") - F.col("segment_ms")) * CELLS / period))
+        .groupBy(*group, "_cell", "_ms")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    earlier = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.groupBy(*group, "_cell").agg(F.sum("_rows").alias("_rows"))
+    cells = cells.select(*group, "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_of_cells"))
+    inside = Window.partitionBy(*group, "_cell").orderBy("_ms").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_inside", F.coalesce(F.sum("_rows").over(inside), F.lit(0))).join(cells, [*group, "_cell"])
+    before = before.select(*group, "_ms", (F.col("_of_cells") + F.col("_inside")).alias("_before"))
+    if isinstance(n, int):
+        before = before.where(F.col("_before") < n)
+    reached = timed.join(before, [*group, "_ms"])
+    rank = F.row_number().over(Window.partitionBy(*group, "_ms").orderBy(*order))
+    return reached.withColumn("_rank", rank).where(F.col("_before") + F.col("_rank") <= n)
+
+
 def rate_limit(
     df: DataFrame,
     n: int | Column,
@@ -51,16 +95,23 @@ def rate_limit(
     keys: Sequence[str] = (),
     tie: Sequence[str] | None = None,
     anchor: str = "first",
+    by_counts: bool | None = None,
 ) -> DataFrame:
     """Let the first ``n`` rows of every window pass and drop the rest.
 
     ``anchor="first"``: a window opens at the first row after the previous one
     has ended. ``anchor="epoch"``: windows are aligned to the epoch. Without
-    keys the limit is global. ``n`` is a number or a column. Rows are first
-    ranked within PARTS parts of a window, and only the first ``n`` of each part
-    are ranked together, so that no task sorts a whole window whatever ``n`` is.
-    Rows of one time follow each other by ``tie``, by default ``obs_id`` or,
-    where there is none, a hash of the whole row.
+    keys the limit is global. ``n`` is a number or a column, which by
+    parts has one value in a window. Rows of one time follow
+    each other by ``tie``, by default ``obs_id`` or, where there is none, a hash
+    of the whole row.
+
+    The same rows are found in one of two ways. Where ``n`` is small, rows are
+    ranked within PARTS parts of a window and the first ``n`` of each part
+    together, so that a task sorts PARTS times ``n`` rows at most. With
+    ``by_counts`` a window's rows are counted by time instead, and a task sorts
+    rows of one millisecond at most, whatever ``n`` is; the input is read twice.
+    Unless said, numbers above FEW are done by counts, columns by parts.
     """
     if isinstance(n, int) and n <= 0:
         return df.where(F.lit(False))
@@ -71,11 +122,11 @@ def rate_limit(
     else:
         raise ValueError(f"unsupported anchor {anchor!r} for period {period_ms!r}")
     order = [F.col(ts), *tie_order(df, tie)]
-    parted = cut.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
-    for group in ([*keys, "segment_ms", "_part"], [*keys, "segment_ms"]):
-        ranked = parted.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-        parted = ranked.where(F.col("_rank") <= n)
-    return parted.select(*df.columns)
+    if by_counts is None:
+        by_counts = isinstance(n, int) and n > FEW
+    if by_counts:
+        return _first_by_counts(cut, n, period_ms, ts, keys, order).select(*df.columns)
+    return _first_by_parts(cut, n, keys, order).select(*df.columns)
 
 
 def sample_reports(
