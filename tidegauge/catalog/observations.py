@@ -15,6 +15,7 @@ from tidegauge.sources import fixtures as fx
 from tidegauge.sources import observations as src
 from tidegauge.sources import sinks
 from tidegauge.sources.vocabulary import iri
+from tidegauge.streaming import topics
 
 WISHES = ["OBS_ACCURACY", "OBS_FRESHNESS"]
 RAW = ["obs_id", "topic", "producer", "date", "value", "timestamps"]
@@ -44,6 +45,27 @@ def _(spark, d):
     return frame.select("event_id", "event_type", "user_id", "value")
 
 
+@query(
+    "src1_topic_offsets",
+    with_ctes(
+        """select 'all' as part, topic, producer, date_ms, value from obs
+        union all select 'later', topic, producer, date_ms, value from obs where obs_id % 2 = 1""",
+        "obs",
+    ),
+)
+def _(spark, d):
+    """All messages, appended to a topic log in two batches and read back; then from where the first batch ended."""
+    path = f"{scratch(spark)}/topics-{uuid.uuid4().hex}"
+    sent = fx.messages(spark, d)
+    topics.append_messages(sent.where(F.col("obs_id") % 2 == 0), path, "even")
+    ended = topics.topic_ends(spark, path)
+    topics.append_messages(sent.where(F.col("obs_id") % 2 == 1), path, "odd")
+    parts = {"all": "earliest", "later": ended}
+    read = [src.read_observations(spark, path, fmt="topics", starting=at).withColumn("part", F.lit(p)) for p, at in parts.items()]
+    decoded = src.decode_observation(read[0].unionByName(read[1]))
+    return flat(decoded.select("part", "topic", "producer", "date", "value"))
+
+
 @query("src2_union_topics", with_ctes(f"select {RAW_SQL} from obs", "obs"))
 def _(spark, d):
     obs = fx.observations(spark, d).select(*RAW)

@@ -28,7 +28,13 @@ def read_observations(
     Files carry the topic as a column (a directory partitioned by it prunes);
     the filter reaches the scan. All partitions of a topic are read. Kafka
     needs the connector on the class path and takes its options as given.
+    ``fmt="topics"`` reads numbered messages of a shared folder, see
+    :func:`tidegauge.streaming.topics.read_topics`, which takes the options.
     """
+    if fmt == "topics":
+        from tidegauge.streaming.topics import read_topics
+
+        return read_topics(spark, path, topics, streaming=streaming, **options)
     reader = (spark.readStream if streaming else spark.read).options(**options)
     if fmt == "kafka":
         if topics:
