@@ -1,5 +1,6 @@
 """Every operator on awkward rows and on empty tables."""
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -145,3 +146,18 @@ def test_pages(spark):
     assert text[None] == "" and text[7] == "" and text[8] == "no tags at all < 3" and text[9] == "deep"
     assert all(r.n_chars == len(r.text) for r in found)
     assert wrappers.main_text(cases.empty(spark, "page_id long, url string, html string")).count() == 0
+
+
+def test_a_sample_has_one_row_of_each_id(spark):
+    from tidegauge.llm.labelled import fit_sample
+
+    often = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 977).alias("text"))
+    rows = [(2, None), (2, "b"), (2, "b"), (3, None), (4, "d"), (None, "e")]
+    docs = often.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)] + [(1, 0), (2, None)], "doc_id long, toxic int")
+    held = {i for i in range(1, 5) if zlib.crc32(str(i).encode()) % 5 == 0}
+    sample = {r.doc_id: (r.text, r.label) for r in fit_sample(docs, labels, "toxic", 10).collect()}
+    smallest = min((f"text {i}" for i in range(977)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = {1: (smallest, 1), 2: ("b", 0), 3: (None, 1), 4: ("d", 0)}
+    assert sample == {i: v for i, v in want.items() if i not in held} and len(sample) > 1
+    assert fit_sample(docs, labels, "toxic", 10).count() == len(sample)
