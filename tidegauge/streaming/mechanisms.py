@@ -60,7 +60,8 @@ def stream_sample_reports(df: DataFrame, period_ms: int = 1000, **options) -> Da
 
 def _report_step(period_ms: int, keys: Sequence[str], producer: str):
     def step(memory, rows, known):
-        last, counts = (memory["last"], memory["counts"]) if memory else (None, {})
+        # pairs, since a JSON object would turn producers that are numbers into texts
+        last, counts = (memory["last"], dict(memory["counts"])) if memory else (None, {})
         out = []
         names = rows[producer].tolist()
         for i, (at, name) in enumerate(zip(rows["_ts"].tolist(), names)):
@@ -70,7 +71,7 @@ def _report_step(period_ms: int, keys: Sequence[str], producer: str):
                 out += [(*group, at, p, c) for p, c in counts.items()]
                 last, counts = at, {}
         frame = pd.DataFrame(out, columns=[*keys, "report_ms", producer, "n"])
-        return {"last": last, "counts": counts}, frame, None
+        return {"last": last, "counts": list(counts.items())}, frame, None
 
     return step
 
@@ -83,9 +84,10 @@ def stream_rate_reports(
     keys: Sequence[str] = (),
     producer: str = "producer",
     tie: Sequence[str] = ("obs_id",),
-    delay: str = "10 minutes",
+    delay: str | None = "10 minutes",
+    event_time: str | None = None,
 ) -> DataFrame:
-    """Streaming form of ``rate_reports``."""
+    """Streaming form of ``rate_reports``; ``event_time`` adds a column of that name for a step that follows."""
     fields = [df.schema[k] for k in keys]
     output = T.StructType(
         [
@@ -96,7 +98,8 @@ def stream_rate_reports(
         ]
     )
     step = _report_step(period_ms, list(keys), producer)
-    return ordered_stream(df, step, output, ts=ts, keys=keys, tie=tie, delay=delay)
+    following = (event_time, "report_ms") if event_time else None
+    return ordered_stream(df, step, output, ts=ts, keys=keys, tie=tie, delay=delay, event_time=following)
 
 
 def _repeat_step(window_ms: int, columns: Sequence[str], times: Sequence[str]):
@@ -197,8 +200,10 @@ def stream_min_rate_violations(
     step_ms: int = 10_000,
     events_before_symptom: int = 2,
     consecutive: bool = False,
-    delay: str = "10 seconds",
+    delay: str | None = "10 seconds",
     demands: DataFrame | None = None,
+    at: str | None = None,
+    event_time: str | None = None,
 ) -> DataFrame:
     """Streaming form of ``min_rate_violations``.
 
@@ -207,7 +212,8 @@ def stream_min_rate_violations(
     known when the query begins, of a batch frame. Their windows open at their start
     and are closed by timers, so that a request without any report raises symptoms
     as time passes on the stream. Requests that come later open theirs with a row of
-    n = 0 at their start.
+    n = 0 at their start. ``at`` and ``event_time`` are for steps before and after, as
+    in :func:`ordered_stream`.
     """
     output = "request_id string, window long, symptom_ms long"
     step = _violation_step(step_ms, events_before_symptom, consecutive)
@@ -215,13 +221,16 @@ def stream_min_rate_violations(
     if demands is not None:
         known = {"request_id", "min_per_s", "start_ms", "until_ms"}
         opening = {ts: F.timestamp_millis("start_ms"), "n": F.lit(0).cast(counts.schema["n"].dataType)}
+        if at is not None:
+            opening[at] = F.col("start_ms")
         initial = demands.where(F.col("min_per_s") > 0).select(
             *[
                 opening.get(f.name, F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType)).cast(f.dataType).alias(f.name)
                 for f in counts.schema.fields
             ]
         )
-    return ordered_stream(counts, step, output, ts=ts, keys=["request_id"], delay=delay, initial=initial)
+    following = (event_time, "symptom_ms") if event_time else None
+    return ordered_stream(counts, step, output, ts=ts, keys=["request_id"], delay=delay, initial=initial, at=at, event_time=following)
 
 
 def stream_windows_of_requests(
@@ -361,12 +370,15 @@ def stream_symptom_buffer(
     tie: Sequence[str] = ("request_id",),
     symptoms_before_action: int = 2,
     lifetime_ms: int = 30_000,
-    delay: str = "10 seconds",
+    delay: str | None = "10 seconds",
+    at: str | None = None,
+    event_time: str | None = None,
 ) -> DataFrame:
-    """Streaming form of ``symptom_buffer``."""
-    output = T.StructType([*symptoms.schema.fields, T.StructField("act", T.BooleanType())])
+    """Streaming form of ``symptom_buffer``; ``at`` and ``event_time`` as in :func:`ordered_stream`."""
+    output = T.StructType([*(f for f in symptoms.schema.fields if at is None or f.name != ts), T.StructField("act", T.BooleanType())])
     step = _buffer_step(symptoms_before_action, lifetime_ms)
-    return ordered_stream(symptoms, step, output, ts=ts, keys=keys, tie=tie, delay=delay)
+    following = (event_time, at) if event_time else None
+    return ordered_stream(symptoms, step, output, ts=ts, keys=keys, tie=tie, delay=delay, at=at, event_time=following)
 
 
 REMEDY = ("remedy", "param", "type", "initial", "param_variation")
@@ -427,7 +439,8 @@ def stream_heal_decisions(
     observe_ms: int = 60_000,
     max_retries: int = 5,
     lifetime_ms: int = 30_000,
-    delay: str = "10 seconds",
+    delay: str | None = "10 seconds",
+    at: str | None = None,
 ) -> DataFrame:
     """Streaming form of ``heal_decisions``; rows carry request_id, act, sla_level and an event time.
 
@@ -435,7 +448,7 @@ def stream_heal_decisions(
     stream of changes (request_id, the remedy's columns, an event time of the same
     name), of which the last before a symptom counts for it, or none if that is null.
     """
-    own = symptoms.select("request_id", ts, "act", "sla_level")
+    own = symptoms.select("request_id", ts, *([at] if at else []), "act", "sla_level")
     text = [F.lit(None).cast("string").alias(f) for f in REMEDY]
     if not isinstance(remedy, DataFrame):
         given = [F.lit(None if remedy is None else remedy[f]).cast("string").alias(f) for f in REMEDY]
@@ -453,7 +466,7 @@ def stream_heal_decisions(
         rows = joined.select(*own.columns, "_remedy.*", F.lit(1).alias("_symptom"), F.lit(True).alias("_carried"))
     step = _heal_step(observe_ms, max_retries, lifetime_ms)
     # of one instant a change comes first, and the last by name of several
-    return ordered_stream(rows, step, HEAL_OUTPUT, ts=ts, keys=["request_id"], tie=["_symptom", "remedy"], delay=delay)
+    return ordered_stream(rows, step, HEAL_OUTPUT, ts=ts, keys=["request_id"], tie=["_symptom", "remedy"], delay=delay, at=at)
 
 
 RATE_LIMIT = Mechanism("rate_limit", rate_limit, stream_rate_limit)

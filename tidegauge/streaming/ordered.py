@@ -34,8 +34,17 @@ class OrderedProcessor(StatefulProcessor):
     buckets that the watermark has reached, whatever else the key holds.
     """
 
-    def __init__(self, step: Step, schema: T.StructType, order: Sequence[str], output: Sequence[str], bucket_ms: int = 60_000):
+    def __init__(
+        self,
+        step: Step,
+        schema: T.StructType,
+        order: Sequence[str],
+        output: Sequence[str],
+        bucket_ms: int = 60_000,
+        event_time: tuple[str, str] | None = None,
+    ):
         self.step = step
+        self.event_time = event_time
         self.schema = schema
         self.order = list(order)
         self.output = list(output)
@@ -110,6 +119,10 @@ class OrderedProcessor(StatefulProcessor):
         if wake is not None:
             self.handle.registerTimer(wake + 1)
         if out is not None and len(out):
+            if self.event_time is not None:
+                name, source = self.event_time
+                # a millisecond later, since rows at the watermark itself are emitted with the next one
+                out = out.assign(**{name: pd.to_datetime(out[source].astype("int64") + 1, unit="ms", utc=True)})
             yield out[self.output]
 
     def close(self) -> None:
@@ -143,11 +156,18 @@ def ordered_stream(
     ts: str = "date",
     keys: Sequence[str] = (),
     tie: Sequence[str] = (),
-    delay: str = "10 minutes",
+    delay: str | None = "10 minutes",
     initial: DataFrame | None = None,
+    at: str | None = None,
+    event_time: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Run a step per key on a stream; rows later than ``delay`` are dropped by the watermark.
 
+    Steps can follow each other in one query, under the watermark of its source. A
+    step that has a follower names ``event_time``: a timestamp column that it adds,
+    and the column of milliseconds that it is made of. The follower takes that as
+    ``ts``, the milliseconds as ``at``, and None as ``delay``, which leaves the watermark as it is.
+
     ``initial``: rows of the same columns, of a batch frame, that the keys know of
     before the stream begins; a new query takes them in once. The state store must be
     RocksDB (:func:`use_rocksdb`). A stream without keys runs in one task, as its
@@ -155,19 +175,24 @@ def ordered_stream(
     """
 
     def with_key(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_ts", F.unix_millis(ts)).withColumn("_key", key_text(df, keys))
+        time = F.unix_millis(ts) if at is None else F.col(at).cast("long")
+        return rows.withColumn("_ts", time).withColumn("_key", key_text(df, keys))
 
-    keyed = with_key(df.withWatermark(ts, delay))
+    keyed = with_key(df if delay is None else df.withWatermark(ts, delay))
     schema = T.StructType([f for f in keyed.schema.fields if f.name not in ("_key",)])
     target = output if isinstance(output, T.StructType) else T._parse_datatype_string(output)
+    if event_time is not None:
+        target = T.StructType([*target.fields, T.StructField(event_time[0], T.TimestampType())])
     # some buckets within the delay, so that few rows of other times are touched with those that are due
-    processor = OrderedProcessor(step, schema, ["_ts", *tie], target.names, max(1000, delay_ms(delay) // 32))
+    bucket = 60_000 if delay is None else max(1000, delay_ms(delay) // 32)
+    processor = OrderedProcessor(step, schema, ["_ts", *tie], target.names, bucket, event_time)
     return keyed.groupBy("_key").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=target,
         outputMode="Append",
         timeMode="EventTime",
         initialState=None if initial is None else with_key(initial.select(*df.columns)).groupBy("_key"),
+        eventTimeColumnName="" if event_time is None else event_time[0],
     )
 
 
