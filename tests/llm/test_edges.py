@@ -161,3 +161,52 @@ def test_a_sample_has_one_row_of_each_id(spark):
     want = {1: (smallest, 1), 2: ("b", 0), 3: (None, 1), 4: ("d", 0)}
     assert sample == {i: v for i, v in want.items() if i not in held} and len(sample) > 1
     assert fit_sample(docs, labels, "toxic", 10).count() == len(sample)
+
+
+def test_mixing_spreads_rows_without_an_id(spark):
+    """Rows that all lack an id are spread over ranges, and a rerun in another order takes the same of each text."""
+    rows = [(None, f"w{i} " * (1 + i % 7), "en", f"s{i % 2}", 1) for i in range(4000)] + [(7, "a b c", "en", "s0", 1), (7, "d e f", "en", "s0", 1)]
+    df = spark.createDataFrame(rows, cases.DOC_SCHEMA)
+    order = F.md5(F.concat(F.lit("0:null:"), F.md5(F.col("text").cast("binary"))))
+    assert df.where("doc_id is null").select(F.substring(order, 1, mixing.RANGES_DIGITS)).distinct().count() > 1500
+    once = mixing.mix(df, carry=("text",))
+    again = mixing.mix(df.orderBy(F.desc(F.xxhash64("text"))).repartition(3), carry=("text",))
+    assert sorted(map(str, once.collect())) == sorted(map(str, again.collect()))
+    for r in once.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 1
+
+
+def test_pages_of_any_depth_and_runs_of_any_length(spark):
+    def deep(i):
+        return "<html><body>" + "<div>" * 20_000 + f"text {i}" + "</div>" * 20_000 + "<p>Same notice</p></body></html>"
+
+    def long(n, i):
+        return "<html><body><div>Same notice</div>" + "".join(f"<div>part {i} {j}</div>" for j in range(n)) + "</body></html>"
+
+    rows = [(i, "http://deep.org/x", deep(i)) for i in range(5)]
+    rows += [(100 * n + i, f"http://long{n}.org/x", long(n, i)) for n in (60, 70, 1500) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in wrappers.main_text(df).collect():
+        n, i = divmod(r.page_id, 100)
+        assert r.text == (f"text {i}" if n == 0 else "\n".join(f"part {i} {j}" for j in range(n)))
+
+
+def test_alignment_alone_on_given_pages(spark):
+    """Pages whose names of classes and elements are taken away: what alignment finds, and that it finds more than no wrapper."""
+    import re
+
+    def bare(html):
+        html = re.sub(r"""\s(class|id|role|itemprop)=("[^"]*"|'[^']*')""", "", html or "")
+        return re.sub(r"<(/?)(article|main|nav|footer|header|aside)\b", r"<\1div", html)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+    named = {r.page_id: (r.url, r.html) for r in pages.collect()}
+    stripped = spark.createDataFrame([(i, u, bare(h)) for i, (u, h) in named.items()], "page_id long, url string, html string")
+    found, shared, total, kept, plain = 0, 0, 0, 0, 0
+    for r in wrappers.main_text(stripped).collect():
+        words, own = Counter(want[r.page_id].split()), Counter(r.text.split())
+        shared, total, kept = shared + sum((words & own).values()), total + sum(words.values()), kept + sum(own.values())
+        alone = wrappers.extract(bare(named[r.page_id][1]), None)
+        plain, found = plain + len(alone.split()), found + (alone != r.text)
+    assert shared >= 0.99 * total and shared >= 0.88 * kept and kept < plain and found > 0

@@ -6,10 +6,12 @@ others by weight until no source is above its limit. At that level the target of
 an unclamped source is ``weight * level``, so that the level follows from one
 pass over the sources in order of limit by weight.
 
-Cases: a null text has no words; documents without words take nothing; a null
-source is a source of its own, last in order; repeated rows are rows like any
-other; an empty table gives an empty result; further columns are ignored unless
-named in ``carry``.
+Cases: a null text has no words; documents without words take nothing; a text of any
+length is counted whole, and may be the one that is taken in part; a null source is a
+source of its own, last in order; rows without an id are ordered by their text, rows
+of one id by size and text; equal rows are rows like any other, of which the mix may
+take different numbers; an empty table gives an empty result; further columns are
+ignored unless named in ``carry``.
 """
 
 from __future__ import annotations
@@ -69,13 +71,16 @@ def mix(
     part.
     """
     number: Column = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    own_text = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    # rows without an id are told apart by text, so that they do not all fall into one range
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), own_text))))
     rows = docs.select(
         F.col(key).alias("own_key"),
         number.alias("size"),
         F.col(source).isNotNull().alias("known"),
         F.coalesce(F.col(source), F.lit("")).alias("source"),
         order.alias("order"),
+        own_text.alias("own_text"),
         F.substring(order, 1, RANGES_DIGITS).alias("range"),
         F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).alias("carried"),
     )
@@ -89,7 +94,7 @@ def mix(
     ranges = ranges.join(targets, ["known", "source"]).select(
         "known", "source", "range", "source_size", "target", "whole", (F.col("spare") - F.col("ahead")).alias("spare")
     )
-    inside = Window.partitionBy("known", "source", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("known", "source", "range").orderBy("order", "size", "own_text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     part = F.least(F.greatest(F.col("spare") - F.col("ahead"), F.lit(0)), F.col("size"))
     out = rows.join(ranges, ["known", "source", "range"]).withColumn("part", part)
@@ -108,7 +113,8 @@ def mix(
 SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5('0:' || coalesce(doc_id::varchar, 'null')) as seeded
+         md5(coalesce(text, '')) as own_text,
+         md5('0:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))) as seeded
   from documents),
 sources as (
   select source, sum(size)::bigint as source_size from sized group by source),
@@ -131,7 +137,7 @@ budgets as (
   select *, case when source_size > 0 then floor(target + 0.5)::bigint // source_size else 0 end as whole,
          floor(target + 0.5)::bigint as budget from targets),
 ordered as (
-  select *, coalesce(sum(size) over (partition by source order by seeded, size rows between unbounded preceding and 1 preceding), 0) as ahead
+  select *, coalesce(sum(size) over (partition by source order by seeded, size, own_text rows between unbounded preceding and 1 preceding), 0) as ahead
   from sized)
 select o.doc_id, o.size, b.source_size, b.target,
        (b.whole * o.size + least(greatest(b.budget - b.whole * b.source_size - o.ahead, 0), o.size))::bigint as taken
