@@ -116,6 +116,17 @@ def test_token_counts(spark, docs):
     assert tokencounts.documents(tokencounts.token_blocks(cases.empty(spark), TOKENIZER), names="ended").count() == 0
 
 
+def test_token_files_of_awkward_rows(spark, docs, tmp_path):
+    folder = f"file:{tmp_path}/t"
+    names = tokencounts.write_token_files(docs, folder, TOKENIZER)
+    found = tokencounts.documents(tokencounts.file_blocks(spark, f"{folder}/ids")).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
+    ids = Encoder(TOKENIZER)
+    want = Counter((r.doc_id, len(ids(r.text or "")) // 4) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in found.join(names, ["file", "ordinal"]).collect()) == want
+    none = tokencounts.write_token_files(cases.empty(spark), f"{folder}0", TOKENIZER)
+    assert none.count() == 0 and tokencounts.documents(tokencounts.file_blocks(spark, f"{folder}0/ids")).count() == 0
+
+
 def test_search(spark):
     bad = [(50, None), (100, [1.0, None]), (150, [float("nan"), 1.0]), (200, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     same = [(i, [0.5, 0.25]) for i in range(1, 9)] + [(3, [0.5, 0.25])]

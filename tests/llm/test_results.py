@@ -215,6 +215,38 @@ def test_token_files(spark, tmp_path):
     assert Counter((r.n_tokens, r.closed) for r in found) == +want
 
 
+def test_token_files_of_many_runs(spark, tmp_path, monkeypatch):
+    """Documents over several blocks and runs of a file, with a tail that is not closed; each range is read once."""
+    import numpy as np
+
+    monkeypatch.setattr(tokencounts, "BLOCK_IDS", 100)
+    monkeypatch.setattr(tokencounts, "RUN", 4)
+    monkeypatch.setattr(tokencounts, "READ", 3)
+    rng, ids, want, at = np.random.default_rng(5), [], [], 0
+    for n in [0, 30, 250, 99, 0, 1700, 399, 1, 0, 5000, 12]:
+        ids += [*rng.integers(0, 49000, n), tokencounts.SEPARATOR]
+        want.append((len(want), at, n, True))
+        at += n + 1
+    ids += list(rng.integers(0, 49000, 777))
+    want.append((len(want), at, 777, False))
+    np.array(ids, "<u2").tofile(tmp_path / "a.bin")
+    blocks = tokencounts.file_blocks(spark, f"file:{tmp_path}")
+    assert b"".join(r.data for r in sorted(blocks.collect(), key=lambda r: r.block)) == np.array(ids, "<u2").tobytes()
+    found = tokencounts.documents(blocks).collect()
+    assert sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in found) == want
+
+
+def test_token_counts_of_the_query(spark, small):
+    from tidegauge.llm.tokenize import Encoder, default_path
+
+    ids = Encoder(default_path())
+    want = Counter((r.doc_id, len(ids(r.text or "")) // 4) for r in table(spark, small, "documents").collect())
+    found = tokencounts.op8_tokencounts(spark, small).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in found) == want and all(r.closed for r in found)
+    places = {(r.file, r.ordinal): r for r in found}
+    assert all(r.start == 0 if r.ordinal == 0 else r.start == (b := places[r.file, r.ordinal - 1]).start + b.n_tokens + 1 for r in found)
+
+
 def test_token_ids_are_the_librarys():
     import random
 

@@ -1,8 +1,8 @@
 """Token counts by a separator scan over flat, unindexed token files.
 
 A token file is nothing but ids, one document after the other, each followed by
-the separator; nothing says where a document begins. It is read in blocks of a
-fixed number of bytes that know nothing of each other. Each block is searched for
+the separator; nothing says where a document begins. Tasks read ranges of its bytes,
+in blocks of a fixed length that know nothing of each other. Each block is searched for
 the separator at once (numpy), and gives its number of ids and the places of its
 separators. What a block cannot know, where it begins in its file, how many
 documents ended before and where the last one ended, comes from a prefix scan over
@@ -18,11 +18,13 @@ repeated rows are documents of their own; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from tidegauge.llm.tokenize import default_path, encoder
 
 #: Ids of a block and blocks of a run; ids are unsigned with WIDTH bytes.
 BLOCK_IDS, RUN, WIDTH = 8192, 1024, 2
+#: Bytes that one task reads, and blocks that it reads at a time.
+TASK_BYTES, READ = 64 << 20, 64
 #: First id that the vocabulary does not use.
 SEPARATOR = 49408
 
@@ -73,13 +77,77 @@ def token_blocks(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, ke
     return map_arrow(chosen, write, "file int, block long, data binary, ended array<long>")
 
 
+def _files(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or file that all executors share, and its path there."""
+    local = re.match(r"file:/*(/.*)", uri)
+    if local or ":/" not in uri:
+        return pafs.LocalFileSystem(), local[1] if local else uri
+    return pafs.FileSystem.from_uri(uri)
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: int = SEPARATOR, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the ids of ``docs`` as flat files, one for each task, and apart from them which document is which.
+
+    The files, ``folder/ids/<task>-<attempt>.bin``, hold nothing but ids and
+    separators. Result, read from ``folder/names``: file (its name), part (its
+    task), ordinal, doc_id. A file that a task left behind when it failed is in no
+    row of it.
+    """
+    end = separator.to_bytes(WIDTH, "little")
+    files, path = _files(f"{folder}/ids")
+    files.create_dir(path, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, part = encoder(tokenizer), TaskContext.get().partitionId()
+        name, ordinal, out = f"{part:06d}-{uuid.uuid4().hex}.bin", 0, None
+        own_files, own_path = _files(f"{folder}/ids")
+        try:
+            for batch in batches:
+                if out is None and batch.num_rows:
+                    out = own_files.open_output_stream(f"{own_path}/{name}")
+                for value in batch.column(1).to_pylist():
+                    out.write(np.frombuffer(ids_of(value or ""), "<u4").astype(f"<u{WIDTH}").tobytes() + end)
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)],
+                    names=["file", "part", "ordinal", "doc_id"],
+                )
+                ordinal += n
+        finally:
+            if out is not None:
+                out.close()
+
+    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    map_arrow(chosen, write, "file string, part int, ordinal long, doc_id long").write.parquet(f"{folder}/names")
+    return docs.sparkSession.read.parquet(f"{folder}/names")
+
+
 def file_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, data of flat token files under ``path``, which Spark reads whole (up to 2 GiB each)."""
+    """file, block, data of the flat token files of any size under ``path``.
+
+    Files are cut into runs of RUN blocks by their length alone; the tasks, which
+    are dealt runs, read the bytes of one run after the other.
+    """
     size = BLOCK_IDS * WIDTH
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").alias("content"))
-    numbers = F.explode(F.expr(f"sequence(0L, ceil(length(content) / {size}) - 1)"))
-    blocks = files.filter(F.length("content") > 0).withColumn("block", numbers)
-    return blocks.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data"))
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").filter("length > 0")
+    runs = listed.select("file", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {size * RUN})")).alias("run"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(listed.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, run in zip(*(c.to_pylist() for c in batch.columns)):
+                files, own = _files(name)
+                with files.open_input_file(own) as source:
+                    for block in range(run * RUN, min((run + 1) * RUN, -(-length // size)), READ):
+                        data = source.read_at(min(READ * size, length - block * size), block * size)
+                        here = [data[i : i + size] for i in range(0, len(data), size)]
+                        numbers = np.arange(block, block + len(here))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * len(here), pa.string()), pa.array(numbers), pa.array(here, pa.binary())], names=["file", "block", "data"]
+                        )
+
+    spread = runs.repartition(tasks, F.xxhash64("file", "run"))
+    return spread.mapInArrow(read, "file string, block long, data binary")
 
 
 def separators(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
@@ -164,6 +232,7 @@ def documents(blocks: DataFrame, separator: int = SEPARATOR, names: str | None =
 @query("op8_tokencounts")
 def op8_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_blocks(table(spark, sf_dir, "documents"), default_path()).write.parquet(folder)
-    found = documents(spark.read.parquet(folder), names="ended")
-    return found.select(F.col("name").alias("doc_id"), "n_tokens", "file", "ordinal", "start", "closed")
+    names = write_token_files(table(spark, sf_dir, "documents"), folder, default_path())
+    found = documents(file_blocks(spark, f"{folder}/ids")).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
+    named = found.join(names, ["file", "ordinal"])
+    return named.select("doc_id", "n_tokens", F.col("part").alias("file"), "ordinal", "start", "closed")
