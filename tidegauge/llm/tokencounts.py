@@ -138,8 +138,9 @@ def file_blocks(spark: SparkSession, path: str) -> DataFrame:
             for name, length, run in zip(*(c.to_pylist() for c in batch.columns)):
                 files, own = _files(name)
                 with files.open_input_file(own) as source:
-                    for block in range(run * RUN, min((run + 1) * RUN, -(-length // size)), READ):
-                        data = source.read_at(min(READ * size, length - block * size), block * size)
+                    end = min((run + 1) * RUN * size, length)
+                    for block in range(run * RUN, -(-end // size), READ):
+                        data = source.read_at(min(READ * size, end - block * size), block * size)
                         here = [data[i : i + size] for i in range(0, len(data), size)]
                         numbers = np.arange(block, block + len(here))
                         yield pa.RecordBatch.from_arrays(
