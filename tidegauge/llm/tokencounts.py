@@ -235,5 +235,6 @@ def op8_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     names = write_token_files(table(spark, sf_dir, "documents"), folder, default_path())
     found = documents(file_blocks(spark, f"{folder}/ids")).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
-    named = found.join(names, ["file", "ordinal"])
+    # both sides grow with the documents, so that neither is sent whole to every task
+    named = found.join(names.hint("merge"), ["file", "ordinal"])
     return named.select("doc_id", "n_tokens", F.col("part").alias("file"), "ordinal", "start", "closed")
