@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.naming import delivery_topic, quality_topic, remedy_topic, selection_topic
 from tidegauge.operators.lineage import cut
+from tidegauge.operators.spread import spread
 
 EDGE = (
     "request_id", "application_id", "parent", "child", "stage", "level", "is_source", "is_heal", "is_sink",
@@ -188,7 +189,8 @@ def insert_heal_stage(edges: DataFrame, heals: DataFrame) -> DataFrame:
     ``heals``: request_id, remedy. The old output stage now feeds the remedy
     topic and the remedy feeds the sink.
     """
-    marked = edges.join(heals.groupBy("request_id").agg(F.min("remedy").alias("_remedy")), "request_id", "left")
+    one = spread(heals.select("request_id", "remedy"), "request_id").groupBy("request_id").agg(F.min("remedy").alias("_remedy"))
+    marked = edges.join(one, "request_id", "left")
     healing = F.col("is_sink") & F.col("_remedy").isNotNull()
     middle = remedy_topic(F.col("application_id"), F.col("request_id"), F.col("_remedy"))
     same = F.struct("parent", "child", "stage", "level", "is_source", "is_heal", "is_sink")
