@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed value: one N-Triples statement: subject, predicate, then IRI, blank node or literal with language or type.
 _STATEMENT = (
     r"^\s*(?:<([^<>\s]*)>|(_:\S+))\s+<([^<>\s]*)>\s+"
-    r'(?:<([^<>\s]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?)\s*\.\s*(?:#.*)?$'
+    r'(?:<([^<>\s]*)>|(_:\S+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?)\s*\.\s*(?:#.*)?$'
 )
 # Fixed value: what an IRI must not hold as such; the backslash comes first, as the others are written with it.
 _NOT_IN_IRIS = '\\ <>"{}|^`'
@@ -29,13 +29,21 @@ def _unicode(text: Column) -> Column:
     return F.when(text.rlike(_CODE), F.array_join(pieces, "")).otherwise(text)
 
 
-def _unescape(text: Column) -> Column:
-    # A doubled backslash must not take part in another escape, so it is set
-    # aside under a character that N-Triples forbids, and put back at the end.
+def _plain(text: Column) -> Column:
+    """Short escapes as the characters they stand for.
+
+    A doubled backslash must not take part in another escape, so it is set aside
+    under a character that N-Triples forbids; :func:`_backslashes` puts it back
+    after numbered escapes are read.
+    """
     out = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
     for written, meant in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
         out = F.replace(out, F.lit(written), F.lit(meant))
-    return F.replace(_unicode(out), F.lit("\u0000"), F.lit("\\"))
+    return out
+
+
+def _backslashes(text: Column) -> Column:
+    return F.replace(text, F.lit("\u0000"), F.lit("\\"))
 
 
 def parse_statements(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -44,20 +52,23 @@ def parse_statements(lines: DataFrame, column: str = "value") -> DataFrame:
     What is no statement is in :func:`rejected_lines`.
     """
     text = F.col(column)
-
-    def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, _STATEMENT, i), F.lit(""))
-
-    literal = F.regexp_extract(text, _STATEMENT, 6)
-    kind = F.when(part(4).isNotNull(), F.lit("iri")).when(part(5).isNotNull(), F.lit("blank")).otherwise(F.lit("literal"))
-    target = F.when(kind == "iri", _unicode(part(4))).when(kind == "blank", part(5)).otherwise(_unescape(literal))
-    return lines.where(text.rlike(_STATEMENT)).select(
-        F.coalesce(_unicode(part(1)), part(2)).alias("s"),
-        _unicode(part(3)).alias("p"),
-        target.alias("o"),
+    # One match gives all parts: only the literal may hold spaces, and it comes last.
+    order = (1, 2, 3, 4, 5, 7, 8, 6)
+    taken = F.split(F.regexp_replace(text, _STATEMENT + "(?s:.*)", " ".join(f"${i}" for i in order)), " ", len(order))
+    # Each step makes rows of its own, as Spark would else put the text's own formula in place of every mention of it.
+    found = lines.select(F.explode(F.when(text.rlike(_STATEMENT), F.array(taken))).alias("_"))
+    part = {i: F.element_at("_", at) for at, i in enumerate(order, 1)}
+    given = [_plain(part[i]) if i == 6 else F.nullif(part[i], F.lit("")) for i in order]
+    plain = found.select(F.inline(F.array(F.struct(*[value.alias(f"_{i}") for i, value in zip(order, given)]))))
+    kind = F.when(F.col("_4").isNotNull(), F.lit("iri")).when(F.col("_5").isNotNull(), F.lit("blank")).otherwise(F.lit("literal"))
+    target = F.when(kind == "iri", _unicode(F.col("_4"))).when(kind == "blank", F.col("_5"))
+    return plain.select(
+        F.coalesce(_unicode(F.col("_1")), "_2").alias("s"),
+        _unicode(F.col("_3")).alias("p"),
+        target.otherwise(_backslashes(_unicode(F.col("_6")))).alias("o"),
         kind.alias("kind"),
-        part(7).alias("lang"),
-        _unicode(part(8)).alias("datatype"),
+        F.col("_7").alias("lang"),
+        _unicode(F.col("_8")).alias("datatype"),
     )
 
 
