@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.naming import local_name
 from tidegauge.functions.quality import parse_bound
+from tidegauge.operators.spread import distinct
 from tidegauge.schema import Compat, WireNames
 from tidegauge.sources.vocabulary import expand, iri
 
@@ -328,7 +329,7 @@ def register_sensors(triples: DataFrame, sensors: DataFrame, wire: WireNames | N
     fresh = sensors.join(known, "sensor_id", "left_anti")
     others = [c for c in sensors.columns if c != "sensor_id"]
     once = fresh.groupBy("sensor_id").agg(F.min(F.struct(*others)).alias("_row")).select("sensor_id", "_row.*")
-    return triples.unionByName(sensor_triples(once, wire)).distinct()
+    return distinct(triples.unionByName(sensor_triples(once, wire)))
 
 
 def delete_sensors(triples: DataFrame, sensor_ids: DataFrame, wire: WireNames | None = None) -> DataFrame:
@@ -376,7 +377,7 @@ def remedy_triples(effects: DataFrame, wire: WireNames | None = None, provider:
         (effect, "qoo:qooAttributeVariation", F.col("attribute_variation")),
     ]
     structs = [F.struct(s.alias("s"), term(p).alias("p"), o.alias("o")) for s, p, o in rows]
-    return effects.select(F.inline(F.array(*structs))).distinct()
+    return distinct(effects.select(F.inline(F.array(*structs))))
 
 
 def attribute_triples(targets: DataFrame, wire: WireNames | None = None) -> DataFrame:
