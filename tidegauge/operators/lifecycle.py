@@ -13,6 +13,9 @@ EDGE = (
     "request_id", "application_id", "parent", "child", "stage", "level", "is_source", "is_heal", "is_sink",
 )
 
+#: Steps that the topics behind some topics are followed by, before paths of all topics are doubled.
+STEPS = 12
+
 
 def _stages() -> Column:
     threshold = F.col("threshold_min").isNotNull() | F.col("threshold_max").isNotNull()
@@ -138,13 +141,28 @@ def shared_edges(edges: DataFrame, shared: DataFrame) -> DataFrame:
     )
 
 
-def upstream_topics(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def upstream_topics(edges: DataFrame, most_rounds: int = 40, starts: DataFrame | None = None) -> DataFrame:
     """topic, upstream: every topic with itself and all topics that reach it through stages.
 
-    Paths double in each round, so that chains of any length and chains built on
-    chains close in a logarithmic number of joins.
+    With ``starts`` (column ``topic``) only for these topics: they are followed step by
+    step, and where that takes more than ``STEPS`` by paths of all topics. Paths double
+    in each round, so that chains of any length and chains built on chains close in a
+    logarithmic number of joins.
     """
     links = edges.select(F.col("child").alias("topic"), F.col("parent").alias("upstream")).distinct()
+    if starts is not None:
+        asked = starts.select("topic").distinct()
+        own = asked.select("topic", F.col("topic").alias("upstream"))
+        reach = cut(own.unionByName(links.join(asked, "topic", "left_semi")).distinct())
+        ends = reach.where("topic <> upstream")
+        step = links.select(F.col("topic").alias("upstream"), F.col("upstream").alias("_beyond"))
+        for _ in range(STEPS):
+            if ends.isEmpty():
+                return reach
+            beyond = ends.join(step, "upstream").select("topic", F.col("_beyond").alias("upstream")).distinct()
+            ends = cut(beyond.join(reach, ["topic", "upstream"], "left_anti"))
+            reach = reach.unionByName(ends)
+        return upstream_topics(edges, most_rounds).join(asked, "topic", "left_semi")
     reach = cut(links.unionByName(links.select("topic", F.col("topic").alias("upstream"))).distinct())
     for _ in range(most_rounds):
         further = reach.select(F.col("topic").alias("upstream"), F.col("upstream").alias("_beyond"))
@@ -156,17 +174,36 @@ def upstream_topics(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise ValueError("paths between topics still grow")
 
 
+def _read_from_others(edges: DataFrame) -> DataFrame:
+    """request_id, topic: topics made by stages that a request's stages read, and that none of its own makes."""
+    named = edges.select("request_id", "parent", "child")
+    of_request = named.groupBy("request_id").agg(F.collect_set("parent").alias("_read"), F.collect_set("child").alias("_made"))
+    read = of_request.select("request_id", F.explode(F.array_except("_read", "_made")).alias("topic"))
+    # a topic that others also make from something else leads on to what these read
+    several = named.groupBy(F.col("child").alias("topic")).agg(F.min("parent").alias("_low"), F.max("parent").alias("_high"))
+    several = several.where("_low <> _high").select("topic")
+    beside = named.join(several, F.col("child") == F.col("topic"), "left_semi")
+    sources = beside.select(F.col("child").alias("_child"), F.col("parent").alias("topic")).distinct()
+    others = beside.select("request_id", "child").distinct().join(sources, F.col("child") == F.col("_child"))
+    made = edges.select(F.col("child").alias("topic")).distinct()
+    return read.unionByName(others.select("request_id", "topic")).join(made, "topic", "left_semi").distinct()
+
+
 def stage_users(edges: DataFrame) -> DataFrame:
     """parent, child, stage, request_id: every request with each stage instance that its output depends on.
 
     These are its own stages and, if it was constructed from another request, the
     stages behind the topic that it reads: that request's up to its own output, and
     so on for requests constructed from requests. They are found along topics, so
-    that they hold although a request between was deleted.
+    that they hold although a request between was deleted. Only topics that a request
+    reads from others are followed, as it has the stages behind its own topics itself.
     """
+    edges = cut(edges.select("request_id", "parent", "child", "stage"))
     stages = edges.select("parent", "child", "stage").distinct()
-    own = edges.select("request_id", F.col("child").alias("topic")).distinct()
-    read = own.join(upstream_topics(edges), "topic").select("request_id", F.col("upstream").alias("child")).distinct()
+    entries = cut(_read_from_others(edges))
+    behind = upstream_topics(edges, starts=entries.select("topic"))
+    further = entries.join(behind, "topic").select("request_id", F.col("upstream").alias("child"))
+    read = edges.select("request_id", "child").unionByName(further).distinct()
     return stages.join(read, "child").select("parent", "child", "stage", "request_id")
 
 
