@@ -1,7 +1,9 @@
 """Steps that must not be dealt over few tasks because their rows are short."""
 
+from tidegauge.catalog import observations
 from tidegauge.operators import lifecycle, registry
 from tidegauge.sources import triples
+from tidegauge.sources.vocabulary import iri
 
 EDGE = "request_id string, application_id string, parent string, child string, stage string, level int, is_source boolean, is_heal boolean, is_sink boolean"
 
@@ -53,3 +55,11 @@ def test_only_topics_read_from_others_are_followed(spark):
         assert sorted(found) == sorted(p for p in every if p[0] in ends)
     users = [(r.request_id, r.stage) for r in lifecycle.stage_users(edges.where("stage <> 'stage'")).collect()]
     assert sorted(users) == [("a", "s1"), ("a", "s2"), ("a", "s3"), ("b", "s1"), ("b", "s2"), ("b", "s3"), ("b", "s4"), ("c", "s3")]
+
+
+def test_nodes_are_read_as_the_keys_that_they_have(spark):
+    text = '{"obs":[{"@id":"a","@type":"t","lat":"1","other":"x","obsStrValue":"2.5","long":null},{"@id":"b"}]}'
+    rows = spark.createDataFrame([(1, text), (2, None), (3, '{"obs":[]}')], "obs_id long, text string")
+    found = observations._text_statements(rows)
+    kept = [("rdf:type", "t", None), ("geo:lat", "1", None), ("qoo:obsStrValue", None, 2.5)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", iri(p), o, n) for p, o, n in kept], key=str)

@@ -736,6 +736,20 @@ def _node_statements(rows, column: str):
     )
 
 
+def _text_statements(rows):
+    """Every key of every node of ``text`` as a statement; a node is read as the few keys that it has, not as all it may have."""
+    named = {"@type": iri("rdf:type"), **{k: iri(c) for k, c in knowledge.NODE_KEYS.items()}}
+    predicate = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    parsed = rows.select("obs_id", F.from_json("text", "obs array<map<string,string>>").alias("doc"))
+    nodes = parsed.select("obs_id", F.explode("doc.obs").alias("node"))
+    keys = nodes.select("obs_id", F.col("node")["@id"].alias("s"), F.explode("node").alias("key", "o"))
+    found = keys.select("obs_id", "s", predicate[F.col("key")].alias("p"), "o").where("p is not null and o is not null")
+    numeric = F.col("p").isin(iri("qoo:obsStrValue"), iri("qoo:qooStrValue"))
+    return found.select(
+        "obs_id", "s", "p", F.when(~numeric, F.col("o")).alias("o"), F.when(numeric, F.col("o").cast("double")).alias("number")
+    )
+
+
 @query("gr1_knowledge_nodes", GR2)
 def _(spark, d):
     rows = _knowledge_rows(spark, d).select("obs_id", knowledge.knowledge_nodes(WireNames()).alias("nodes"))
@@ -745,10 +759,8 @@ def _(spark, d):
 @query("snk2_encode_knowledge", GR2)
 def _(spark, d):
     """All nodes of the written text, read back."""
-    fields = ",".join(f"`{k}`:string" for k in ("@id", "@type", *knowledge.NODE_KEYS))
     text = _knowledge_rows(spark, d).select("obs_id", sinks.encode_knowledge().alias("text"))
-    parsed = text.select("obs_id", F.from_json("text", f"obs array<struct<{fields}>>").alias("doc"))
-    return _node_statements(parsed.select("obs_id", F.col("doc.obs").alias("nodes")), "nodes")
+    return _text_statements(text)
 
 
 DATE_TEXT = "regexp_replace(strftime(make_timestamp(date_ms * 1000), '%Y-%m-%d %H:%M:%S.%g'), '(\\.\\d+?)0+$', '\\1')"
