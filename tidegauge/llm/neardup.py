@@ -7,13 +7,14 @@ under which texts meet. Every pair that is linked has been verified by the exact
 weighted Jaccard similarity of the whole texts.
 
 * Equal texts (the same words) are one node, named by a 64-bit hash of its words. Their rows are never paired.
-* idf is ``ln(1 + 1 / max(df / (N + SMOOTHING), COMMON))``: shingles in less than
-  that share of the documents weigh alike. The share is high, since a group of near
-  copies may hold a third of all documents: were what they share to weigh less than
-  what was changed in them, the links of the largest groups would be lost. What
-  weighs less is what stands in most documents. Only its df is needed: a shingle
-  above the share is above it in some part of the documents too, which finds them;
-  a second pass counts exactly those in all documents.
+* idf is ``ln(1 + (families + SMOOTHING) / max(df, least))``: every shingle above the least df, a share of RARE
+  and no less than FEWEST, has the weight of its df, rarer ones weigh alike. df counts families, not documents:
+  documents that have the same least shingle under half of LEAST orders are taken for near copies,
+  and each counts as its part of such a group. The families of the whole table are the different
+  least shingles, under the order with most. A group of near copies may hold a third of
+  all documents; were what they share to weigh less than what was changed in
+  them, the links of the largest groups would be lost. All documents are counted
+  twice: shingles by hash bucket, which leaves out those that cannot reach the share, and then exactly.
 * A bucket is first compared with its hub, the node that shares most buckets with
   others (among near copies of one text: that text). What still belongs to other
   classes meets everything else of its bucket in blocks of bounded size. Their
@@ -30,6 +31,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +45,16 @@ from tidegauge.llm.spans import BASE, Texts, mix, slices, windows
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_SIZE = 10, 3
-COMMON, SMOOTHING = 0.5, 1000
-#: Documents that one look for common shingles covers, and members of a bucket that one block compares.
-LOOK, BLOCK = 8000, 512
+#: Share of the families above which a shingle has a weight of its own, if it is in more than FEWEST; and families added to all.
+RARE, FEWEST, SMOOTHING = 0.001, 20, 1000
+#: Share of documents below which plain comparisons of a few texts may weigh all shingles alike; tables are weighed by RARE.
+COMMON = 0.5
+#: Orders of shingles that tell near copies, and the part of all documents that a group of them exceeds to count as less.
+LEAST, GROUPS = 8, 10_000
+#: Hash buckets of shingles, buckets of one block of counts, and the unit of a document's part in a count.
+BUCKETS, COUNTS, UNIT = 1 << 20, 1 << 14, 1 << 32
+#: Members of a bucket that one block compares.
+BLOCK = 512
 #: Samples that must agree before blocks compare a pair; at similarity 0.8 fewer do in about one pair of 4000.
 LEAST_AGREEING = 16
 
@@ -92,57 +101,114 @@ class Idf:
         return idf * (1 + np.log(times))
 
 
-def corpus_idf(docs: DataFrame, share: float = COMMON) -> Idf:
+def _least(owner: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """The least shingle of each text that has one, under LEAST orders."""
+    if not len(owner):
+        return np.zeros((LEAST, 0), np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    salts = mix(np.arange(1, LEAST + 1, dtype=np.uint64))
+    return np.stack([np.minimum.reduceat(mix(shingle ^ salt), first) for salt in salts])
+
+
+def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, key, n, counts: texts by least shingle (kind 1 and more), and blocks of counts of shingles by hash bucket (kind 0)."""
+    total = np.zeros(BUCKETS, np.int64)
+    least: list[np.ndarray] = []
+
+    def report(kinds: list, keys: list, numbers: list, counts: list) -> pa.RecordBatch:
+        columns = [pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()), pa.array(counts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "counts"])
+
+    def families() -> Iterator[pa.RecordBatch]:
+        for k, keys in enumerate(np.concatenate(least, axis=1) if least else (), 1):
+            found, n = np.unique(keys.view(np.int64), return_counts=True)
+            yield report(np.full(len(found), k), found, n, [None] * len(found))
+        least.clear()
+
+    held = 0
+    for batch in batches:
+        for _, _, texts in slices(batch.column(0)):
+            owner, found, _, _ = shingles(texts)
+            total += np.bincount((found % np.uint64(BUCKETS)).astype(np.intp), minlength=BUCKETS)
+            least.append(_least(owner, found))
+            held += len(texts)
+        if held > 100_000:
+            yield from families()
+            held = 0
+    yield from families()
+    if total.any():
+        blocks = range(BUCKETS // COUNTS)
+        packed = [zlib.compress(total[b * COUNTS : (b + 1) * COUNTS].tobytes(), 1) for b in blocks]
+        yield report([0] * len(packed), list(blocks), [None] * len(packed), packed)
+
+
+def _hot_buckets(least: float):
+    """Of a block's counts by task: the buckets with more than ``least`` in all."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTS, np.int64)
+        for packed in group["counts"]:
+            total += np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
+        return pa.table({"bucket": pa.array(np.flatnonzero(total > least) + group["key"][0].as_py() * COUNTS, pa.int64())})
+
+    return add
+
+
+def corpus_idf(docs: DataFrame, share: float = RARE) -> Idf:
     """Idf of the shingles of ``docs`` (a column ``text``), counted over all of them.
 
-    The table that all tasks get holds the shingles in at least ``share`` of the
-    documents: no more than the mean number of shingles divided by the share.
+    The tables that all tasks get hold the shingles in more than ``share`` of the
+    families, the hash buckets that may hold such, and the least shingles of
+    large groups: LEAST * GROUPS at most. None grows with the number of documents.
     """
+    texts = docs.select("text")
+    counted = cut(map_arrow(texts, _count_all, "kind int, key long, n long, counts binary"))
+    alike = cut(counted.filter("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    orders = alike.groupBy("kind").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("families"))
+    n_docs, families = orders.agg(F.coalesce(F.max("docs"), F.lit(0)), F.coalesce(F.max("families"), F.lit(0))).first()
+    most = max(share * (families + SMOOTHING), FEWEST)  # a few documents are no evidence of what is common
+    rare = math.log1p((families + SMOOTHING) / most)
+    hot_rows = counted.filter("kind = 0").select("key", "counts").groupBy("key").applyInArrow(_hot_buckets(most), "bucket long").collect()
+    hot = np.zeros(BUCKETS, bool)
+    hot[[r[0] for r in hot_rows]] = True
+    if not hot.any():
+        return Idf(np.zeros(0, np.uint64), np.zeros(0), rare)
+    large = alike.filter(F.col("n") > max(1, n_docs // GROUPS)).groupBy("key").agg(F.max("n")).orderBy("key").collect()
+    large_key, large_size = np.array([r[0] for r in large], np.int64), np.array([r[1] for r in large], np.int64)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        docs_held = 0
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
 
         def report() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            often = n >= max(2, math.ceil(share * docs_held)) if docs_held > 1 else n >= 1
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64))], names=["shingle"])
+            found, place = np.unique(np.concatenate([f for f, _ in held] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            n = np.zeros(len(found), np.int64)
+            np.add.at(n, place, np.concatenate([p for _, p in held] or [np.zeros(0, np.int64)]))
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
         for batch in batches:
-            for begin, end, texts in slices(batch.column(0)):
-                held.append(shingles(texts)[1])
-                docs_held += end - begin
-                if docs_held >= LOOK:
+            for _, _, part in slices(batch.column(0)):
+                owner, found, _, _ = shingles(part)
+                size = np.ones(len(part), np.int64)
+                if len(large_key) and len(owner):
+                    keys = _least(owner, found).view(np.int64)
+                    spot = np.minimum(np.searchsorted(large_key, keys), len(large_key) - 1)
+                    sizes = np.where(large_key[spot] == keys, large_size[spot], 1)
+                    size[np.unique(owner)] = np.sort(sizes, axis=0)[LEAST // 2]
+                may = hot[(found % np.uint64(BUCKETS)).astype(np.intp)]
+                held.append((found[may], UNIT // size[owner[may]]))
+                n_held += int(may.sum())
+                if n_held > 2_000_000:
                     yield report()
                     held.clear()
-                    docs_held = 0
+                    n_held = 0
         yield report()
 
-    def exact(candidates: np.ndarray):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(candidates), np.int64)
-            for batch in batches:
-                for _, _, texts in slices(batch.column(0)):
-                    found = shingles(texts)[1]
-                    spot = np.minimum(np.searchsorted(candidates, found), len(candidates) - 1)
-                    total += np.bincount(spot[candidates[spot] == found], minlength=len(candidates))
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(candidates[seen].view(np.int64)), pa.array(total[seen])], names=["shingle", "n"])
-
-        return count
-
-    texts = docs.select("text")
-    n_docs = docs.count()
-    corpus = n_docs + SMOOTHING  # a few documents are no evidence of what is common
-    rare = math.log1p(1 / share)
-    looked = map_arrow(texts, local, "shingle long").distinct().collect()
-    candidates = np.unique(np.array([r[0] for r in looked], np.int64).view(np.uint64))
-    if not len(candidates):
-        return Idf(np.zeros(0, np.uint64), np.zeros(0), rare)
-    counted = map_arrow(texts, exact(candidates), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") > share * corpus).collect()
+    # sums of whole numbers do not depend on their order
+    sums = map_arrow(texts, exact, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = sums.filter(F.col("n") > most * UNIT).collect()
     common = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    weight = np.log1p(corpus / np.array([float(r[1]) for r in rows])) if rows else np.zeros(0)
+    weight = np.log1p((families + SMOOTHING) / (np.array([float(r[1]) for r in rows]) / UNIT)) if rows else np.zeros(0)
     order = np.argsort(common)
     return Idf(common[order], weight[order], rare)
 
